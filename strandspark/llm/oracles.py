@@ -55,6 +55,19 @@ r AS (
 SELECT *, {_FAILED_SQL} AS failed_rules, (NOT base_failed AND ({_RULE_SQL}) = 0) AS kept FROM r
 """
 
+OP1 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_page FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id > first_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_page THEN first_page END AS refers_to,
+       true AS digest_ok, true AS index_ok
+FROM f
+"""
+
 OP9 = r"""
 WITH l AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents),
@@ -95,6 +108,7 @@ FROM f GROUP BY conv_id
 """
 
 ORACLES: dict[str, str] = {
+    "op1_warc_archives": OP1,
     "op2_quality_rules": OP2,
     "op9_line_dedup": OP9,
     "op10_chat_format": OP10,

@@ -3,18 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, quality, secrets
-from .common import table
+from . import chat, classifier, linededup, neardup, quality, secrets, spm, warc
+from .common import drop_table, shared_dir, table
+
+
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as whole-file gzip streams, normalised to a member for each record, read back."""
+    folder = shared_dir(spark)
+    warc.write_monolithic(table(spark, sf_dir, "pages"), f"{folder}/raw")
+    warc.normalise(spark, f"{folder}/raw", f"{folder}/warc")
+    drop_table(spark, folder, "raw")
+    index = warc.read_index(spark, f"{folder}/warc").select("archive", "offset", F.col("length").alias("indexed"))
+    pages = warc.read_pages(spark, f"{folder}/warc").join(index, ["archive", "offset"], "left")
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok", F.coalesce(F.col("indexed") == F.col("length"), F.lit(False)).alias("index_ok"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    scored = classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, per_cent=85)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner: the document's source. Repository: its source and language."""
     docs = table(spark, sf_dir, "documents")
@@ -32,6 +54,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Where the tokenizer of op7 and the pipeline lies; the file is read on the driver.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = TOKENIZER) -> DataFrame:
+    model = Path(model_path).read_bytes()
+    return spm.encode_documents(table(spark, sf_dir, "documents"), model)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
@@ -54,8 +85,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_archives": op1_warc_archives,
     "op2_quality_rules": op2_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_minhash_neardup": op5_minhash_neardup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
 }
