@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, linededup, neardup, quality, secrets, spm, warc
+from . import chat, classifier, decontam, linededup, neardup, quality, rldedup, secrets, spm, warc
 from .common import drop_table, shared_dir, table
 
 
@@ -27,6 +27,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item and the best window."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     scored = classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold)
@@ -63,6 +68,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = TOKENI
     return spm.encode_documents(table(spark, sf_dir, "documents"), model)
 
 
+def op8_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rldedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
@@ -87,10 +96,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": op1_warc_archives,
     "op2_quality_rules": op2_quality_rules,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op6_secret_scan": op6_secret_scan,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_run_length_dedup": op8_run_length_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
 }
