@@ -7,8 +7,8 @@ the collision-corrected Jaccard estimate, and full sets confirm them.
 
 Large groups are never paired off. Copies with equal sets are one class. Within a band, all
 classes are held against its smallest one. Only classes that this leaves in different
-components are looked at again, and there a bound from shingles that no other candidate has
-sets most of them aside before any pair is made.
+components are looked at again, and they meet only where a rare shingle and the places of
+that shingle in both sets leave the threshold within reach.
 """
 
 from __future__ import annotations
@@ -205,33 +205,39 @@ def near_duplicates(documents: DataFrame, width: int = 5, per_cent: int = 80) ->
 
 
 def _left_over(shared: DataFrame, found: DataFrame, sets: DataFrame, per_cent: int, folder: str) -> DataFrame:
-    """Pairs of different components that share a band and could still reach the threshold.
-
-    ``s`` is the number of a class's shingles that some other candidate has too; no pair can
-    have more in common than the smaller ``s``. So x, with |y| <= |x|, needs
-    (100 + t) * s_x >= t * (|x| + |y|), which gives a range of sizes for y. Sizes are put in
-    classes of a twentieth, and only rows of one band and size class meet.
+    """Pairs of different components, both in bands that hold several, that may reach the threshold.
+
+    The shingles of each such class are put in one order, rarest among these classes first.
+    A pair |y| <= |x| must have ``need = t / (100 + t) * (|x| + |y|)`` shingles in common. Of
+    those, let the first in the order be at place i of x and j of y (from 0): what is left
+    of either set behind it must do, so ``|x| - i >= need`` and ``|y| - j >= need``. Rows of
+    one shingle meet only if these hold, for sizes in classes of a twentieth. Copies whose
+    own changes already exceed the threshold have only rare shingles at such places and so
+    meet almost nothing, however large their group is.
     """
+    t = per_cent
     labels = found.select(F.col("node").alias("rep"), "component")
-    rows = shared.select("band", "rep", "n").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rows = cut(rows, folder, "labelled")
+    rows = shared.select("band", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    rows = cut(rows.join(mixed, "band", "left_semi"), folder, "mixed")
-    ids = rows.select(F.col("rep").alias("doc_id")).distinct()
-    token = sets.join(ids, "doc_id", "left_semi").select("doc_id", F.explode_outer("shingles").alias("token"))
-    alone = token.groupBy("token").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep = last")
-    alone = alone.groupBy("rep").agg(F.count("*").alias("alone"))
-    rows = rows.join(alone, "rep", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
-    t = per_cent
-    rows = rows.filter(f"100 * s >= {t} * n")
-    rows = cut(rows.withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(1.05)))), folder, "eligible")
-    low, high = F.ceil(F.col("n") * t / 100), F.least(F.col("n"), F.floor(F.col("s") * (100 + t) / t) - F.col("n"))
-    span = F.sequence(F.floor(F.log(F.greatest(low, F.lit(1))) / F.log(F.lit(1.05))), F.floor(F.log(F.greatest(high, F.lit(1))) / F.log(F.lit(1.05))))
-    x = rows.withColumn("size_class", F.explode_outer(F.when(low <= high, span))).filter("size_class IS NOT NULL")
-    x = x.select("band", "size_class", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "s", "component")])
-    y = rows.select("band", "size_class", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "s", "component")])
-    able = f"x_component <> y_component AND (x_n > y_n OR (x_n = y_n AND x_rep < y_rep)) AND {100 + t} * least(x_s, y_s) >= {t} * (x_n + y_n)"
-    met = x.join(y, (x["band"] == y["band"]) & (x["size_class"] == y["size_class"]) & F.expr(able))
+    ids = cut(rows.join(mixed, "band", "left_semi").groupBy("rep").agg(F.min("component").alias("component")), folder, "mixed")
+    token = sets.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", F.explode_outer("shingles").alias("token"))
+    common = token.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("token", "df")
+    # Shingles of one class only come first in any order and meet nothing: their number is enough.
+    ranked = token.join(common, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    alone = F.col("n") - F.size("ranked")
+    most = F.floor(F.col("n") * (100 - t) / 100).cast("int") + 1
+    head = F.slice("ranked", F.lit(1), F.greatest(most - alone, F.lit(0)).cast("int"))
+    places = ranked.select("doc_id", "n", alone.alias("alone"), F.posexplode_outer(head).alias("nth", "r")).filter("r IS NOT NULL")
+    places = places.select(F.col("doc_id").alias("rep"), "n", (F.col("n") - F.col("alone") - F.col("nth")).alias("rest"), F.col("r.token").alias("token")).join(ids, "rep")
+    places = cut(places.withColumn("size_class", F.floor(F.log("n") / F.log(F.lit(1.05)))), folder, "places")
+
+    low, high = F.ceil(F.col("n") * t / 100), F.least(F.col("n"), F.floor(F.col("rest") * (100 + t) / t) - F.col("n"))
+    of = lambda c: F.floor(F.log(F.greatest(c, F.lit(1))) / F.log(F.lit(1.05)))
+    x = places.withColumn("size_class", F.explode_outer(F.when(low <= high, F.sequence(of(low), of(high))))).filter("size_class IS NOT NULL")
+    x = x.select("token", "size_class", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "rest", "component")])
+    y = places.select("token", "size_class", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "rest", "component")])
+    able = f"x_component <> y_component AND (x_n > y_n OR (x_n = y_n AND x_rep < y_rep)) AND {100 + t} * least(x_rest, y_rest) >= {t} * (x_n + y_n)"
+    met = x.join(y, (x["token"] == y["token"]) & (x["size_class"] == y["size_class"]) & F.expr(able))
     return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
