@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,11 +50,20 @@ def kmer_code(kmer: Column) -> Column:
     return F.when(F.upper(kmer).rlike("^[ACGT]+$"), F.conv(digits, 4, 10).cast("bigint"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where a lambda in ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kmers(seq: Column, k: int) -> Column:
     """All runs of k letters, in order; none if the sequence is shorter."""
-    n = F.length(seq)
-    at = F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1)))
-    return F.when(n >= k, F.transform(at, lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def runs(s: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.length(s) - (k - 1), F.lit(1)))
+        return F.when(F.length(s) >= k, F.transform(at, lambda i: F.substring(s, i, F.lit(k)))).otherwise(none)
+
+    return let(seq, runs)
 
 
 def iupac_mask(base: Column) -> Column:
