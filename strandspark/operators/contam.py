@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import seq as S
+from . import kernel
 
 LABELS = {"unknown": "unclassified", "clean": "clean", "dirt": "polluting", "conflict": "conflicting", "nonsense": "nonsensical"}
 WEAK, EFFECTIVE, STRONG = 1, 2, 3
@@ -130,3 +136,44 @@ def report(reads: DataFrame, by: str = "klass") -> DataFrame:
     n = lambda name: F.count_if(F.col(by) == name)
     one = reads.agg(*[n(k).cast("bigint").alias(v) for k, v in LABELS.items()])
     return one.withColumn("w", wilson(F.col("polluting"), F.col("polluting") + F.col("clean"))).select(*LABELS.values(), "w.*")
+
+
+_SEEN = "id string, pos int, base string"
+
+
+def agreed_bases(alns: DataFrame, contaminant: str, dirt_pos: list[int], sites: list[int], matrix: np.ndarray, settings: Settings = Settings()) -> DataFrame:
+    """(``id``, ``pos``, ``base``) where a read shows one base at a site by both alignments.
+
+    Each placed read is aligned once more, to the part of the contaminant that lies over its
+    place. ``dirt_pos`` gives the contaminant position of each assembly position, ``sites``
+    the positions that are asked for; both are as long as a reference at most. A site where
+    the two alignments disagree about the read's base says nothing about its origin.
+    """
+    asked = np.zeros(len(dirt_pos) + 1, dtype=bool)
+    asked[sites] = True
+    lifted = np.asarray([*dirt_pos, len(contaminant)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, int, str]] = []
+            for name, start, seq, ins in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                here = start + np.flatnonzero(asked[start : start + len(seq)])
+                if not len(here):
+                    continue
+                inserts = dict(ins or [])
+                read = "".join(inserts.get(start + k, "") + c for k, c in enumerate(seq)).replace("-", "")
+                low, high = int(lifted[start]), int(lifted[min(start + len(seq), len(lifted) - 1)])
+                if not read or high <= low:
+                    continue
+                filled = kernel.fill(kernel.codes(contaminant[low:high].upper()), kernel.codes(read)[None], matrix, settings)
+                _, col = kernel.best_ends(filled)
+                path = kernel.trace(filled, 0, len(read) - 1, int(col[0]))
+                by_dirt = dict(zip((path.cols + low).tolist(), path.rows.tolist(), strict=True))
+                for p in here.tolist():
+                    row = by_dirt.get(int(lifted[p]))
+                    other = "-" if row is None else read[row]
+                    if other == seq[p - start]:
+                        out.append((name, p, other))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["id", "pos", "base"])
+
+    return alns.select("id", "start", "seq", "ins").mapInArrow(work, _SEEN)

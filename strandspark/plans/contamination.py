@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scoring
 from ..functions import seq as S
 from ..operators import contam, diff, pileup
 
@@ -27,7 +29,7 @@ class Check:
 
 def check(
     spark: SparkSession, alns: DataFrame, consensus: str, contaminant: str, ancient: bool = False, span: tuple[int, int] | None = None, least_sites: int = 1,
-    limit: int | None = None, force: bool = False, transversions: bool = False,
+    limit: int | None = None, force: bool = False, transversions: bool = False, matrix: np.ndarray | None = None,
 ) -> Check:
     """``alns`` must be placed on ``consensus``; both sequences are small and held by the driver."""
     for seq in (consensus, contaminant):
@@ -39,13 +41,16 @@ def check(
     distance, left, right = found
     pair = spark.createDataFrame([(left, right)], "a string, c string").select(F.posexplode(F.arrays_zip(F.split("a", ""), F.split("c", ""))).alias("col", "x"))
     pair = pair.select("col", F.col("x.0").alias("assembly"), F.col("x.1").alias("contaminant")).filter("assembly <> ''")
-    sites = contam.diagnostic(contam.aligned_columns(pair), transversions, *(span or (None, None)))
+    columns = contam.aligned_columns(pair)
+    sites = contam.diagnostic(columns, transversions, *(span or (None, None)))
     if not force and sites.filter(F.col("strength") == contam.STRONG).count() < LEAST_STRONG:
         raise ValueError(f"fewer than {LEAST_STRONG} strong positions; force the estimate to have it anyway")
     named = alns.withColumn("name", S.plain_name(F.col("id")))
-    each = named.select("name", "segment", "start", "rc", "seq", "smp")
-    chars = F.filter(F.split("seq", ""), lambda c: c != "")
-    bases = each.select("name", "segment", "start", F.posexplode(chars).alias("k", "base")).select(F.concat_ws("\t", "name", "segment").alias("id"), (F.col("start") + F.col("k")).alias("pos"), "base")
+    # Positions of a reference: small, and needed by every alignment.
+    lift = [r["dirt_pos"] for r in columns.filter("assembly <> '-'").orderBy("pos").select("dirt_pos").collect()]
+    asked = [r["pos"] for r in sites.select("pos").collect()]
+    keyed = named.select(F.concat_ws("\t", "name", "segment").alias("id"), "start", "seq", "ins")
+    bases = contam.agreed_bases(keyed, contaminant, lift, asked, scoring.flat() if matrix is None else matrix)
     kept = contam.effective(contam.observations(bases, sites, ancient), sites)
     classes = contam.classify(contam.observations(bases, kept, ancient), least_sites)
     unknown = {"klass": "unknown", "klass2": "unknown", "sites": 0}
