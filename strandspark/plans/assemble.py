@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -92,13 +93,14 @@ def _next_reads(culled: DataFrame, settings: Settings) -> DataFrame:
     return reads.withColumnRenamed("seq", "read")
 
 
-def assemble(spark: SparkSession, reads: DataFrame, reference: str, name: str = "reference", matrix: np.ndarray | None = None, settings: Settings = Settings()) -> Assembly:
+def assemble(spark: SparkSession, reads: DataFrame, reference: str, name: str = "reference", matrix: np.ndarray | None = None, settings: Settings = Settings(), each: Callable[[Assembly], None] | None = None) -> Assembly:
     """Run an assembly. ``reads``: ``ord``, ``id``, ``desc``, ``seq``, ``qual``, ``qual_sum``.
 
     The first pass places reads by the forward matrices and seeds. Then each round places the
     oriented reads on the last consensus with the matrices of their strand, flags redundant
     reads, drops low ones and calls the consensus anew, until it is the one before or
-    ``max_rounds`` are done. Only the consensus comes to the driver.
+    ``max_rounds`` are done. ``each`` is called with every round's state. Only the consensus
+    comes to the driver.
     """
     forward = scoring.flat(settings) if matrix is None else matrix
     backward = scoring.reverse(forward)
@@ -118,6 +120,8 @@ def assemble(spark: SparkSession, reads: DataFrame, reference: str, name: str =
         called = pileup.assembly_string(alns, scores, reference_rows(spark, current), settings.cons_code, settings)
         rounds += 1
         done = Assembly(name, current, alns, forward, backward, called, rounds, settings)
+        if each is not None:
+            each(done)
         if not settings.iterate or not called or called == last or called == current or rounds > settings.max_rounds:
             return done
         last, current = called, called
