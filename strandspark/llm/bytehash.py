@@ -16,7 +16,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Documents are hashed in groups of about so many bytes, which bounds the arrays of a step.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ GRAM = 32
 #: Spans of one anchor up to which its task builds an index; more go by hashes of windows.
 GROUP_SPANS = 2000
 #: Bytes of whole groups that share an index.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 17
 #: Low bits of a sort key that hold the place, the same for all texts, so that ties go to the first place everywhere.
 _POS = 30
 
@@ -125,35 +125,42 @@ class RunLengthIndex:
 
     def _sort(self) -> np.ndarray:
         """The suffix array by prefix doubling; ranks of each power of two are kept for matches."""
-        rank = np.unique(self.text, return_inverse=True)[1]
+        # Four symbols make the first key; a text has fewer than 2**15 different ones.
+        n, step = len(self.text), 4
+        key = np.zeros(n, dtype=np.int64)
+        for k in range(4):
+            key[: n - k] += (self.text[k:] + 1) << (15 * (3 - k)) if n > k else 0
+        rank = self._ranks(key, np.argsort(key))
         self.levels = [rank.astype(np.int32)]
-        n, step = len(rank), 1
         while True:
             following = np.zeros(n, dtype=np.int64)
             following[: n - step] = rank[step:] + 1
             key = rank.astype(np.int64) * (n + 1) + following
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            new = np.empty(n, dtype=bool)
-            new[0] = False
-            new[1:] = ordered[1:] != ordered[:-1]
-            number = np.cumsum(new)
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = number
+            order = np.argsort(key)
+            rank = self._ranks(key, order)
             step *= 2
-            if number[-1] == n - 1 if n else True:
+            if not n or rank[order[-1]] == n - 1:
                 return order
             self.levels.append(rank.astype(np.int32))
 
+    @staticmethod
+    def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+        ordered = key[order]
+        new = np.zeros(len(key), dtype=np.int64)
+        new[1:] = ordered[1:] != ordered[:-1]
+        rank = np.empty(len(key), dtype=np.int64)
+        rank[order] = np.cumsum(new)
+        return rank
+
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of common prefixes of suffixes, from the ranks of each power of two."""
         a, b, n = a.copy(), b.copy(), len(self.text)
         total = np.zeros(len(a), dtype=np.int64)
-        for k in range(len(self.levels) - 1, -1, -1):
-            rank = self.levels[k]
+        steps = [(rank, 4 << k) for k, rank in reversed(list(enumerate(self.levels)))] + [(self.text, 1)] * 3
+        for rank, size in steps:
             fits = (a < n) & (b < n)
             same = fits & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
-            gain = np.where(same, 1 << k, 0)
+            gain = np.where(same, size, 0)
             total, a, b = total + gain, a + gain, b + gain
         return total
 
