@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,24 +44,17 @@ def wrap(seq: Column, extra: int) -> Column:
 
 def kmer_code(kmer: Column) -> Column:
     """Two bits for each base (A 0, C 1, G 2, T 3, any case), or null if another letter occurs."""
-    digits = F.translate(F.upper(kmer), "ACGT", "0123")
-    return F.when(F.upper(kmer).rlike("^[ACGT]+$"), F.conv(digits, 4, 10).cast("bigint"))
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once, also where a lambda in ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    valid = (F.translate(kmer, "ACGTacgt", "") == "") & (kmer != "")
+    return F.when(valid, F.conv(F.translate(kmer, "ACGTacgt", "01230123"), 4, 10).cast("bigint"))
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All runs of k letters, in order; none if the sequence is shorter."""
-    none = F.array().cast("array<string>")
-
-    def runs(s: Column) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.length(s) - (k - 1), F.lit(1)))
-        return F.when(F.length(s) >= k, F.transform(at, lambda i: F.substring(s, i, F.lit(k)))).otherwise(none)
+    """All runs of k letters, in order; none if the sequence is shorter.
 
-    return let(seq, runs)
+    A lookahead finds overlapping runs in one pass; cutting each out by its place would start
+    at the front of the sequence every time.
+    """
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
 
 
 def iupac_mask(base: Column) -> Column:

@@ -48,15 +48,17 @@ def fastq(spark: SparkSession, path: str, settings: Settings = Settings(), mode:
     A record is found by its header at the start of a line: the text is split before lines
     that begin with '@' and are followed, two lines on, by a line that begins with '+'.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", r"\s+$", "").alias("value"))
-    # Line numbers within the file: counts per partition first, then positions; no row is gathered.
-    part = F.shiftright("line", 33)
-    sizes = lines.groupBy(part.alias("part")).count()
-    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = sizes.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    numbered = lines.withColumn("part", part).join(F.broadcast(base), "part")
-    n = F.col("base") + F.col("line").bitwiseAND(F.lit((1 << 33) - 1))
-    each = numbered.select(F.floor(n / 4).alias("ord"), (n % 4).cast("int").alias("k"), "value").filter("value <> '' OR k <> 0")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", r"\s+$", "").alias("value"))
+    # Line numbers within each file: rows of a block are numbered in a run, so counts of the
+    # blocks before it and the first number of its own give the place. No row is gathered.
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("size"), F.min("line").alias("first"))
+    before = F.sum("size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    number = F.dense_rank().over(Window.orderBy("file"))
+    base = sizes.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("base"), number.cast("bigint").alias("number"))
+    numbered = lines.join(base, ["file", "block"])
+    n = F.col("base") + F.col("line") - F.col("first")
+    each = numbered.select((F.shiftleft("number", 40) + F.floor(n / 4)).alias("ord"), (n % 4).cast("int").alias("k"), "value").filter("value <> '' OR k <> 0")
     pick = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
     rec = each.groupBy("ord").agg(pick(0).alias("head"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("qual"))
     good = F.coalesce(F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual")), F.lit(False))
@@ -104,7 +106,8 @@ def assembly_text(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     records of tagged lines. Older files without NUM_INPUTS or DR give 1 and false.
     """
     head_lines: list[str] = []
-    for row in spark.read.text(path).select("value").toLocalIterator():
+    marked = spark.read.text(path).filter(F.col("value").startswith("/* map_alignment")).select("_metadata.file_path").limit(1).collect()
+    for row in spark.read.text(marked[0][0] if marked else path).select("value").toLocalIterator():
         if row[0].startswith("__ALNSEQS__"):
             break
         head_lines.append(row[0])
