@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, secrets
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
@@ -68,6 +68,66 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+OP3 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS words FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS words FROM benchmark),
+d0 AS (SELECT doc_id, words, greatest(len(words) - 4, 1) AS total, unnest(range(0, greatest(len(words) - 4, 1))) AS p FROM dw WHERE len(words) > 0),
+d AS (SELECT doc_id, total, p, list_slice(words, p + 1, p + 5) AS sh FROM d0),
+i0 AS (SELECT item_id, words, greatest(len(words) - 4, 1) AS n, unnest(range(0, greatest(len(words) - 4, 1))) AS p FROM iw WHERE len(words) > 0),
+i AS (SELECT item_id, n, list_slice(words, p + 1, p + 5) AS sh, count(*) AS cnt FROM i0 GROUP BY ALL),
+hits AS (SELECT doc_id, total, p, item_id, n, sh, cnt FROM d JOIN i USING (sh)),
+met AS (
+  SELECT a.doc_id, a.item_id, a.p AS p0, a.n, least(a.n, a.total - a.p) AS w, b.sh, least(count(*), b.cnt) AS c
+  FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p >= a.p AND b.p < a.p + a.n
+  GROUP BY a.doc_id, a.item_id, a.p, a.n, a.total, b.sh, b.cnt),
+sim AS (SELECT doc_id, item_id, p0, sum(c) / (n + w - sum(c)) AS s FROM met GROUP BY doc_id, item_id, p0, n, w)
+SELECT doc_id, item_id, max(s) AS similarity, min_by(p0, (-s, p0))::BIGINT AS window_start
+FROM sim WHERE s * 100 >= 80 - 1e-9 GROUP BY doc_id, item_id
+"""
+
+OP5 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s0 AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM w WHERE len(words) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 2), chr(1)) AS sh FROM s0),
+c AS (SELECT doc_id, count(*) AS n, md5(string_agg(sh, chr(2) ORDER BY sh)) AS fp FROM s GROUP BY doc_id),
+rep AS (SELECT fp, min(doc_id) AS rep, any_value(n) AS n FROM c GROUP BY fp),
+rs AS (SELECT rep, n, sh FROM s JOIN rep ON doc_id = rep),
+pairs AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM rs a JOIN rs b ON a.sh = b.sh AND a.rep < b.rep GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 85 * (na + nb - k)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT rep AS node, rep AS seen FROM rep UNION SELECT node, e.b FROM reach JOIN edges e ON e.a = seen),
+comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN rep USING (fp) LEFT JOIN comp ON node = rep.rep
+"""
+
+
+def _matches(kind: secrets.Kind, rank: int) -> str:
+    """All matches of a kind with their values, and the pieces between them."""
+    pattern = kind.pattern.replace("'", "''")
+    return f"""SELECT doc_id, source, '{kind.name}' AS kind, {rank} AS rank, {str(kind.base).lower()} AS base, {kind.min_value} AS least,
+      regexp_extract_all(body, '{pattern}', 0) AS m, regexp_extract_all(body, '{pattern}', {kind.group}) AS v, string_split_regex(body, '{pattern}') AS g FROM t"""
+
+
+_KINDS = secrets.BASE_KINDS + secrets.MORE_KINDS
+OP6 = f"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS body FROM documents),
+k AS ({" UNION ALL ".join(_matches(kind, rank) for rank, kind in enumerate(_KINDS))}),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS j FROM k),
+f AS (SELECT doc_id, source, kind, rank, base, v[j] AS value,
+        (list_sum(list_transform(list_slice(g, 1, j), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, j - 1), lambda x: length(x))), 0))::BIGINT AS s,
+        length(m[j]) AS n FROM e WHERE length(v[j]) >= least),
+o AS (SELECT value, count(DISTINCT source) AS owners FROM f GROUP BY value),
+q AS (SELECT f.*, owners < {secrets.SHARED_OWNERS} AS live FROM f JOIN o USING (value) WHERE base OR owners < {secrets.SHARED_OWNERS}),
+a AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) FILTER (WHERE base) AS base_spans, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) AS spans,
+        count(*) FILTER (WHERE live) AS n_live FROM q GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM t LEFT JOIN a USING (doc_id)
+"""
+
 OP9 = r"""
 WITH l AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents),
@@ -110,6 +170,9 @@ FROM f GROUP BY conv_id
 ORACLES: dict[str, str] = {
     "op1_warc_archives": OP1,
     "op2_quality_rules": OP2,
+    "op3_benchmark_decontamination": OP3,
+    "op5_minhash_neardup": OP5,
+    "op6_secret_scan": OP6,
     "op9_line_dedup": OP9,
     "op10_chat_format": OP10,
 }
