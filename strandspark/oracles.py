@@ -164,5 +164,13 @@ SELECT block, rpad('reference', 15, ' ') || ' ' || substr(r, block * 60 + 1, 60)
     "k5_table": f"WITH {X.COLUMNS_SQL}, {_ENDS} SELECT cols.pos, cons, ref_base, cov, cols.pos + 1 AS position, " + ", ".join(f"CASE WHEN ins_idx < 0 THEN coalesce({c}, 0) ELSE 0 END AS {c}" for c in ("fwd_starts", "rev_starts", "fwd_ends", "rev_ends")) + " FROM cols LEFT JOIN e USING (pos) WHERE NOT (ref_base = '-' AND cons = '-')",
     "k6_details": f"WITH {X.COLUMNS_SQL} SELECT pos, ins_idx, ref_base, cons, cov, na, nc, ng, nt, gaps, sa, sc, sg, st, phred, round(frac_agree, 9) AS frac_agree FROM cols WHERE ref_base <> cons",
     "k7_fasta": f"WITH {X.COLUMNS_SQL}, t AS (SELECT replace(string_agg(cons, '' ORDER BY pos, place), '-', '') AS s FROM cols) SELECT '>Consensus' || chr(10) || array_to_string(list_transform(range(0, (length(s) + 59) // 60), lambda i: substr(s, i * 60 + 1, 60)), chr(10)) AS value FROM t",
+    "k8_region": f"""WITH {X.COLUMNS_SQL}, grid AS (SELECT pos, place, ins_idx, ref_base, cons FROM cols WHERE pos BETWEEN 899 AND 959),
+c AS (SELECT p.ord, p.id || CASE WHEN trimmed THEN 't' ELSE '_' END || CASE WHEN rc THEN 'r' ELSE '_' END || '01' AS name, start, "end", g.pos, place,
+  CASE WHEN NOT (start <= g.pos AND g.pos <= "end") THEN '.' WHEN ins_idx < 0 THEN substr(seq, g.pos - start + 1, 1) WHEN start = g.pos THEN '.'
+       WHEN ins_pos = g.pos AND length(ins) > ins_idx THEN substr(ins, ins_idx + 1, 1) ELSE '-' END AS ch
+  FROM placed p, grid g WHERE start <= 959 AND "end" >= 899)
+SELECT start, "end", name, string_agg(ch, '' ORDER BY pos, place) AS text FROM c GROUP BY ord, name, start, "end"
+UNION ALL SELECT -1, -1, 'reference', string_agg(ref_base, '' ORDER BY pos, place) FROM grid
+UNION ALL SELECT -1, -1, 'Consensus', string_agg(cons, '' ORDER BY pos, place) FROM grid""",
     "k11_contamination_report": f"WITH {_classes(1)}, q AS (SELECT " + ", ".join(f"count(*) FILTER (WHERE klass2 = '{k}') AS {v}" for k, v in (("unknown", "unclassified"), ("clean", "clean"), ("dirt", "polluting"), ("conflict", "conflicting"), ("nonsense", "nonsensical"))) + f" FROM k) SELECT *, {_wilson('polluting', '(polluting + clean)')} FROM q",
 }
