@@ -28,10 +28,10 @@ def _named(header: Column, settings: Settings) -> tuple[Column, Column]:
 def fasta(spark: SparkSession, path: str, settings: Settings = Settings(), keep_case: bool = False, longest: int | None = None) -> DataFrame:
     """One row per record, in file order by ``ord``; sequences over the limit are cut, as reads are.
 
-    Records are split by Spark's own line reader with '>' as separator, so a file is read in
-    parallel pieces and no record is assembled by hand.
+    Records are split by Spark's own line reader at lines that begin with '>', so a file is
+    read in parallel pieces and no record is assembled by hand.
     """
-    raw = spark.read.text(path, lineSep=">").filter(F.length(F.trim("value")) > 0)
+    raw = spark.read.text(path, lineSep="\n>").withColumn("value", F.regexp_replace("value", "^\\s*>", "")).filter("trim(value) <> ''")
     head = F.regexp_replace(F.regexp_extract("value", r"^[^\n]*", 0), r"\r$", "")
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     name, rest = _named(head, settings)

@@ -26,9 +26,9 @@ def test_complement_and_names(spark):
 
 
 def test_fasta_and_fastq_readers(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">one first read\r\nacgt\nAC GT\n>two\n" + "A" * 300 + "\n>three x\n\n")
+    (tmp_path / "a.fa").write_text(">one first > read\r\nacgt\nAC GT\n>two\n" + "A" * 300 + "\n>three x\n\n")
     rows = readers.reads(spark, str(tmp_path / "a.fa")).orderBy("ord").collect()
-    assert [(r.id, r.desc, r.seq_len) for r in rows] == [("one", "first read", 8), ("two", "", 256), ("three", "x", 0)]
+    assert [(r.id, r.desc, r.seq_len) for r in rows] == [("one", "first > read", 8), ("two", "", 256), ("three", "x", 0)]
     assert rows[0].seq == "ACGTACGT"
     (tmp_path / "b.fq").write_text("@r1 d\nacg\n+\nII!\n@r2\nAC\n+r2\n@@\n")
     rows = readers.reads(spark, str(tmp_path / "b.fq")).orderBy("ord").collect()
@@ -38,7 +38,7 @@ def test_fasta_and_fastq_readers(spark, tmp_path):
         readers.fastq(spark, str(tmp_path / "c.fq")).collect()
     assert [r.id for r in readers.fastq(spark, str(tmp_path / "c.fq"), mode="DROPMALFORMED").collect()] == ["r2"]
     name, desc, seq = readers.reference(spark, str(tmp_path / "a.fa"))
-    assert (name, desc, seq) == ("one", "first read", "acgtACGT")
+    assert (name, desc, seq) == ("one", "first > read", "acgtACGT")
 
 
 def test_newest_sibling(spark, tmp_path):
