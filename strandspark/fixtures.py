@@ -20,8 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(``doc_id``, ``dna``) of whole texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", S.dna(F.col("text")).alias("dna"))
+    """(``doc_id``, ``dna``) of whole texts.
+
+    What follows makes a hundred rows of each text, so texts are dealt over all cores first;
+    a small table is one row group, hence one task.
+    """
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+    return texts.select("doc_id", S.dna(F.col("text")).alias("dna"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

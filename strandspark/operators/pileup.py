@@ -15,11 +15,20 @@ from ..functions import seq as S
 COUNTS = ["cov", "na", "nc", "ng", "nt", "gaps", "sa", "sc", "sg", "st"]
 
 
+def letters(df: DataFrame, seq: str, *keep: str) -> DataFrame:
+    """``keep`` with one row for each letter of a short sequence: ``k`` from 0 and ``base``.
+
+    Places are generated and letters cut out by place, which stays in generated code; an
+    array of letters would be built in interpreted steps.
+    """
+    each = df.filter(F.length(seq) > 0).select(*keep, seq, F.explode(F.sequence(F.lit(0), F.length(seq) - 1)).alias("k"))
+    return each.withColumn("base", F.substring(F.col(seq), F.col("k") + 1, F.lit(1)))
+
+
 def bases(alns: DataFrame) -> DataFrame:
     """(``pos``, ``base``, ``depth``, ``rc``): one row for each column of each placed read."""
-    chars = F.filter(F.split("seq", ""), lambda c: c != "")
-    each = alns.select("start", "rc", F.posexplode(F.arrays_zip(chars.alias("base"), F.col("smp").alias("depth"))).alias("k", "x"))
-    return each.select((F.col("start") + F.col("k")).alias("pos"), "x.base", "x.depth", "rc")
+    each = letters(alns, "seq", "start", "rc", "smp")
+    return each.select((F.col("start") + F.col("k")).alias("pos"), "base", F.get("smp", F.col("k")).alias("depth"), "rc")
 
 
 def inserted(alns: DataFrame) -> DataFrame:
@@ -31,7 +40,10 @@ def inserted(alns: DataFrame) -> DataFrame:
 
 def count_bases(each: DataFrame, scores: DataFrame, *keys: str) -> DataFrame:
     """Counts and weighted score sums by ``keys``; every character counts as coverage, a gap has no score."""
-    joined = each.withColumn("read_b", S.base_index(F.col("base"))).join(F.broadcast(scores), ["rc", "depth", "read_b"], "left")
+    # One integer key lets the join use the fast table for long keys.
+    key = lambda b: F.col("rc").cast("bigint") * 1000 + F.col("depth") * 5 + b
+    fixed = scores.select(key(F.col("read_b")).alias("__key"), "sa", "sc", "sg", "st")
+    joined = each.withColumn("__key", key(S.base_index(F.col("base")))).join(F.broadcast(fixed), "__key", "left")
     gap = F.col("base") == "-"
     score = lambda c: F.sum(F.when(gap, F.lit(0)).otherwise(F.col(c))).cast("bigint").alias(c)
     return joined.groupBy(*keys).agg(

@@ -386,8 +386,8 @@ def a18s(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _majority(spark: SparkSession, sf: str, per_cent: int, style: str) -> DataFrame:
-    chars = F.filter(F.split(F.replace("seq", F.lit("GAT"), F.lit("G-T")), ""), lambda c: c != "")
-    each = X.reads(spark, sf).select((F.col("doc_id") % 50).alias("block"), F.posexplode(chars).alias("pos", "base"))
+    rows = X.reads(spark, sf).select((F.col("doc_id") % 50).alias("block"), F.replace("seq", F.lit("GAT"), F.lit("G-T")).alias("seq"))
+    each = pileup.letters(rows, "seq", "block").withColumnRenamed("k", "pos").drop("seq")
     return pileup.majority(each, per_cent, style, "block")
 
 
@@ -475,8 +475,7 @@ def f6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x1_base_index")
 def x1(spark: SparkSession, sf: str) -> DataFrame:
-    chars = F.filter(F.split("seq", ""), lambda c: c != "")
-    each = X.placed(spark, sf).select(F.explode(chars).alias("base"))
+    each = pileup.letters(X.placed(spark, sf), "seq").select("base")
     return each.groupBy("base", S.base_index(F.col("base")).alias("inx")).agg(F.count("*").alias("n"))
 
 
