@@ -34,6 +34,8 @@ GROUP_SPANS = 2000
 INDEX_BYTES = 1 << 17
 #: Low bits of a sort key that hold the place, the same for all texts, so that ties go to the first place everywhere.
 _POS = 30
+#: Tasks of the index for each shuffle partition.
+INDEX_TASKS = 4
 
 
 def window_anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -293,7 +295,9 @@ def repeated_windows(keyed: DataFrame, folder: str, window: int = WINDOW, gram:
     texts = keyed.join(lists, ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("k1", "k2", "body", "spans")
     bodies = cut(_cut_spans(texts, window).join(contested, "anchor").select("k1", "k2", "anchor", "span", "p0", "n", "body", "kinds"), folder, "bodies")
     few = bodies.filter(F.col("kinds") <= group_spans).select("k1", "k2", "anchor", "span", "p0", "n", "body")
-    few = few.repartition("anchor").sortWithinPartitions("anchor")
+    # The index costs far more a byte than a sort does, so its tasks are cut finer than a shuffle's.
+    parts = INDEX_TASKS * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = few.repartition(parts, "anchor").sortWithinPartitions("anchor")
     inside = few.mapInArrow(lambda b: _search(b, window), _FOUND)
     many = bodies.filter(F.col("kinds") > group_spans).select("k1", "k2", "anchor", "span", "p0", "n", "body")
     hashed = _window_hashes(many, window)
