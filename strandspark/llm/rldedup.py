@@ -282,7 +282,8 @@ def repeated_windows(keyed: DataFrame, folder: str, window: int = WINDOW, gram:
     kinds = cut(kinds, folder, "kinds")
     per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
     contested = per_anchor.filter("kinds > 1")
-    equal = spans.join(kinds.filter("n > 1").select("anchor", "span"), ["anchor", "span"]).select("k1", "k2", "p0", "p1")
+    # Copies of a text have one key; their spans are said once, not once for each copy.
+    equal = spans.join(kinds.filter("n > 1").select("anchor", "span"), ["anchor", "span"]).select("k1", "k2", "p0", "p1").distinct()
 
     chosen = kinds.join(contested, "anchor").select("anchor", "span", F.col("n").alias("n"), "kinds", F.col("k1").alias("key"))
     at = spans.join(chosen, ["anchor", "span"]).filter("k1 = key").groupBy("anchor", "span").agg(
