@@ -62,7 +62,9 @@ def seeded_reads(spark: SparkSession, reads: DataFrame, reference: str, settings
     index = seeds.reference_index(spark, wrapped, settings.kmer, settings.soft_mask, settings.kmer_positions)
     open_ = seeds.windows(seeds.hits(reads, index, settings.kmer), len(wrapped), settings.mask_buffer, settings.kmer_saturate)
     per = open_.groupBy("ord").agg(*[F.first(F.when(F.col("strand") == s, F.col(c)), ignorenulls=True).alias(f"{c}_{s}") for s in ("f", "r") for c in ("spans", "whole")])
-    return reads.join(per, "ord").withColumn("seeded", F.lit(True))
+    # Alignment costs far more a byte than a join does, so its tasks are not merged by size.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return reads.join(per, "ord").withColumn("seeded", F.lit(True)).repartition(parts, "ord")
 
 
 def _cull(placed: DataFrame, reference: str, settings: Settings) -> DataFrame:

@@ -616,10 +616,14 @@ def j9(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("i2_iterate")
 def i2(spark: SparkSession, sf: str) -> DataFrame:
-    """Reads of a benchmark item bring a changed reference back to the item."""
-    truth = X.reference(spark, sf)[:400]
+    """Reads of whole texts, and reads over the whole reference, bring a changed reference back to the benchmark's letters."""
+    truth = X.reference(spark, sf)
     changed = "".join({"A": "C", "C": "A", "G": "T", "T": "G"}[c] if k % 60 == 31 else c for k, c in enumerate(truth))
-    one = spark.createDataFrame([(truth,)], "t string").select("t", F.explode(F.sequence(F.lit(0), F.lit(len(truth) - 60), F.lit(5))).alias("at"))
-    reads = one.select(F.col("at").cast("bigint").alias("ord"), F.concat(F.lit("r"), F.col("at").cast("string")).alias("id"), F.lit("").alias("desc"), F.substring("t", F.col("at") + 1, F.lit(60)).alias("seq"), F.lit(None).cast("string").alias("qual"), F.lit(None).cast("int").alias("qual_sum"))
-    done = assemble.assemble(spark, reads, changed, settings=Settings(kmer=10))
+    columns = ["ord", "id", "desc", "seq", "qual", "qual_sum"]
+    texts = X.reads(spark, sf).withColumn("qual_sum", S.qual_sum(F.col("qual")).cast("int")).select(*columns)
+    last = F.lit(len(truth) - 100)
+    one = spark.createDataFrame([(truth,)], "t string").select("t", F.explode(F.array_union(F.sequence(F.lit(0), last, F.lit(5)), F.array(last))).alias("at"))
+    # Texts have orders from 0 on, so reads of the reference have those below.
+    own = one.select((-1 - F.col("at")).cast("bigint").alias("ord"), F.concat(F.lit("b"), F.col("at").cast("string")).alias("id"), F.lit("").alias("desc"), F.substring("t", F.col("at") + 1, F.lit(100)).alias("seq"), F.lit(None).cast("string").alias("qual"), F.lit(None).cast("int").alias("qual_sum"))
+    done = assemble.assemble(spark, texts.unionByName(own), changed, settings=Settings(kmer=10))
     return spark.createDataFrame([(done.consensus, done.consensus == truth)], "consensus string, recovered boolean")
