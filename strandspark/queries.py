@@ -599,10 +599,11 @@ def k11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j3_align")
 def j3(spark: SparkSession, sf: str) -> DataFrame:
-    """Each benchmark item, whole, placed on the first one by letters; both strands are tried."""
-    items = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("id"), F.lit("").alias("desc"), S.dna(F.col("text")).alias("seq"), F.lit(None).cast("string").alias("qual"), F.lit(None).cast("int").alias("qual_sum"))
-    first = items.orderBy("ord").first()["seq"]
-    placed = align.first_pass(items, first, scoring.flat(), Settings(distant=True))
+    """Reads of whole texts placed on the whole reference, where seeds open it; both strands are tried."""
+    settings = Settings(kmer=12, distant=True)
+    ref = X.reference(spark, sf)
+    reads = X.reads(spark, sf).withColumn("qual_sum", S.qual_sum(F.col("qual")))
+    placed = align.first_pass(assemble.seeded_reads(spark, reads, ref, settings), ref, scoring.flat(), settings)
     return placed.select("ord", "score", "rc", "start", "end", F.length("seq").alias("len"))
 
 

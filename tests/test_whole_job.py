@@ -55,3 +55,16 @@ def test_iteration_brings_back_the_whole_reference(spark, monkeypatch):
     truth = X.reference(spark, SMALL)
     assert given["length"] == len(truth) and done["consensus"] == truth
     assert {r.ord for r in X.reads(spark, SMALL).select("ord").collect()} <= given["ords"]
+
+
+def test_alignment_places_reads_of_all_texts(spark):
+    placed = QUERIES["j3_align"](spark, SMALL).toPandas()
+    ref = X.reference(spark, SMALL)
+    settings = Settings(kmer=12)
+    seeded = assemble.seeded_reads(spark, X.reads(spark, SMALL), ref, settings)
+    assert set(placed["ord"]) == {r.ord for r in seeded.select("ord").collect()}
+    assert placed["end"].max() > 6000
+    # A read that is a part of the reference has its full score there.
+    inside = [r for r in X.reads(spark, SMALL).filter("len = 100").select("ord", "seq").collect() if r.seq in ref]
+    score = dict(zip(placed["ord"], placed["score"], strict=True))
+    assert inside and all(score[r.ord] == 20000 for r in inside)
