@@ -540,6 +540,23 @@ def x12(spark: SparkSession, sf: str) -> DataFrame:
     return rows.mapInPandas(work, "item_id bigint, expected bigint, trim_point bigint")
 
 
+@query("x12_adapter_trim_reads")
+def x12r(spark: SparkSession, sf: str) -> DataFrame:
+    """As x12_adapter_trim, over all reads of whole texts, and over whole items with negative orders."""
+    flat = scoring.flat()
+
+    def work(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"ord": b["ord"], "expected": b["cut"], "trim_point": [kernel.trim_point(s, ADAPTERS["n"], flat) for s in b["seq"]]}).astype({"trim_point": "Int64"})
+
+    texts = X.reads(spark, sf).select("ord", "seq")
+    items = X.table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("ord"), S.dna(F.col("text")).alias("seq"))
+    rows = texts.unionByName(items).select("ord", F.length("seq").cast("bigint").alias("cut"), F.concat("seq", F.lit(ADAPTERS["n"])).alias("seq"))
+    return rows.mapInPandas(work, "ord bigint, expected bigint, trim_point bigint")
+
+
 @query("x17_plain_name")
 def x17(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat("p_name", F.element_at(F.array(F.lit(""), F.lit("_f"), F.lit(",_b"), F.lit("_x")), (F.col("p_partkey") % 4 + 1).cast("int")))

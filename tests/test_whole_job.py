@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandspark import fixtures as X
 from strandspark.config import Settings
 from strandspark.functions import scoring
+from strandspark.functions import seq as S
 from strandspark.operators import align
 from strandspark.plans import assemble
 from strandspark.queries import QUERIES
@@ -68,3 +69,15 @@ def test_alignment_places_reads_of_all_texts(spark):
     inside = [r for r in X.reads(spark, SMALL).filter("len = 100").select("ord", "seq").collect() if r.seq in ref]
     score = dict(zip(placed["ord"], placed["score"], strict=True))
     assert inside and all(score[r.ord] == 20000 for r in inside)
+
+
+def test_adapter_is_trimmed_from_all_reads_and_whole_items(spark):
+    got = QUERIES["x12_adapter_trim_reads"](spark, SMALL).toPandas().set_index("ord")
+    reads = {r.ord: r.len for r in X.reads(spark, SMALL).select("ord", "len").collect()}
+    items = {-1 - r.item_id: r.n for r in X.table(spark, SMALL, "benchmark").select("item_id", F.length(S.dna(F.col("text"))).alias("n")).collect()}
+    assert got["expected"].to_dict() == reads | items and max(items.values()) > 60
+    # A read whose end spells the adapter's begin is cut a little earlier; no adapter is missed.
+    assert got["trim_point"].notna().all()
+    near = (got["expected"] - 1 - got["trim_point"].astype(int)).abs()
+    assert (near == 0).mean() > 0.9, near.value_counts().to_dict()
+    assert (near[got.index < 0] == 0).all(), near[got.index < 0].value_counts().to_dict()
