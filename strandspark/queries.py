@@ -225,6 +225,14 @@ def j7(spark: SparkSession, sf: str) -> DataFrame:
     return seen.groupBy("pos", "strength").agg(F.count("*").alias("n"), F.count_if("clean").alias("clean"), F.count_if("dirt").alias("dirt"))
 
 
+@query("j7_diagnostic_join_whole")
+def j7w(spark: SparkSession, sf: str) -> DataFrame:
+    """As j7_diagnostic_join, over the whole reference and all segments."""
+    bases = pileup.bases(X.placed(spark, sf))
+    seen = contam.observations(bases.select(F.lit("x").alias("id"), "pos", "base"), _sites(spark, sf, whole=True), True)
+    return seen.groupBy("pos", "strength").agg(F.count("*").alias("n"), F.count_if("clean").alias("clean"), F.count_if("dirt").alias("dirt"))
+
+
 @query("j8_half_merge")
 def j8(spark: SparkSession, sf: str) -> DataFrame:
     klass = F.element_at(F.array(*[F.lit(k) for k in contam.LABELS]), (F.col("l_partkey") % 5 + 1).cast("int"))
@@ -362,8 +370,8 @@ def a16(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("source", *[F.round(w[c], 9).alias(c) for c in ("estimate", "low", "high")])
 
 
-def _sites(spark: SparkSession, sf: str) -> DataFrame:
-    ref = assemble.reference_rows(spark, X.reference(spark, sf)).filter(F.col("pos") < X.SPAN)
+def _sites(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    ref = assemble.reference_rows(spark, X.reference(spark, sf)).filter(F.lit(whole) | (F.col("pos") < X.SPAN))
     other = F.when(F.col("pos") % 9 == 0, F.translate("ref_base", "ACGT", "GTAC")).when(F.col("pos") % 9 == 4, F.translate("ref_base", "ACGT", "RMKB")).when(F.col("pos") % 9 == 7, F.translate("ref_base", "ACGT", "CAAA")).otherwise(F.col("ref_base"))
     pair = ref.select(F.col("pos").alias("col"), F.col("ref_base").alias("assembly"), other.alias("contaminant"))
     return contam.diagnostic(contam.aligned_columns(pair))
@@ -375,6 +383,13 @@ def a17(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("strength").agg(F.count("*").alias("n"), F.count_if(S.is_transversion(F.col("assembly"), F.col("contaminant"))).alias("transversions"))
 
 
+@query("a17_diagnostic_sites_whole")
+def a17w(spark: SparkSession, sf: str) -> DataFrame:
+    """As a17_diagnostic_sites, over the whole reference."""
+    s = _sites(spark, sf, whole=True)
+    return s.groupBy("strength").agg(F.count("*").alias("n"), F.count_if(S.is_transversion(F.col("assembly"), F.col("contaminant"))).alias("transversions"))
+
+
 @query("a18_majority")
 def a18(spark: SparkSession, sf: str) -> DataFrame:
     return _majority(spark, sf, 70, "gaps")

@@ -12,8 +12,11 @@ from strandspark.functions import scoring
 from strandspark.functions import seq as S
 from strandspark.operators import align
 from strandspark.plans import assemble
+from strandspark.oracles import ORACLES
 from strandspark.queries import QUERIES
 
+from compare import connect, differing
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -81,3 +84,14 @@ def test_adapter_is_trimmed_from_all_reads_and_whole_items(spark):
     near = (got["expected"] - 1 - got["trim_point"].astype(int)).abs()
     assert (near == 0).mean() > 0.9, near.value_counts().to_dict()
     assert (near[got.index < 0] == 0).all(), near[got.index < 0].value_counts().to_dict()
+
+
+@pytest.mark.parametrize(("name", "cuts"), [("a17_diagnostic_sites", [f" WHERE pos < {X.SPAN}"]), ("j7_diagnostic_join", [f" WHERE pos < {X.SPAN}", " WHERE segment = 'a'"])])
+def test_sites_of_the_whole_reference(spark, name, cuts):
+    sql = ORACLES[name]
+    for cut in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, "")
+    con = connect(SMALL)
+    assert differing(QUERIES[f"{name}_whole"](spark, SMALL), con, sql)[:3] == []
+    assert con.execute(sql).fetchall() != con.execute(ORACLES[name]).fetchall()
