@@ -244,6 +244,17 @@ def j8(spark: SparkSession, sf: str) -> DataFrame:
     return contam.merge_halves(rows)
 
 
+@query("j8_half_merge_whole")
+def j8w(spark: SparkSession, sf: str) -> DataFrame:
+    """As j8_half_merge, over all line items: each pair of lines of an order is a read's halves."""
+    klass = F.element_at(F.array(*[F.lit(k) for k in contam.LABELS]), (F.col("l_partkey") % 5 + 1).cast("int"))
+    klass2 = F.element_at(F.array(*[F.lit(k) for k in contam.LABELS]), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    name = F.concat_ws(".", F.col("l_orderkey").cast("string"), F.expr("(l_linenumber + 1) div 2").cast("string"))
+    rows = X.table(spark, sf, "lineitem").select(name.alias("name"), F.when(F.col("l_linenumber") % 2 == 1, "f").otherwise("b").alias("segment"), klass.alias("klass"), klass2.alias("klass2"), F.col("l_quantity").cast("bigint").alias("sites"))
+    rows = rows.groupBy("name", "segment").agg(F.min("klass").alias("klass"), F.max("klass2").alias("klass2"), F.min("sites").alias("sites"))
+    return contam.merge_halves(rows)
+
+
 @query("j10_lift_over")
 def j10(spark: SparkSession, sf: str) -> DataFrame:
     ref = X.reference(spark, sf)
