@@ -175,6 +175,13 @@ def f20(spark: SparkSession, sf: str) -> DataFrame:
     return X.table(spark, sf, "documents").groupBy(S.is_sequence(F.substring_index("text", " ", 1)).alias("ok")).agg(F.count("*").alias("n"))
 
 
+@query("f20_sequence_check_words")
+def f20w(spark: SparkSession, sf: str) -> DataFrame:
+    """As f20_sequence_check, of every word of each text."""
+    words = X.table(spark, sf, "documents").select(F.explode(F.split("text", "[ \\t\\n\\f\\r]+")).alias("word")).filter("word <> ''")
+    return words.groupBy(S.is_sequence(F.col("word")).alias("ok")).agg(F.count("*").alias("n"))
+
+
 # Joins ---------------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """The kernel's queries do the whole job: all texts, the whole reference, whole items."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -106,3 +107,10 @@ def test_halves_of_all_line_items_are_merged(spark):
     assert differing(QUERIES["j8_half_merge_whole"](spark, SMALL), con, sql)[:3] == []
     # A back without its front has no row, as the operator defines.
     assert con.execute(f"SELECT count(*) FROM ({sql})").fetchone() > con.execute(f"SELECT count(*) FROM ({ORACLES['j8_half_merge']})").fetchone()
+
+
+def test_every_word_is_checked_for_a_sequence(spark):
+    words = [w for r in X.table(spark, SMALL, "documents").select("text").collect() for w in re.split("[ \\t\\n\\f\\r]+", r.text or "") if w]
+    fit = sum(bool(re.fullmatch("[ACGTBDHVMKYRSWUNacgtbdhvmkyrswun]+", w)) for w in words)
+    got = {r.ok: r.n for r in QUERIES["f20_sequence_check_words"](spark, SMALL).collect()}
+    assert got == {True: fit, False: len(words) - fit} and fit and len(words) > 1000
