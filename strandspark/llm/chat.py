@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import running_sums
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 ANGLE = r"<(?=/?s>|\|)"
 SQUARE = r"\[(?=/?INST\])"
@@ -36,23 +38,14 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def _sum_before(lengths: Column) -> Column:
-    """Running sums before each item, by one fold."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("seen"))
-    return F.aggregate(
-        lengths,
-        zero,
-        lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["seen"], F.array(a["at"])).alias("seen")),
-        lambda a: a["seen"],
-    )
-
-
 def format_chats(turns: DataFrame, train_role: str = "assistant") -> DataFrame:
     """One row per ``conv_id``: ``formatted`` and ``loss_spans`` (code points, end exclusive).
 
     ``loss_spans`` covers the escaped text of each ``train_role`` turn and no marker. Null
     roles and texts count as empty, a null ``conv_id`` is a conversation of its own, repeated
-    rows are turns like any other. An empty table gives an empty result.
+    rows are turns like any other. Other columns are not carried, so their names cannot clash.
+    Very long texts and conversations are handled whole; a conversation is one row, and its
+    cost grows with its length. An empty table gives an empty result.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     df = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -70,7 +63,7 @@ def format_chats(turns: DataFrame, train_role: str = "assistant") -> DataFrame:
     df = df.select("conv_id", F.transform(at, piece).alias("pieces"))
     both = F.transform("pieces", lambda p: F.concat(p["head"], p["body"]))
     sizes = F.transform("pieces", lambda p: (F.length(p["head"]) + F.length(p["body"])).cast("bigint"))
-    df = df.select("conv_id", F.concat(F.array_join(both, ""), F.lit(END)).alias("formatted"), "pieces", _sum_before(sizes).alias("starts"))
+    df = df.select("conv_id", F.concat(F.array_join(both, ""), F.lit(END)).alias("formatted"), "pieces", running_sums(sizes).alias("starts"))
     spans = F.filter(
         F.transform(
             "pieces",

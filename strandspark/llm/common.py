@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,23 +15,42 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: The temporary folder of each local application that has no shared one.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
+    Only a session whose one process is the driver, and without that setting, gets a
+    temporary folder; a cluster of processes on this machine does not.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="strandspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _LOCAL[app] = _LOCAL.get(app) or "file://" + tempfile.mkdtemp(prefix="strandspark-")
     return f"{base.rstrip('/')}/strand-{uuid.uuid4().hex}"
 
 
+def clear_steps(spark: SparkSession) -> int:
+    """Delete all ``strand-*`` folders of the session's shared folder; their number.
+
+    Results of this package read these folders lazily, so write what you need first.
+    """
+    jvm = spark.sparkContext._jvm
+    parent = jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).getParent()
+    fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(parent, "strand-*")) or []
+    for status in found:
+        fs.delete(status.getPath(), True)
+    return len(found)
+
+
 def cut(df: DataFrame, folder: str, tag: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back, which ends its lineage."""
     path = f"{folder}/{tag}"
@@ -79,6 +99,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Items that one fold of :func:`running_sums` goes over.
+_FOLD = 128
+
+
+def running_sums(lengths: Column, levels: int = 3) -> Column:
+    """Sums of the items before each item of an array of longs, as an array of the same size.
+
+    A fold that appends copies its array at each step, which costs the square of the size. So
+    runs of 128 items are folded by themselves, and their totals are summed in the same way
+    one level up; with three levels two million items cost little more than their number.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def fold(items: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("before"))
+        return F.aggregate(items, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["before"], F.array(a["at"])).alias("before")))
+
+    if levels <= 1:
+        return fold(lengths)["before"]
+
+    def cut_up(items: Column) -> Column:
+        last = F.floor((F.size(items) - 1) / _FOLD)
+        runs = F.transform(F.sequence(zero, last), lambda b: fold(F.slice(items, (b * _FOLD + 1).cast("int"), F.lit(_FOLD))))
+        return F.when(F.size(items) <= _FOLD, fold(items)["before"]).otherwise(let(runs, joined))
+
+    def joined(runs: Column) -> Column:
+        totals = F.transform(runs, lambda r: r["at"])
+        both = F.struct(runs.alias("runs"), running_sums(totals, levels - 1).alias("base"))
+        return let(both, lambda x: F.flatten(F.transform(x["runs"], lambda r, i: F.transform(r["before"], lambda v: v + F.get(x["base"], i)))))
+
+    return let(lengths, cut_up)
+
+
 def ngram_hashes(items: Column, width: int, seed: int | None = None) -> Column:
     """64-bit hashes of all runs of ``width`` items; an empty array if there are fewer."""
     extra = [] if seed is None else [F.lit(seed)]

@@ -106,20 +106,20 @@ FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN rep USING (fp) LEFT JOIN c
 def _matches(kind: secrets.Kind, rank: int) -> str:
     """All matches of a kind with their values, and the pieces between them."""
     pattern = kind.pattern.replace("'", "''")
-    return f"""SELECT doc_id, source, '{kind.name}' AS kind, {rank} AS rank, {str(kind.base).lower()} AS base, {kind.min_value} AS least,
+    return f"""SELECT doc_id, source, repo, '{kind.name}' AS kind, {rank} AS rank, {str(kind.base).lower()} AS base, {kind.min_value} AS least,
       regexp_extract_all(body, '{pattern}', 0) AS m, regexp_extract_all(body, '{pattern}', {kind.group}) AS v, string_split_regex(body, '{pattern}') AS g FROM t"""
 
 
 _KINDS = secrets.BASE_KINDS + secrets.MORE_KINDS
 OP6 = f"""
-WITH t AS (SELECT doc_id, source, coalesce(text, '') AS body FROM documents),
+WITH t AS (SELECT doc_id, source, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS body FROM documents),
 k AS ({" UNION ALL ".join(_matches(kind, rank) for rank, kind in enumerate(_KINDS))}),
 e AS (SELECT *, unnest(range(1, len(m) + 1)) AS j FROM k),
-f AS (SELECT doc_id, source, kind, rank, base, v[j] AS value,
+f AS (SELECT doc_id, source, repo, kind, rank, base, v[j] AS value,
         (list_sum(list_transform(list_slice(g, 1, j), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, j - 1), lambda x: length(x))), 0))::BIGINT AS s,
         length(m[j]) AS n FROM e WHERE length(v[j]) >= least),
-o AS (SELECT value, count(DISTINCT source) AS owners FROM f GROUP BY value),
-q AS (SELECT f.*, owners < {secrets.SHARED_OWNERS} AS live FROM f JOIN o USING (value) WHERE base OR owners < {secrets.SHARED_OWNERS}),
+o AS (SELECT value, count(DISTINCT source) >= {secrets.SHARED_OWNERS} OR (count(DISTINCT source) >= 2 AND count(DISTINCT (source, repo)) >= {secrets.SHARED_REPOSITORIES}) AS copied FROM f GROUP BY value),
+q AS (SELECT f.*, NOT copied AS live FROM f JOIN o USING (value) WHERE base OR NOT copied),
 a AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
         string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) FILTER (WHERE base) AS base_spans, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) AS spans,
         count(*) FILTER (WHERE live) AS n_live FROM q GROUP BY doc_id)

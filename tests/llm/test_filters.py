@@ -81,14 +81,39 @@ def test_line_windows_equal_brute_force(spark):
         "\n".join(f"l{k % 7}" for k in range(400)), "\n".join(f"l{k % 7}" for k in range(30)),
     ]
     d = docs(spark, texts)
-    got = {r.doc_id: r for r in linededup.dedup_lines(d).collect()}
+    got = {r.doc_id: r for r in linededup.line_counts(d).collect()}
     want = brute_lines(enumerate(texts))
     for k, text in enumerate(texts):
         assert got[k].text == (None if text is None else want[k]), k
         if text is not None:
-            assert got[k]["__n_lines"] - got[k]["__n_removed"] == (len(want[k].split("\n")) if want[k] or got[k]["__n_lines"] > got[k]["__n_removed"] else 0)
+            assert got[k].n_lines == len(text.split("\n")), k
+            assert got[k].n_lines - got[k].n_removed == (len(want[k].split("\n")) if want[k] or got[k].n_lines > got[k].n_removed else 0)
     assert linededup.dedup_lines(d.limit(0)).count() == 0
-    assert linededup.dedup_lines(d).columns == [*d.columns, "__n_lines", "__n_removed"]
+    assert linededup.dedup_lines(d).columns == d.columns
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    d = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "q\na\nb\nc"), (2, "w\nx\ny\nz"), (3, "m\nn\no"), (3, "m\nn\no"), (None, "a\nb\nc\nd")], "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in linededup.dedup_lines(d).collect())
+    assert got == [(0, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (2, "q"), (2, "w\nx\ny\nz"), (3, "m\nn\no"), (3, "m\nn\no")]
+
+
+def test_line_dedup_leaves_clashing_columns_alone(spark):
+    names = ["__doc", "__lines", "__covered", "__stay", "__n_lines", "__n_removed", "row", "text_hash", "covered", "lines", "at", "w", "h1", "a.b"]
+    rows = [(1, "a\nb\nc\nd", *names), (2, "a\nb\nc", *names), (3, "w\na\nb\nc", *names)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for out, left in ((linededup.dedup_lines(d), [1, 2, 3]), (linededup.dedup_lines(d, length="lines", drop_emptied=True), [1, 3])):
+        got = sorted(out.collect(), key=lambda r: r[0])
+        assert out.columns == d.columns and [r[0] for r in got] == left
+        assert all([v for n, v in zip(names, r[2:], strict=True) if n != "lines"] == [n for n in names if n != "lines"] for r in got)
+    assert [r[1] for r in got] == ["a\nb\nc\nd", "w"] and [r["lines"] for r in got] == ["lines", "1"]
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    lines = [f"line {k}" for k in range(100_000)]
+    d = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["x", *lines[5000:95000], "y"]))], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in linededup.line_counts(d).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 90_000 and got[2].text == "x\ny"
 
 
 def base_spans(text):
@@ -117,6 +142,35 @@ def test_secret_spans_equal_brute_force(spark):
     assert secrets.find_secrets(docs(spark, SECRETS).limit(0), F.col("source"), F.col("source")).count() == 0
 
 
+def test_owners_and_repositories_decide_together(spark):
+    """Three owners, or two in five repositories, make an example; one owner's forks do not."""
+    spread = {"one": [("a", f"r{k}") for k in range(9)], "two": [("a", "r"), ("b", "r")], "many": [("a", "r1"), ("a", "r2"), ("a", "r3"), ("b", "r4"), ("b", "r5")], "three": [("a", "r"), ("b", "r"), ("c", "r")]}
+    rows = [(k, f"token={name}value", owner, repo, "clash") for name, where in spread.items() for k, (owner, repo) in enumerate(where)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, repo string, found string")
+    got = secrets.find_secrets(d, F.concat_ws("/", "source", "repo"), F.col("source")).select(F.explode("found").alias("s"), "doc_id")
+    live = {(r.s.n_owners, r.s.n_repositories): r.s.live for r in got.collect()}
+    assert live == {(1, 9): True, (2, 2): True, (2, 5): False, (3, 3): False}
+
+
+def test_secrets_of_a_very_long_text(spark):
+    text = "".join(f"é token: abcdef{k:06d} AKIAABCDEFGHIJ{k:06d}\n" for k in range(20_000))
+    r = secrets.find_secrets(docs(spark, [text]), F.col("source"), F.col("source")).select(secrets.span_text(F.filter("found", lambda s: s["base"])).alias("base")).first()
+    assert r.base == base_spans(text)
+
+
+def test_running_sums(spark):
+    from strandspark.llm.common import running_sums
+
+    sizes = [0, 1, 127, 128, 129, 16_384, 16_385, 40_000]
+    d = spark.createDataFrame([(n, [(k * 7) % 11 for k in range(n)]) for n in sizes], "n bigint, a array<bigint>")
+    for r in d.select("n", "a", running_sums(F.col("a")).alias("s")).collect():
+        total, want = 0, []
+        for x in r.a:
+            want.append(total)
+            total += x
+        assert r.s == want, r.n
+
+
 CHATS = [
     (0, 0, "user", "hi"), (0, 1, "assistant", "yo"), (0, 2, "assistant", "again <|im_sep|> ~1 ~ </s>"), (0, 3, "user", None), (1, 5, "assistant", ""), (1, 2, None, "x"), (2, 0, "a\nb~", "<|im_start|>[INST]\n[/INST]<s><"),
     (2, 0, "a\nb~", "<|im_start|>[INST]\n[/INST]<s><"), (2, 1, "assistant", "é😀\n<|im_end|>\n"), (None, 0, "user", "no id"), (3, None, "assistant", "~0~1~2~3"), (4, 0, "assistant", "[/INST" + "]" * 3),
@@ -141,6 +195,12 @@ def test_chats_read_back(spark):
     assert chat.format_chats(t.limit(0)).count() == 0
 
 
+def test_a_very_long_conversation(spark):
+    turns = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    r = chat.parse_chats(chat.format_chats(turns)).first()
+    assert len(r.turns) == 20_000 and r.loss_text == "".join(f"t{k}" for k in range(20_000) if k % 3)
+
+
 def test_probe_conversation_digest(spark):
     from strandspark.llm.queries import QUERIES
 
