@@ -24,13 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; n_chars follows, and a document that loses all its lines goes."""
-    out = linededup.dedup_lines(docs)
-    changed = F.col("__n_removed") > 0
-    gone = changed & F.coalesce(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    out = out.withColumn("__stay", F.explode_outer(F.array(~gone))).filter("__stay")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return linededup.dedup_lines(docs, length="n_chars", drop_emptied=True)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
