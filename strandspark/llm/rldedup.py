@@ -2,40 +2,46 @@
 
 Every window of WINDOW bytes has an anchor, the least k-gram hash in it; equal windows have
 equal anchors at equal places. The windows of one anchor lie side by side, so a text falls
-into spans, one for each anchor occurrence, and each window belongs to one span. Spans that
-are equal as a whole settle by counting hashes. Only unequal spans of one anchor are looked
-into: they are sent to the anchor's task, and there an index is built over them.
-
-The index is the Burrows-Wheeler transform of the spans, kept as runs with the suffix array
-sampled at both ends of each run. Longest matches with the lexicographic neighbours are
-taken at run ends only; along the text a match that is not at a run end is one byte shorter
-than the one before, so matching statistics stream from the samples. A window is repeated
-when its statistic reaches WINDOW.
+into spans, one for each anchor occurrence, and each window belongs to one span. Equal spans
+are one string with a weight. The strings of one anchor meet in a task, unless there is just
+one and it occurs once, and there an index is built over them.
+
+The index is the Burrows-Wheeler transform of the strings, kept as runs with the suffix
+array sampled at both ends of each run. Longest matches with the lexicographic neighbours
+are taken at run ends only; along the text a match that is not at a run end is one byte
+shorter than the one before, so matching statistics stream from the samples. A window is
+repeated when its statistic reaches WINDOW, or when its string has a weight above one.
+
+An anchor with more than GROUP_STRINGS strings would make an index that outgrows a task. Its
+windows are hashed and counted instead, which is exact as well and can be dealt anyhow.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import TABLE, U, groups, mix, powers, prefix_sums
-from .common import cut, drop_table, shared_dir
+from .common import cut, shared_dir
 
 WINDOW = 400
 GRAM = 32
-#: Spans of one anchor up to which its task builds an index; more go by hashes of windows.
-GROUP_SPANS = 2000
+#: Strings of one anchor up to which its task builds an index; more go by hashes of windows.
+GROUP_STRINGS = 2000
 #: Bytes of whole groups that share an index.
 INDEX_BYTES = 1 << 17
 #: Low bits of a sort key that hold the place, the same for all texts, so that ties go to the first place everywhere.
 _POS = 30
 #: Tasks of the index for each shuffle partition.
 INDEX_TASKS = 4
+#: Bytes of a long text that are taken at once; pieces overlap by a window less a byte.
+PIECE_BYTES = 1 << 22
+#: Texts that are stripped at once.
+_ROWS = 256
 
 
 def window_anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -79,22 +85,36 @@ def window_anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int
 _SPANS = "k1 bigint, k2 bigint, anchor bigint, span bigint, p0 int, p1 int"
 
 
-def _spans(keyed: DataFrame, window: int, gram: int) -> DataFrame:
+def _pieces(data: np.ndarray, offsets: np.ndarray, window: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place in the text, bytes, offsets): a group as it is, or a long text piece by piece."""
+    if len(data) <= most or len(offsets) > 2:
+        yield 0, data, offsets
+        return
+    for at in range(0, len(data) - window + 1, most):
+        part = data[at : at + most + window - 1]
+        yield at, part, np.asarray([0, len(part)])
+
+
+def _spans(keyed: DataFrame, window: int, gram: int, most: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for start, data, offsets in groups(batch.column(2)):
-                row, first, last, _, anchor, whole = window_anchors(data, offsets, window, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[start + row]), pa.array(k2[start + row]), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                    ["k1", "k2", "anchor", "span", "p0", "p1"],
-                )
+            for start, whole, bounds in groups(batch.column(2)):
+                for at, data, offsets in _pieces(whole, bounds, window, most):
+                    row, first, last, _, anchor, span = window_anchors(data, offsets, window, gram)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(k1[start + row]), pa.array(k2[start + row]), pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array((first + at).astype(np.int32)), pa.array((last + at).astype(np.int32))],
+                        ["k1", "k2", "anchor", "span", "p0", "p1"],
+                    )
 
     return keyed.select("k1", "k2", "body").mapInArrow(work, _SPANS)
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of several strings, with samples at run ends."""
+    """Run-compressed Burrows-Wheeler transform of several strings, with samples at run ends.
+
+    The suffixes of a block are sorted to find the runs; only the runs are kept.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         """``data`` are bytes of strings one after the other, ``offsets`` their bounds."""
@@ -183,171 +203,162 @@ class RunLengthIndex:
         return [np.flatnonzero(long[s : s + n]) for s, n in zip(self.starts, self.sizes, strict=True)]
 
 
-def _ranges(places: np.ndarray) -> list[tuple[int, int]]:
-    if not len(places):
-        return []
-    gap = np.flatnonzero(np.diff(places) > 1)
-    return list(zip(places[np.concatenate([[0], gap + 1])].tolist(), places[np.concatenate([gap, [len(places) - 1]])].tolist(), strict=True))
+_FOUND = "anchor bigint, span bigint, a int, b int"
 
 
-_FOUND = "k1 bigint, k2 bigint, p0 int, p1 int"
+def _found(anchor: list[int], span: list[int], places: list[np.ndarray]) -> pa.RecordBatch:
+    """Ranges of neighbouring places, string by string."""
+    row = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    at = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+    head = np.flatnonzero(new)
+    tail = np.concatenate([head[1:], [len(at)]])[: len(head)] - 1
+    keys = [np.asarray(k, dtype=np.int64)[row[head]] for k in (anchor, span)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(at[head].astype(np.int32)), pa.array(at[tail].astype(np.int32))], ["anchor", "span", "a", "b"])
 
 
 def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Windows repeated among unequal spans of one anchor; the rows come sorted by anchor."""
+    """Repeated windows of the strings of each anchor; the rows come sorted by anchor."""
     waiting: list[tuple] = []
     held = 0
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        out: list[tuple] = []
-        data = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(r[5]) for r in rows])])
-        for r, places in zip(rows, RunLengthIndex(data, offsets).repeated(window), strict=True):
-            if r[4] == 1:
-                out += [(r[0], r[1], r[3] + a, r[3] + b) for a, b in _ranges(places)]
-        cols = [pa.array([o[k] for o in out], pa.int64() if k < 2 else pa.int32()) for k in range(4)]
-        return pa.RecordBatch.from_arrays(cols, ["k1", "k2", "p0", "p1"])
-
-    anchor, group, seen = None, [], set()
+        data = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])
+        places = [np.arange(len(r[3]) - window + 1) if r[2] > 1 else p for r, p in zip(rows, RunLengthIndex(data, offsets).repeated(window), strict=True)]
+        return _found([r[0] for r in rows], [r[1] for r in rows], places)
+
+    # Rows that repeat id and text bring their strings once each.
+    group, seen = [], set()
     for batch in batches:
-        for k1, k2, key, span, p0, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != anchor:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group and row[0] != group[0][0]:
                 waiting += group
-                held += sum(len(g[5]) for g in group)
-                group, seen, anchor = [], set(), key
+                held += sum(len(g[3]) for g in group)
+                group, seen = [], set()
                 if held >= INDEX_BYTES:
                     yield flush(waiting)
                     waiting, held = [], 0
-            if span not in seen:
-                seen.add(span)
-                group.append((k1, k2, key, p0, n, body))
+            if row[1] not in seen:
+                seen.add(row[1])
+                group.append(row)
     waiting += group
     if waiting:
         yield flush(waiting)
 
 
-_TEXTS = "k1 bigint, k2 bigint, anchor bigint, span bigint, p0 int, n bigint, body binary"
+_STRINGS = "anchor bigint, span bigint, n bigint, body binary, strings bigint"
 
 
-def _cut_spans(joined: DataFrame, window: int) -> DataFrame:
-    """The bytes of the contested spans of each text."""
+def _cut_strings(joined: DataFrame, window: int) -> DataFrame:
+    """The bytes of the chosen spans of each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                body = batch.column(2)[row].as_buffer()
-                spans = batch.column(3)[row].as_py()
-                n = len(spans)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column(0)[row].as_py()] * n, pa.int64()),
-                        pa.array([batch.column(1)[row].as_py()] * n, pa.int64()),
-                        pa.array([s["anchor"] for s in spans], pa.int64()),
-                        pa.array([s["span"] for s in spans], pa.int64()),
-                        pa.array([s["p0"] for s in spans], pa.int32()),
-                        pa.array([s["n"] for s in spans], pa.int64()),
-                        pa.array([body.slice(s["p0"], s["p1"] + window - s["p0"]).to_pybytes() for s in spans], pa.binary()),
-                    ],
-                    ["k1", "k2", "anchor", "span", "p0", "n", "body"],
-                )
+                body, spans = batch.column(0)[row].as_buffer(), batch.column(1)[row].as_py()
+                cols = [pa.array([s[k] for s in spans], pa.int64()) for k in ("anchor", "span", "n", "strings")]
+                cols.insert(3, pa.array([body.slice(s["p0"], s["p1"] + window - s["p0"]).to_pybytes() for s in spans], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "span", "n", "body", "strings"])
 
-    return joined.select("k1", "k2", "body", "spans").mapInArrow(work, _TEXTS)
+    return joined.select("body", "spans").mapInArrow(work, _STRINGS)
 
 
-def _window_hashes(spans: DataFrame, window: int) -> DataFrame:
-    """One row for each window of the spans of crowded anchors: its hash and where it is."""
+def _window_hashes(strings: DataFrame, window: int) -> DataFrame:
+    """One row for each window of the strings of crowded anchors: its hash and where it is."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, p0, n = (batch.column(c).to_numpy() for c in (0, 1, 4, 5))
-            for start, data, offsets in groups(batch.column(6)):
+            anchor, span, n = (batch.column(c).to_numpy() for c in (0, 1, 2))
+            for start, data, offsets in groups(batch.column(3)):
                 sums, back = prefix_sums(data, TABLE), powers(len(data), True)
                 counts = np.diff(offsets) - window + 1
                 row = np.repeat(np.arange(len(counts)), counts)
-                rel = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = offsets[row] + rel
+                place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = offsets[row] + place
                 value = mix((sums[at + window] - sums[at]) * back[at])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.view(np.int64)), pa.array(k1[start + row]), pa.array(k2[start + row]), pa.array((p0[start + row] + rel).astype(np.int32)), pa.array(n[start + row])],
-                    ["hash", "k1", "k2", "p", "n"],
+                    [pa.array(value.view(np.int64)), pa.array(anchor[start + row]), pa.array(span[start + row]), pa.array(n[start + row]), pa.array(place.astype(np.int32))],
+                    ["hash", "anchor", "span", "n", "p"],
                 )
 
-    return spans.mapInArrow(work, "hash bigint, k1 bigint, k2 bigint, p int, n bigint")
+    return strings.select("anchor", "span", "n", "body").mapInArrow(work, "hash bigint, anchor bigint, span bigint, n bigint, p int")
+
+
+def _counted(strings: DataFrame, window: int) -> DataFrame:
+    """Repeated windows of crowded anchors, by counts of their hashes, as ranges."""
+    hashed = _window_hashes(strings, window)
+    twice = hashed.groupBy("hash").agg(F.count("*").alias("times"), F.max("n").alias("most")).filter("times > 1 OR most > 1").select("hash")
+    each = hashed.join(twice, "hash").select("anchor", "span", "p")
+    # Neighbouring places have one difference to their number; a string has few hundred windows.
+    w = Window.partitionBy("anchor", "span").orderBy("p")
+    run = each.withColumn("run", F.col("p") - F.row_number().over(w))
+    return run.groupBy("anchor", "span", "run").agg(F.min("p").alias("a"), F.max("p").alias("b")).select("anchor", "span", "a", "b")
 
 
-def repeated_windows(keyed: DataFrame, folder: str, window: int = WINDOW, gram: int = GRAM, group_spans: int = GROUP_SPANS) -> DataFrame:
+def repeated_windows(keyed: DataFrame, folder: str, window: int = WINDOW, gram: int = GRAM, group_strings: int = GROUP_STRINGS, piece: int = PIECE_BYTES) -> DataFrame:
     """(``k1``, ``k2``, ``p0``, ``p1``): ranges of first bytes of repeated windows, by content key of the text."""
-    spans = cut(_spans(keyed, window, gram), folder, "spans")
-    kinds = spans.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min("k1").alias("k1"))
+    spans = cut(_spans(keyed, window, gram, piece), folder, "spans")
+    # The string of an anchor and its weight, and one place where it stands.
+    place = F.shiftleft(F.col("p0").cast("bigint"), 32).bitwiseOR(F.col("p1").cast("bigint"))
+    kinds = spans.select("anchor", "span", "k1", "k2", place.alias("place")).groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min("k1").alias("k1"), F.min_by("k2", "k1").alias("k2"), F.min_by("place", "k1").alias("place"))
     kinds = cut(kinds, folder, "kinds")
-    per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    contested = per_anchor.filter("kinds > 1")
-    # Copies of a text have one key; their spans are said once, not once for each copy.
-    equal = spans.join(kinds.filter("n > 1").select("anchor", "span"), ["anchor", "span"]).select("k1", "k2", "p0", "p1").distinct()
-
-    chosen = kinds.join(contested, "anchor").select("anchor", "span", F.col("n").alias("n"), "kinds", F.col("k1").alias("key"))
-    at = spans.join(chosen, ["anchor", "span"]).filter("k1 = key").groupBy("anchor", "span").agg(
-        F.min("k1").alias("k1"), F.min("k2").alias("k2"), F.min("p0").alias("p0"), F.min(F.col("p1") - F.col("p0")).alias("wide"), F.max("n").alias("n"), F.max("kinds").alias("kinds")
-    )
-    at = at.withColumn("p1", F.col("p0") + F.col("wide"))
-    lists = at.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "span", "p0", "p1", F.col("n").cast("bigint").alias("n"))).alias("spans"))
+    crowd = kinds.groupBy("anchor").agg(F.count("*").alias("strings"), F.max("n").alias("most")).filter("strings > 1 OR most > 1").select("anchor", "strings")
+    at = kinds.join(crowd, "anchor").withColumns({"p0": F.shiftright("place", 32).cast("int"), "p1": F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")})
+    lists = at.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "span", "n", "strings", "p0", "p1")).alias("spans"))
+    # Copies of a text have one key; the least id of them brings the bytes.
     one = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("one"))
-    lists = lists.join(one, ["k1", "k2"])
-    texts = keyed.join(lists, ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("k1", "k2", "body", "spans")
-    bodies = cut(_cut_spans(texts, window).join(contested, "anchor").select("k1", "k2", "anchor", "span", "p0", "n", "body", "kinds"), folder, "bodies")
-    few = bodies.filter(F.col("kinds") <= group_spans).select("k1", "k2", "anchor", "span", "p0", "n", "body")
+    texts = keyed.join(lists.join(one, ["k1", "k2"]), ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("body", "spans")
+    strings = cut(_cut_strings(texts, window), folder, "strings")
     # The index costs far more a byte than a sort does, so its tasks are cut finer than a shuffle's.
     parts = INDEX_TASKS * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = strings.filter(F.col("strings") <= group_strings).select("anchor", "span", "n", "body")
     few = few.repartition(parts, "anchor").sortWithinPartitions("anchor")
     inside = few.mapInArrow(lambda b: _search(b, window), _FOUND)
-    many = bodies.filter(F.col("kinds") > group_spans).select("k1", "k2", "anchor", "span", "p0", "n", "body")
-    hashed = _window_hashes(many, window)
-    # A window of one text with one place is alone; of crowded anchors only single spans still need an answer.
-    twice = hashed.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1")
-    crowded = hashed.filter("n = 1").join(twice, "hash").select("k1", "k2", F.col("p").alias("p0"), F.col("p").alias("p1"))
-    return equal.unionByName(inside).unionByName(crowded)
-
-
-def _strip(data: bytes, ranges: list, window: int) -> tuple[int, int, str]:
-    """(removed bytes, removed runs, SHA-256 of the rest) for ranges of first bytes of windows."""
-    removed = runs = at = 0
-    digest = hashlib.sha256()
+    crowded = _counted(strings.filter(F.col("strings") > group_strings).dropDuplicates(["anchor", "span"]), window)
+    marks = inside.unionByName(crowded)
+    return spans.join(marks, ["anchor", "span"]).select("k1", "k2", (F.col("p0") + F.col("a")).alias("p0"), (F.col("p0") + F.col("b")).alias("p1")).distinct()
+
+
+def _strip(data: bytes, ranges: list, window: int) -> tuple[bytes, list[dict[str, int]]]:
+    """(what is left, removed runs) for ranges of first bytes of windows."""
+    runs: list[dict[str, int]] = []
     for a, b in sorted((r["p0"], r["p1"] + window) for r in ranges):
-        if a > at or not runs:
-            digest.update(data[at:a])
-            runs += 1
-            removed += b - a
-            at = b
-        elif b > at:
-            removed += b - at
-            at = b
-    digest.update(data[at:])
-    return removed, runs, digest.hexdigest()
-
-
-def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, group_spans: int = GROUP_SPANS) -> DataFrame:
-    """One row per row of ``documents``: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
-
-    Each byte goes that is covered by a string of ``window`` bytes that also starts anywhere
-    else, in another text or in the same. Null texts are empty; texts shorter than the window
-    stay whole; repeated rows are copies of each other like any two equal texts, whatever
-    their ids; an empty table gives an empty result; other columns are not carried.
+        if runs and a <= runs[-1]["end"]:
+            runs[-1]["end"] = max(runs[-1]["end"], b)
+        else:
+            runs.append({"start": a, "end": b})
+    if not runs:
+        return data, runs
+    bounds = [0, *(x for r in runs for x in r.values()), len(data)]
+    return b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)), runs
+
+
+def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, group_strings: int = GROUP_STRINGS, piece: int = PIECE_BYTES) -> DataFrame:
+    """One row per row of ``documents``: ``doc_id``, ``n_bytes``, ``kept`` and ``removed``.
+
+    Texts are UTF-8 bytes. Each byte goes that is covered by a string of ``window`` bytes that
+    also starts anywhere else, in another text or in the same. ``kept`` is what is left,
+    ``removed`` the runs (start, end exclusive) that went. Null texts are empty; texts shorter
+    than the window stay whole; repeated rows are copies of each other like any two equal
+    texts, whatever their ids; an empty table gives an empty result; other columns are not
+    carried, so their names cannot clash. Very long texts are cut into spans piece by piece.
     """
     folder = shared_dir(documents.sparkSession)
     body = F.coalesce("text", F.lit("")).cast("binary")
     keyed = documents.select("doc_id", body.alias("body"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(5), body).alias("k2"))
-    found = repeated_windows(keyed, folder, window, gram, group_spans)
+    found = repeated_windows(keyed, folder, window, gram, group_strings, piece)
     lists = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("p0", "p1")).alias("ranges"))
     joined = keyed.join(lists, ["k1", "k2"], "left").select("doc_id", "body", "ranges")
+    run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in range(batch.num_rows):
-                data = batch.column(1)[row].as_py()
-                removed, runs, digest = _strip(data, batch.column(2)[row].as_py() or [], window)
-                rows.append((len(data), removed, runs, digest))
-            cols = [pa.array([r[k] for r in rows], pa.string() if k == 3 else pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for part in (batch.slice(k, _ROWS) for k in range(0, batch.num_rows, _ROWS)):
+                sizes = [len(x.as_buffer()) for x in part.column(1)]
+                done = [_strip(body, ranges or [], window) for body, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                cols = [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], run)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "kept", "removed"])
 
-    return joined.mapInArrow(work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return joined.mapInArrow(work, "doc_id bigint, n_bytes bigint, kept binary, removed array<struct<start:bigint,end:bigint>>")

@@ -195,20 +195,60 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("crowd", [2000, 2])
-def test_repeats_equal_brute_force(spark, crowd):
+def digests(df):
+    """(n_bytes, n_removed, n_spans, kept_sha256) by doc_id, with the runs held against what is left."""
+    out = {}
+    for r in df.collect():
+        assert r.n_bytes == len(r.kept) + sum(x.end - x.start for x in r.removed)
+        assert all(a.end < b.start for a, b in zip(r.removed, r.removed[1:], strict=False))
+        out[r.doc_id] = (r.n_bytes, sum(x.end - x.start for x in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize(("crowd", "piece"), [(2000, 1 << 22), (2, 1 << 22), (2000, 50)])
+def test_repeats_equal_brute_force(spark, crowd, piece):
     rng = random.Random(6)
     text = lambda n: "".join(rng.choice("abé ") for _ in range(n))
     shared = [text(90) for _ in range(3)]
     texts = [None, "", "short", "a" * 200, "ab" * 150, shared[0], shared[0]]
     texts += [text(rng.randrange(60)) + rng.choice(shared)[rng.randrange(20) : rng.randrange(60, 90)] + text(rng.randrange(60)) for _ in range(60)]
     texts += [shared[1] + "x" + shared[1], texts[20], texts[20][:-1] + "?"]
-    d = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id bigint, text string, body int")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rldedup.remove_repeats(d, window=40, gram=8, group_spans=crowd).collect()}
+    d = spark.createDataFrame([(k, t, 0, "x", "y") for k, t in enumerate(texts)], "doc_id bigint, text string, body int, kept string, anchor string")
+    got = digests(rldedup.remove_repeats(d, window=40, gram=8, group_strings=crowd, piece=piece))
     assert [got[k] for k in range(len(texts))] == brute_repeats(texts, 40)
     assert rldedup.remove_repeats(d.limit(0)).count() == 0
 
 
+def test_repeats_at_the_window_of_the_query(spark):
+    """400 bytes, with passages around that length, copies, near copies, repeated rows and null ids."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeiourstlné") for _ in range(rng.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(n) for n in (58, 62, 66, 70, 74, 90, 200)]
+    texts = [prose(rng.randrange(40)) + " " + rng.choice(passages) + " " + prose(rng.randrange(40)) for _ in range(60)]
+    long = prose(700)
+    texts += [long, long, long[:1500] + "X" + long[1500:], long[300:] + long[:900], None, "", "ab" * 400, "é" * 500]
+    ids = [*range(len(texts) - 1), None]
+    d = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    got = digests(rldedup.remove_repeats(d))
+    want = brute_repeats(texts, 400)
+    assert [got[k] for k in ids] == want
+    assert 0 < sum(w[1] > 0 for w in want[:60]) < 60
+    twice = digests(rldedup.remove_repeats(d.filter("doc_id < 3").unionByName(d.filter("doc_id < 3"))))
+    assert twice == {k: (n := len(texts[k].encode()), n, 1, hashlib.sha256(b"").hexdigest()) if len(texts[k].encode()) >= 400 else brute_repeats([texts[k]] * 2, 400)[0] for k in range(3)}
+
+
+def test_repeats_of_a_very_long_text(spark):
+    """Megabytes of one text, repetitive and not, in pieces; the copy of a part of it elsewhere."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh") for _ in range(1_500_000))
+    d = spark.createDataFrame([(1, text), (2, "x" * 100 + text[700_000:702_000] + "y"), (3, "abc" * 300_000)], "doc_id bigint, text string")
+    got = digests(rldedup.remove_repeats(d, piece=1 << 18))
+    gone = lambda body, n, runs, left: (len(body), n, runs, hashlib.sha256(left.encode()).hexdigest())
+    assert got[1] == gone(text, 2000, 1, text[:700_000] + text[702_000:])
+    assert got[2] == gone("x" * 2101, 2000, 1, "x" * 100 + "y") and got[3] == gone("abc" * 300_000, 900_000, 1, "")
+
+
 def test_index_statistics_equal_brute_force():
     rng = random.Random(5)
     for _ in range(20):
