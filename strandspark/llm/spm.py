@@ -9,11 +9,13 @@ Unigram models: a Viterbi pass over ends takes the best start by a vectorised ma
 stores it as a backpointer. BPE models: the score of a piece is its merge rank, not a log
 probability, so the best path through scores is not what the model means. There the units
 of one length merge together instead, each round the best pair of every unit by a vectorised
-maximum over the same table, leftmost on ties.
+maximum over the same table, leftmost on ties. That takes a round for each merge, so a long
+unit (a text without spaces) is merged by itself from a heap of pairs instead.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -34,6 +36,8 @@ UNIGRAM, BPE = 1, 2
 MEMORY = 400_000
 #: Cells of a table of substrings that advance together.
 CELLS = 1 << 21
+#: Longer units are cut by themselves and not remembered.
+LONG = 64
 _FACTOR = 0x9DDFEA08EB382D69
 
 
@@ -85,10 +89,17 @@ class Pieces:
         self.sieve = np.zeros(1 << 22, dtype=bool)
         self.sieve[(self.keys & U((1 << 22) - 1)).astype(np.int64)] = True
         self.longest = max((len(self.texts[i]) for i in usable), default=1)
+        self.least = float(self.scores[usable].min()) if len(usable) else 0.0
+        #: Score and id of each usable piece, for long units.
+        self.ranks = {self.texts[i]: (float(self.scores[i]), int(i)) for i in usable}
         self.byte_ids = np.full(256, -1)
         for i in np.flatnonzero(self.kinds == BYTE):
             self.byte_ids[int(self.texts[i][3:5], 16)] = i
         self.unknown = next(iter(np.flatnonzero(self.kinds == UNKNOWN)), 0)
+        raw = [b"" if k == CONTROL else bytes([int(t[3:5], 16)]) if k == BYTE else (" \u2047 " if k == UNKNOWN else t).encode() for t, k in zip(self.texts, self.kinds, strict=True)]
+        #: Bytes of all pieces side by side, for decoding.
+        self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.raw_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         inner = any(MARK in t.lstrip(MARK) for t in (self.texts[i] for i in usable))
         if inner:
             raise ValueError("a piece crosses a space mark; units would not be independent")
@@ -216,7 +227,12 @@ def _encode_units(units: list[str], pieces: Pieces) -> None:
     """Fill ``pieces.memory`` for units that it lacks, equal lengths together."""
     by_length: dict[int, list[str]] = {}
     for unit in units:
-        by_length.setdefault(len(unit), []).append(unit)
+        if len(unit) > LONG:
+            cut = _long_path if pieces.model_type == UNIGRAM else _long_merges
+            starts, ids = cut(unit, pieces)
+            pieces.memory[unit] = _with_bytes(unit, starts, ids, pieces) if (ids < 0).any() else ids
+        else:
+            by_length.setdefault(len(unit), []).append(unit)
     split = _cuts_by_path if pieces.model_type == UNIGRAM else _cuts_by_merges
     for size, same in by_length.items():
         step = max(1, CELLS // (size * min(size, pieces.longest)))
@@ -252,8 +268,60 @@ def _with_bytes(unit: str, starts: np.ndarray, ids: np.ndarray, pieces: Pieces)
     return np.asarray(out, dtype=np.int32)
 
 
-#: Longer units are cut by themselves and not remembered.
-_LONG = 64
+def _long_merges(unit: str, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ids) of a BPE unit: pairs wait in a heap by score, then place.
+
+    Symbols are linked by their starts. A pair in the heap is stale when one of its symbols
+    has merged since; its end tells. Time is n log n, memory a few numbers a character.
+    """
+    known, n = pieces.ranks, len(unit)
+    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    longest = pieces.longest
+    heap: list[tuple[float, int, int, int]] = []
+
+    def pair(a: int, b: int) -> None:
+        end = after[b]
+        if end - a <= longest and (found := known.get(unit[a:end])) is not None:
+            heapq.heappush(heap, (-found[0], a, b, end))
+
+    for a in range(n - 1):
+        pair(a, a + 1)
+    while heap:
+        _, a, b, end = heapq.heappop(heap)
+        if not alive[a] or not alive[b] or after[a] != b or after[b] != end:
+            continue
+        alive[b], after[a] = False, end
+        if end < n:
+            before[end] = a
+            pair(a, end)
+        if before[a] >= 0:
+            pair(before[a], a)
+    starts = [a for a in range(n) if alive[a]]
+    ids = [known.get(unit[a : after[a]], (0.0, -1))[1] for a in starts]
+    return np.asarray(starts, dtype=np.int64), np.asarray(ids, dtype=np.int32)
+
+
+def _long_path(unit: str, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ids) of a unigram unit by the same Viterbi pass, a character at a time."""
+    known, n = pieces.ranks, len(unit)
+    penalty = pieces.least - 10.0
+    best, back = [0.0] * (n + 1), [0] * (n + 1)
+    for e in range(1, n + 1):
+        top, at = best[e - 1] + penalty, e - 1
+        for s in range(e - 1, max(e - pieces.longest, 0) - 1, -1):
+            if (found := known.get(unit[s:e])) is not None:
+                total = best[s] + found[0]
+                if total >= top or (s == e - 1):
+                    top, at = total, s
+        best[e], back[e] = top, at
+    starts, e = [], n
+    while e > 0:
+        e = back[e]
+        starts.append(e)
+    starts.reverse()
+    ends = [*starts[1:], n]
+    ids = [known.get(unit[a:b], (0.0, -1))[1] for a, b in zip(starts, ends, strict=True)]
+    return np.asarray(starts, dtype=np.int64), np.asarray(ids, dtype=np.int32)
 
 
 def encode(texts: pa.Array, pieces: Pieces) -> pa.Array:
@@ -274,7 +342,7 @@ def encode(texts: pa.Array, pieces: Pieces) -> pa.Array:
     _encode_units(fresh, pieces)
     got = [pieces.memory[u] if u else np.zeros(0, dtype=np.int32) for u in units]
     for u in fresh:
-        if len(u) > _LONG:
+        if len(u) > LONG:
             del pieces.memory[u]
     sizes = np.asarray([len(g) for g in got], dtype=np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, dtype=np.int64)
@@ -305,18 +373,24 @@ def _split_slowly(marked: pa.Array) -> pa.Array:
 
 
 def decode(ids: pa.Array, pieces: Pieces) -> pa.Array:
-    """Texts for lists of ids: pieces, byte pieces as UTF-8 (bad bytes replaced), marks as spaces."""
-    raw = [b"" if k == CONTROL else bytes([int(t[3:5], 16)]) if k == BYTE else (" \u2047 " if k == UNKNOWN else t).encode() for t, k in zip(pieces.texts, pieces.kinds, strict=True)]
-    mark = MARK.encode()
-    out = []
-    for row in ids:
-        if not row.is_valid:
-            out.append("")
-            continue
-        data = b"".join([raw[i] for i in row.values.to_numpy()] if len(row) else [])
-        if pieces.dummy_prefix and data.startswith(mark):
-            data = data[len(mark) :]
-        out.append(data.decode("utf-8", "replace").replace(MARK, " "))
+    """Texts for lists of ids: pieces, byte pieces as UTF-8 (bad bytes replaced), marks as spaces.
+
+    The bytes of all ids of all rows are gathered at once from the pieces side by side.
+    """
+    ids = ids.cast(pa.large_list(pa.int32()))
+    bounds = ids.offsets.to_numpy().astype(np.int64)
+    flat = ids.values.to_numpy()[bounds[0] : bounds[-1]]
+    sizes = pieces.raw_at[flat + 1] - pieces.raw_at[flat]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    total = int(ends[-1])
+    source = np.arange(total) + np.repeat(pieces.raw_at[flat] - ends[:-1], sizes)
+    data = pieces.raw[source].tobytes()
+    cuts = ends[bounds - bounds[0]].tolist()
+    mark, out = MARK.encode(), []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if pieces.dummy_prefix and data.startswith(mark, a, b):
+            a += len(mark)
+        out.append(data[a:b].decode("utf-8", "replace").replace(MARK, " "))
     return pa.array(out, pa.string())
 
 
@@ -324,8 +398,11 @@ def encode_documents(documents: DataFrame, model: bytes, with_check: bool = True
     """One row per row: ``doc_id``, ``token_ids``, ``n_tokens``, ``n_chars_decoded``, ``round_trip``.
 
     ``model`` is the content of a model file (a fixed size, sent with the task). Texts are
-    encoded whole. Null and empty texts have no tokens. ``round_trip`` tells whether decoding
-    gives the text back; it can only fail for texts that hold the space mark itself.
+    encoded whole. Null and empty texts have no tokens, repeated rows are encoded alike, an
+    empty table gives an empty result, and other columns are not carried, so their names
+    cannot clash. A very long text costs time in proportion to its length, or n log n for
+    each part of it without spaces. ``round_trip`` tells whether decoding gives the text
+    back; it can only fail for texts that hold the space mark itself.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +421,7 @@ def encode_documents(documents: DataFrame, model: bytes, with_check: bool = True
     return documents.select(F.col("doc_id"), F.col("text")).mapInArrow(work, kinds)
 
 
-def _parts(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

@@ -3,6 +3,9 @@
 import gzip
 import hashlib
 import math
+import re
+import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +88,49 @@ def test_classifier_edges(spark):
     assert classifier.quality_scores(docs.limit(0), one, fold).count() == 0
 
 
+def test_scores_equal_brute_force(spark):
+    """Statistics, normal equations, isotonic step and scores again in plain numpy."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    got = {r.doc_id: r.score for r in classifier.quality_scores(docs, labels, fold).collect()}
+    stats = {r.doc_id: np.asarray(r.stats) for r in classifier.with_statistics(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, text in list(texts.items())[:60]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        n, lines, chars = max(len(words), 1), (text or "").split("\n"), max(len(text or ""), 1)
+        want = [math.log1p(len(words)), sum(map(len, words)) / n, len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n]
+        assert np.allclose(stats[i][:4], want), i
+        assert math.isclose(stats[i][11], 1 - len(set(lines)) / len(lines)) and math.isclose(stats[i][5], len(re.findall("[0-9]", text or "")) / chars)
+    part = {i: zlib.crc32(str(i).encode()) % 5 for i in stats}
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    known = [i for i in quality if part[i] != 0]
+    settings = classifier.Settings()
+    model = classifier.Model(settings)
+    x = np.stack([stats[i] for i in known])
+    model.mean, model.scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-12)) + 1e-9
+    fitted, held = [i for i in known if part[i] > 1], [i for i in known if part[i] == 1]
+    f, y = model.features(np.stack([stats[i] for i in fitted])), np.asarray([float(quality[i]) for i in fitted])
+    penalty = np.full(f.shape[1], settings.ridge)
+    penalty[-1] = 1e-6
+    # The ridge solution as least squares over rows that stand for the penalty.
+    model.weights = np.linalg.lstsq(np.vstack([f, np.diag(np.sqrt(penalty))]), np.concatenate([y, np.zeros(len(penalty))]), rcond=None)[0]
+    margin, target = model.margins(np.stack([stats[i] for i in held])), np.asarray([float(quality[i]) for i in held])
+    order = np.argsort(margin, kind="stable")
+    margin, target = margin[order], target[order]
+    total = np.concatenate([[0], np.cumsum(target)])
+    n = len(target)
+    level = np.asarray([max(min((total[b + 1] - total[a]) / (b + 1 - a) for b in range(k, n)) for a in range(k + 1)) for k in range(n)])
+    steps, levels = classifier.isotonic(margin, target)
+    for a, b in zip(steps, levels, strict=True):
+        assert np.isclose(level, b).any() and margin[0] <= a <= margin[-1]
+    heads = [k for k in range(n) if k == 0 or not math.isclose(level[k], level[k - 1])]
+    centres = [margin[a:b].mean() for a, b in zip(heads, [*heads[1:], n], strict=True)]
+    assert np.allclose(steps, centres) and np.allclose(levels, level[heads])
+    scores = np.interp(model.margins(np.stack([stats[i] for i in got])), centres, level[heads])
+    assert np.allclose([got[i] for i in got], scores, atol=1e-6)
+
+
 def test_isotonic_rises():
     x, y = classifier.isotonic(np.asarray([3.0, 1, 2, 4, 5]), np.asarray([1.0, 0, 1, 0, 1]))
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1
@@ -103,6 +149,54 @@ def test_tokens_equal_the_library():
     assert spm.decode(pa.array(ids, pa.list_(pa.int32())), pieces).to_pylist() == [t or "" for t in TEXTS]
 
 
+@pytest.mark.parametrize("size", [65, 3_000, 100_000, 1_000_000])
+def test_long_units_equal_the_library(size):
+    """Texts without spaces: random letters as of base64, words run together, one character, unspaced scripts."""
+    import random
+
+    import sentencepiece
+
+    rng = random.Random(size)
+    pieces = spm.load(open(TOKENIZER, "rb").read())
+    library = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choice(letters) for _ in range(size))]
+    if size <= 100_000:
+        words = "the of and quick brown fox token ization internationalization \u65e5\u672c\u8a9e \u00e9l\u00e8ve".split()
+        texts += ["".join(rng.choice(words) for _ in range(size // 6)), "e" * size, "".join(rng.choice("\u65e5\u672c\u8a9e\U0001f389x") for _ in range(size))]
+    began = time.time()
+    ids = spm.encode(pa.array(texts), pieces)
+    back = spm.decode(ids, pieces).to_pylist()
+    assert time.time() - began < 60 and back == texts
+    assert ids.to_pylist() == library.encode(texts)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_token_query_equals_the_library(spark, sf):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    rows = QUERIES["op7_sentencepiece"](spark, f"/root/testdata/{sf}").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        assert r.token_ids == library.encode(text) and r.n_tokens == len(r.token_ids) and r.n_chars_decoded == len(text) and r.round_trip
+
+
+def test_best_path_of_long_units_equals_that_of_short_ones():
+    rng = np.random.default_rng(14)
+    texts = ["<unk>"] + sorted({"".join(rng.choice(list("abc"), rng.integers(1, 5))) for _ in range(40)} | {"a", "b"})
+    scores = np.concatenate([[0.0], -rng.integers(1, 9, len(texts) - 1).astype(float)])
+    pieces = spm.Pieces(texts, scores, np.asarray([spm.UNKNOWN] + [spm.NORMAL] * (len(texts) - 1)), spm.UNIGRAM, False)
+    for n in (*range(1, 20), 60):
+        words = ["".join(rng.choice(list("abcd"), n)) for _ in range(5)]
+        table = spm.piece_table(np.stack([spm._codes(w) for w in words]), pieces)
+        cuts = spm._cuts_by_path(table, pieces)
+        for word, row in zip(words, cuts, strict=True):
+            assert [*spm._long_path(word, pieces)[0].tolist(), n] == np.flatnonzero(row).tolist()
+
+
 def test_best_path_equals_all_paths():
     rng = np.random.default_rng(4)
     texts = ["<unk>"] + sorted({"".join(rng.choice(list("abc"), rng.integers(1, 5))) for _ in range(40)} | {"a", "b"})
@@ -134,6 +228,63 @@ def test_tokens_of_documents(spark):
     assert spm.encode_documents(d.limit(0), open(TOKENIZER, "rb").read()).count() == 0
 
 
+def brute_verdict(text):
+    """The quality rules in plain Python."""
+    from test_filters import WORD, counts
+
+    n, chars, symbols, dup, repeated = counts(text)
+    words, body = WORD.findall(text or ""), text or ""
+    lines = [x for x in body.split("\n") if WORD.search(x)]
+    w, ln = max(n, 1), max(len(lines), 1)
+    metric = {
+        "n_words": n, "mean_word_chars": chars / w, "symbol_ratio": symbols / w, "bang_ratio": body.count("!") / w, "stop_ratio": sum(x.lower() in quality.STOP_WORDS for x in words) / w,
+        "dup_line_ratio": dup / ln, "bullet_ratio": sum(bool(re.match(r"[\x20\x09-\x0D]*[-*\u2022]", x)) for x in lines) / ln, "ellipsis_ratio": sum(bool(re.search(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$", x)) for x in lines) / ln,
+    }
+    rules = all((r.low is None or metric[r.metric] >= r.low) and (r.high is None or metric[r.metric] <= r.high) for r in quality.RULES)
+    return n >= 20 and 100 * repeated <= 30 * n and rules
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Each stage on what the one before kept, in plain Python over the smallest tables."""
+    import sentencepiece
+    from test_filters import WORD, brute_lines
+    from test_near import brute_components, brute_leaks, item_shingles
+
+    import corpus_pipeline as P
+
+    read = lambda name: spark.read.parquet(f"{SMALL}/{name}.parquet").collect()
+    kept = {r.doc_id: r.text for r in read("documents")}
+    kept = {i: t for i, t in kept.items() if brute_verdict(t)}
+    short = brute_lines(kept.items())
+    kept = {i: short[i] for i, t in kept.items() if short[i] == t or WORD.search(short[i])}
+    component = brute_components(list(kept.items()), 5, 80)
+    kept = {i: t for i, t in kept.items() if component[i][1] == i}
+    items = [(r.item_id, r.text) for r in read("benchmark")]
+    known = {s: k for k, t in items for s in item_shingles(t)}
+    suspects = [(i, t) for i, t in kept.items() if any(s in known for s in item_shingles(t))]
+    leaks = {i for i, _ in brute_leaks(suspects, items)}
+    kept = {i: t for i, t in kept.items() if i not in leaks}
+    assert leaks and 20 < len(kept) < 200
+    library = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
+    got = {r.doc_id: r.token_ids for r in P.run(spark, SMALL).collect()}
+    assert got == {i: library.encode(t) for i, t in kept.items()}
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    import corpus_pipeline as P
+
+    names = ["__row", "__met", "__flag", "row", "lines", "hash", "h", "item_id", "size", "kept", "component_id", "k1", "at", "a.b"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    wide = docs.withColumns({n: F.lit(n) for n in names})
+    for name, stage in P.STAGES[:-1]:
+        plain, more = stage(spark, docs, SMALL), stage(spark, wide, SMALL)
+        assert more.columns == wide.columns, name
+        rows = more.collect()
+        assert sorted(r[0] for r in rows) == sorted(r[0] for r in plain.select("doc_id").collect()), name
+        assert all(list(r[len(docs.columns) :]) == names for r in rows), name
+    assert P.STAGES[-1][1](spark, wide, SMALL).count() == 200
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
