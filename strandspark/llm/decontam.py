@@ -1,13 +1,15 @@
 """Benchmark decontamination by SimHash over item-sized windows, in Spark expressions only.
 
-A window that resembles an item holds shingles of it. So a text is first searched, inside
-its row, for shingles of any item; only windows that begin at such a hit and have enough
-hits ahead are made. Each gets a 64-bit SimHash of its shingles. Fingerprints are cut into
-one block more than the radius: two fingerprints within the radius agree on a whole block,
-so an equi-join on (size, block, value) finds all of them. Exact weighted similarity decides.
+A window that resembles an item holds shingles of it. So the shingles of all texts meet the
+vocabulary of all items first, which tells for each text and item where the item's shingles
+stand; only windows that begin at such a hit and have enough hits ahead are made. Each gets
+a 64-bit SimHash of its shingles. Fingerprints are cut into one block more than the radius:
+two fingerprints within the radius agree on a whole block, so an equi-join on (item, block,
+value) finds all of them. Exact weighted similarity decides.
 
 That windows may begin at hits only loses nothing: moving a window to its first hit keeps
-every hit and its length, and so does not lower its similarity.
+every hit and its length, and so does not lower its similarity. That a window meets only the
+items that its hits are of loses nothing either, since others have no shingle in it.
 """
 
 from __future__ import annotations
@@ -15,16 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import cut, let, shared_dir, words
 
 WIDTH = 5
 PER_CENT = 80
 #: Differing bits up to which fingerprints are candidates. At similarity 0.8 the expected
 #: number is 10 with a deviation of 3.
 RADIUS = 20
-#: Distinct shingles of the benchmark that may travel with the plan; more are joined instead.
-GATE = 100_000
-_LANES = 0x0001000100010001
+#: Rows of the items' tables, of 40 bytes at most, up to which they are broadcast; Spark picks the joins beyond.
+BROADCAST_ROWS = 1_000_000
+_LANES = 0x0000000100000001
 
 
 def shingles(text: Column, width: int = WIDTH) -> Column:
@@ -41,20 +43,19 @@ def shingles(text: Column, width: int = WIDTH) -> Column:
 def simhash(hashes: Column) -> Column:
     """64-bit SimHash of an array of hashes, each counted as often as it occurs.
 
-    Four counters of sixteen bits are summed in one long, so sixteen sums give all bits;
-    that holds for up to 65,535 shingles.
+    Two counters of 32 bits are summed in one long, which no array can overflow.
     """
 
     def bits(s: Column, k: Column, n: Column) -> Column:
         out = F.lit(0).cast("bigint")
-        for lane in range(4):
-            count = F.call_function("shiftrightunsigned", s, F.lit(16 * lane)).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
-            out = out.bitwiseOR(F.when(count * 2 > n, F.call_function("shiftleft", F.lit(1).cast("bigint"), k + 16 * lane)).otherwise(F.lit(0).cast("bigint")))
+        for lane in range(2):
+            count = F.call_function("shiftrightunsigned", s, F.lit(32 * lane)).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+            out = out.bitwiseOR(F.when(count * 2 > n, F.call_function("shiftleft", F.lit(1).cast("bigint"), k + 32 * lane)).otherwise(F.lit(0).cast("bigint")))
         return out
 
     def whole(h: Column) -> Column:
         sums = lambda k: F.aggregate(h, F.lit(0).cast("bigint"), lambda a, x: a + F.call_function("shiftrightunsigned", x, k).bitwiseAND(F.lit(_LANES)))
-        parts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: let(sums(k), lambda s: bits(s, k, F.size(h))))
+        parts = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: let(sums(k), lambda s: bits(s, k, F.size(h))))
         return F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
 
     return let(hashes, whole)
@@ -91,58 +92,68 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return whole.withColumn("some", F.explode_outer(F.array(F.col("size") > 0))).filter("some").drop("some")
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, per_cent: int = PER_CENT, radius: int = RADIUS, gate: int = GATE) -> DataFrame:
+def _candidates(documents: DataFrame, vocabulary: DataFrame, per_cent: int) -> DataFrame:
+    """(``doc_id``, ``text_hash``, ``items``): for each text the items that it may hold, and where windows begin.
+
+    A window of as many shingles as the item (fewer at the end of a text) can reach
+    ``per_cent`` only if enough of its shingles are of the item.
+    """
+    rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), shingles(F.coalesce("text", F.lit(""))).alias("h"))
+    rows = rows.select("doc_id", "text_hash", F.size("h").alias("n"), "h")
+    each = rows.select("doc_id", "text_hash", "n", F.posexplode("h").alias("at", "hash"))
+    met = each.join(vocabulary, "hash").groupBy("doc_id", "text_hash", "item_id", "size", "n").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    size = F.col("size")
+
+    def begins(p: Column, i: Column) -> Column:
+        enough = F.ceil(F.lit(per_cent) * (size + F.least(size, F.col("n") - p)) / (100 + per_cent)).cast("int")
+        return F.coalesce(F.get("at", i + enough - 1) < p + size, F.lit(False))
+
+    found = met.select("doc_id", "text_hash", "item_id", "size", F.filter("at", begins).alias("starts"))
+    found = found.withColumn("any", F.explode_outer(F.array(F.size("starts") > 0))).filter("any")
+    return found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "size", "starts")).alias("items"))
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, per_cent: int = PER_CENT, radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document and item met: ``doc_id``, ``item_id``, ``similarity``, ``window_start``, ``n_windows``.
 
     A window of as many shingles as the item (fewer at the end of a text) counts when its
     weighted similarity reaches ``per_cent``. ``window_start`` is the word at which the best
-    window begins, the first on ties. Null and empty texts and items meet nothing; repeated
-    rows of documents count their windows each; repeated items are items of one id. The
-    benchmark is broadcast only if it has at most ``gate`` distinct shingles.
+    window begins, the first on ties. Null and empty texts and items meet nothing, nor do
+    rows without a ``doc_id``; repeated rows of documents count their windows each; repeated
+    items are items of one id. Very long texts and items are handled whole. Other columns are
+    not carried, so their names cannot clash. Empty tables give an empty result.
     """
     items = _items(benchmark)
-    vocabulary = items.select("size", F.explode("item").alias("hash")).distinct()
-    known = [r["hash"] for r in vocabulary.select("hash").distinct().limit(gate + 1).collect()]
-    small = len(known) <= gate
-    longest = items.agg(F.max("size")).first()[0] or 0
-    if not known:
-        none = documents.select("doc_id").join(benchmark.select("item_id"), F.lit(False))
-        return none.select("doc_id", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).cast("bigint").alias("window_start"), F.lit(0).cast("bigint").alias("n_windows"))
-    fixed = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-
-    rows = documents.filter("doc_id IS NOT NULL").select("doc_id", shingles(F.coalesce("text", F.lit(""))).alias("h"))
-    if small:
-        listed = ",".join(map(str, known))
-        hits = F.expr(f"filter(transform(h, (x, i) -> if(x IN ({listed}), i, -1)), i -> i >= 0)")
-        marked = rows.select("doc_id", "h", hits.alias("hits"))
-    else:
-        rows = rows.withColumn("row", F.monotonically_increasing_id())
-        each = rows.select("row", F.posexplode_outer("h").alias("at", "hash")).join(vocabulary.select("hash").distinct(), "hash", "left_semi")
-        marked = rows.join(each.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("hits")), "row").select("doc_id", "h", "hits")
-    at = marked.select("doc_id", "h", "hits", F.posexplode_outer("hits").alias("nth", "at")).filter("at IS NOT NULL")
-    at = at.select(
-        "doc_id",
-        "at",
-        F.get("h", F.col("at")).alias("hash"),
-        F.slice("h", F.col("at") + 1, F.lit(longest)).alias("ahead"),
-        F.transform(F.slice("hits", F.col("nth") + 1, F.lit(longest)), lambda p: p - F.col("at")).alias("steps"),
-    )
-    enough = F.ceil(F.lit(per_cent) * (F.col("size") + F.least(F.col("size"), F.size("ahead"))) / (100 + per_cent)).cast("int")
-    windows = at.join(fixed(vocabulary), "hash").filter(F.coalesce(F.get("steps", enough - 1) < F.col("size"), F.lit(False)))
-    windows = windows.select("doc_id", "at", "size", F.slice("ahead", F.lit(1), F.col("size")).alias("window"))
-    printed = windows.select("doc_id", "at", "size", "window", simhash(F.col("window")).alias("fp"))
-    keyed = printed.select("doc_id", "at", "size", "window", "fp", F.explode_outer(blocks(F.col("fp"), radius)).alias("k")).select("doc_id", "at", "size", "window", "fp", "k.*")
-    index = items.select("item_id", "size", "item", simhash(F.col("item")).alias("item_fp"))
-    index = index.select("item_id", "size", "item", "item_fp", F.explode_outer(blocks(F.col("item_fp"), radius)).alias("k")).select("item_id", "size", "item", "item_fp", "k.*")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
-    # A pair that agrees on several blocks goes on from the first of them only.
+    blocks_of = radius + 1
+    bound = items.agg(F.sum("size") + F.count("*") * blocks_of).first()[0] or 0
+    fixed = F.broadcast if bound <= broadcast_rows else (lambda d: d)
+    vocabulary = items.select("item_id", "size", F.explode("item").alias("hash")).distinct()
+    known = documents.filter("doc_id IS NOT NULL").select("doc_id", "text")
+    # Few texts hold enough of an item; their number decides how the texts are joined.
+    chosen = cut(_candidates(known, fixed(vocabulary), per_cent), shared_dir(documents.sparkSession), "candidates")
+    rows = known.withColumn("text_hash", F.xxhash64("text")).join(chosen, ["doc_id", "text_hash"])
+    rows = rows.select("doc_id", "items", shingles(F.coalesce("text", F.lit(""))).alias("h"))
+
+    each = rows.select("doc_id", "h", F.explode_outer("items").alias("x")).filter("x IS NOT NULL").select("doc_id", "h", "x.*")
+    # One window is one row; it is cut out of the part of the text that the item's windows span.
+    low, size = F.get("starts", F.lit(0)), F.col("size")
+    part = F.slice("h", low + 1, F.get("starts", F.size("starts") - 1) - low + size)
+    each = each.select("doc_id", "item_id", "size", low.alias("low"), part.alias("part"), "starts")
+    each = each.select("doc_id", "item_id", "size", "low", "part", F.explode_outer("starts").alias("at")).filter("at IS NOT NULL")
+    each = each.select("doc_id", "item_id", "at", F.slice("part", F.col("at") - F.col("low") + 1, size).alias("window"))
+    printed = each.select("doc_id", "item_id", "at", "window", simhash(F.col("window")).alias("fp"))
+    keyed = printed.select("doc_id", "item_id", "at", "window", "fp", F.explode_outer(blocks(F.col("fp"), radius)).alias("k")).select("doc_id", "item_id", "at", "window", "fp", "k.*")
+    index = items.select("item_id", simhash(F.col("item")).alias("item_fp"))
+    index = index.select("item_id", "item_fp", F.explode_outer(blocks(F.col("item_fp"), radius)).alias("k")).select("item_id", "item_fp", "k.*").distinct()
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    near = F.bit_count(differ) <= radius
+    # A pair that agrees on several blocks goes on from the first of them only.
     first = F.array_position(F.transform(blocks(differ, radius), lambda b: b["value"]), F.lit(0).cast("bigint")) == F.col("block") + 1
-    met = keyed.join(fixed(index), ["size", "block", "value"]).filter(near & first)
-    judged = met.select("doc_id", "item_id", "at", weighted_similarity(F.col("window"), F.col("item")).alias("similarity"))
+    met = keyed.join(fixed(index), ["item_id", "block", "value"]).filter(near & first).select("doc_id", "item_id", "at", "window", "item_fp")
+    whole = items.select("item_id", simhash(F.col("item")).alias("item_fp"), "item").distinct()
+    judged = met.join(fixed(whole), ["item_id", "item_fp"]).select("doc_id", "item_id", "at", weighted_similarity(F.col("window"), F.col("item")).alias("similarity"))
     best = judged.withColumn("ok", F.explode_outer(F.array(F.col("similarity") * 100 >= per_cent - 1e-9))).filter("ok")
-    top = best.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.expr("min_by(at, struct(-similarity, at))").cast("bigint").alias("window_start"), F.count("*").alias("n_windows"))
-    return top
+    return best.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.expr("min_by(at, struct(-similarity, at))").cast("bigint").alias("window_start"), F.count("*").alias("n_windows"))
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -157,8 +157,8 @@ def test_leaks_equal_brute_force(spark):
     d = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, item_id int")
     b = spark.createDataFrame(items, "item_id bigint, text string")
     want = brute_leaks(rows, items)
-    for gate in (decontam.GATE, 1):
-        got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(d, b, gate=gate).collect()}
+    for most in (decontam.BROADCAST_ROWS, 0):
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(d, b, broadcast_rows=most).collect()}
         assert set(got) == set(want)
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
     clean = decontam.keep_clean(d, b)
@@ -167,6 +167,19 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.keep_clean(d, b.limit(0)).count() == len(rows)
 
 
+def test_leaks_of_very_long_texts_and_items(spark):
+    """A long item in a much longer text, and many items that share a passage."""
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(80_000)]
+    items = [(1, " ".join(words[:2_000])), (2, " ".join(words[100:160]))] + [(10 + k, " ".join(words[200:230] + [f"only{k}"] * 3)) for k in range(50)]
+    rows = [(1, " ".join(["x"] * 50 + words)), (2, " ".join(f"y{k}" for k in range(80_000))), (3, " ".join(words[200:230])), (4, " ".join(words[100:160] * 40))]
+    names = ["item_id", "h", "items", "window", "fp", "block", "text_hash"]
+    d = spark.createDataFrame([(i, t, *names) for i, t in rows], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert {k for _, k in got if k >= 10} == set(range(10, 60))
+    assert {(i, k) for i, k in got if k < 10} == {(1, 1), (1, 2), (4, 2)} and {i for i, k in got if k >= 10} == {1, 3}
+
+
 def test_simhash_and_blocks(spark):
     rng = np.random.default_rng(2)
     values = rng.integers(-(2**63), 2**63 - 1, 40).tolist() + [5, 5, 5]
@@ -175,6 +188,9 @@ def test_simhash_and_blocks(spark):
     df = spark.createDataFrame([(values,)], "h array<bigint>")
     got, blocks = df.select(decontam.simhash(F.col("h")), decontam.blocks(decontam.simhash(F.col("h")))).first()
     assert got & (2**64 - 1) == want and len(blocks) == 21
+    # More hashes than sixteen bits can count.
+    many = spark.range(1).select(decontam.simhash(F.array_repeat(F.lit(-1).cast("bigint"), 70_000)), decontam.simhash(F.concat(F.array_repeat(F.lit(5).cast("bigint"), 70_000), F.array_repeat(F.lit(2).cast("bigint"), 66_000)))).first()
+    assert list(many) == [-1, 5]
     assert sum(b.value << (64 * b.block // 21) for b in blocks) == want
 
 
