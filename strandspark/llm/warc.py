@@ -5,6 +5,10 @@ separator is the blank lines that end a record. The normaliser inflates each suc
 once, gives every record a gzip member of its own and writes a sidecar index of offsets. All
 files go through Spark's readers and committers, so any store that Spark knows will do and a
 lost executor's files are written again.
+
+The text source inflates a stream as it reads and hands it on in pieces between blank lines,
+so a monolithic archive may have any size: a task holds one record and some megabytes of
+members. Normalised archives are rolled by bytes, and readers hold one of them.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +27,12 @@ from pyspark.sql import functions as F
 CRLF = "\r\n"
 #: Payloads shorter than this are stored again rather than revisited.
 LEAST_REVISIT = 100
-#: Records in one archive at most, which bounds what a task holds.
+#: Records in one monolithic archive at most; such a stream is one task of the normaliser.
 ARCHIVE_RECORDS = 2000
+#: Bytes of members at which a normalised archive ends; one record may exceed it.
+ARCHIVE_BYTES = 32 << 20
+#: Bytes of members that go to the sink together.
+PIECE_BYTES = 4 << 20
 _CHUNK = 1 << 20
 _PAGE = re.compile(rb"<urn:page:(-?\d*)>")
 
@@ -134,33 +143,64 @@ def _member(raw: bytes, level: int) -> bytes:
 _EMPTY_MEMBER = _member(b"", 1)
 
 
-def normalise(spark: SparkSession, source: str, target: str, level: int = 6) -> None:
-    """Rewrite the archives under ``source`` with one member for each record, and index them.
+def normalise(spark: SparkSession, source: str, target: str, level: int = 6, most: int = ARCHIVE_BYTES, piece: int = PIECE_BYTES) -> None:
+    """Rewrite the gzip archives under ``source`` with one member for each record, and index them.
 
     ``target/archive=NAME/kind=warc`` holds the members and ``kind=cdx`` the index: gzip over
     JSON lines with the offset, length, record id, type and payload digest of each record.
-    Any gzip stream of records will do, of one member or many.
+    Any gzip stream of records will do, of one member or many, whose name ends in ``.gz``. An
+    archive of more than ``most`` bytes goes on in another. Between pieces stands an empty
+    member, which readers of gzip skip.
     """
+    blank = CRLF * 2
+
+    def lines(index: list[dict]) -> bytes:
+        return _member("".join(json.dumps(x) + "\n" for x in index).encode(), level)
+
+    def rewritten(path: str, pieces: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        name, number, seq = hashlib.md5(path.encode()).hexdigest(), 0, 0
+        members, index, at, begun = [], [], 0, 0
+
+        def row(kind: str, value: bytes) -> pa.RecordBatch:
+            cols = [pa.array([f"{name}-{number:05d}"]), pa.array([kind]), pa.array([seq], pa.int64()), pa.array([value + _EMPTY_MEMBER[:-1]], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["archive", "kind", "seq", "value"])
+
+        for raw, fields, _ in read_records(pieces):
+            member = _member(raw, level)
+            index.append({"offset": at, "length": len(member), "id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "digest": fields.get("warc-payload-digest")})
+            members.append(member)
+            at += len(member)
+            if at - begun >= piece:
+                yield row("warc", b"".join(members))
+                members, seq, at = [], seq + 1, at + len(_EMPTY_MEMBER)
+                begun = at
+                if at >= most:
+                    yield row("cdx", lines(index))
+                    index, at, begun, seq, number = [], 0, 0, 0, number + 1
+        if members:
+            yield row("warc", b"".join(members))
+        if index:
+            yield row("cdx", lines(index))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                members, index, at = [], [], 0
-                for raw, fields, _ in read_records(_inflate(memoryview(content.as_buffer()))):
-                    member = _member(raw, level)
-                    index.append(json.dumps({"offset": at, "length": len(member), "id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "digest": fields.get("warc-payload-digest")}))
-                    members.append(member)
-                    at += len(member)
-                name = hashlib.md5(path.as_py().encode()).hexdigest()
-                files = [("warc", b"".join(members)), ("cdx", _member("".join(x + "\n" for x in index).encode(), level))]
-                values = [pa.array([name] * 2), pa.array([k for k, _ in files]), pa.array([v + _EMPTY_MEMBER[:-1] for _, v in files], pa.binary())]
-                yield pa.RecordBatch.from_arrays(values, ["archive", "kind", "value"])
-
-    files = spark.read.format("binaryFile").load(source).select("path", "content")
-    done = files.mapInArrow(work, "archive string, kind string, value binary")
+        """The rows of a file follow one another, as they do in the file."""
+        rows = ((path, value) for batch in batches for path, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for path, group in groupby(rows, key=lambda r: r[0]):
+            yield from rewritten(path, (x for _, value in group for x in (value, blank.encode())))
+
+    parts = spark.read.option("lineSep", blank).text(source).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value"))
+    done = parts.mapInArrow(work, "archive string, kind string, seq bigint, value binary").sortWithinPartitions("archive", "kind", "seq")
     done.select("archive", "kind", F.col("value").cast("string").alias("value")).write.partitionBy("archive", "kind").option("lineSep", "\0").text(target)
 
 
+def _files(spark: SparkSession, target: str, kind: str) -> DataFrame:
+    """(``archive``, ``content``) of the files of a kind; no rows where there was no record to write."""
+    found = spark.read.format("binaryFile").load(target)
+    if "kind" not in found.columns:
+        return found.select(F.lit("").alias("archive"), "content").filter("false")
+    return found.filter(F.col("kind") == kind).select("archive", "content")
+
+
 def read_index(spark: SparkSession, target: str) -> DataFrame:
     """The sidecar index: ``archive``, ``offset``, ``length``, ``id``, ``type``, ``digest``."""
     kinds = "offset bigint, length bigint, id string, type string, digest string"
@@ -174,8 +214,7 @@ def read_index(spark: SparkSession, target: str) -> DataFrame:
                 cols += [pa.array([g[k] for g in got], pa.int64() if k in ("offset", "length") else pa.string()) for k in ("offset", "length", "id", "type", "digest")]
                 yield pa.RecordBatch.from_arrays(cols, ["archive", "offset", "length", "id", "type", "digest"])
 
-    files = spark.read.format("binaryFile").load(target).filter("kind = 'cdx'").select("archive", "content")
-    return files.mapInArrow(work, "archive string, " + kinds)
+    return _files(spark, target, "cdx").mapInArrow(work, "archive string, " + kinds)
 
 
 _PAGE_ROWS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, digest_ok boolean, archive string, offset bigint, length bigint"
@@ -234,10 +273,10 @@ def read_pages(spark: SparkSession, target: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = []
+                # An empty member between pieces holds no record.
                 for at, length, raw in _members(memoryview(content.as_buffer())):
                     rows += [(*_page(fields, block), name.as_py(), at, length) for _, fields, block in read_records(iter([raw]))]
                 cols = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PAGE_SCHEMA)]
                 yield pa.RecordBatch.from_arrays(cols, schema=_PAGE_SCHEMA)
 
-    files = spark.read.format("binaryFile").load(target).filter("kind = 'warc'").select("archive", "content")
-    return files.mapInArrow(work, _PAGE_ROWS)
+    return _files(spark, target, "warc").mapInArrow(work, _PAGE_ROWS)

@@ -52,6 +52,23 @@ def test_archives_read_back(spark):
         assert b"".join(parts) == whole and all(p.startswith(b"WARC/1.1\r\n") and p.endswith(b"\r\n\r\n") for p in parts)
 
 
+def test_archives_of_large_pages(spark):
+    """Pages of many megabytes among small ones: archives roll by bytes, pieces by less, and all is read back."""
+    pages = spark.range(60).selectExpr("id AS page_id", "concat('http://p/', id) AS url", "CASE WHEN id % 20 = 7 THEN repeat(concat('\\r\\n\\r\\n', sha2(cast(id AS string), 512), 'é'), 100000) ELSE repeat(sha2(cast(id AS string), 512), 40) END AS html")
+    folder = shared_dir(spark)
+    warc.write_monolithic(pages, f"{folder}/raw")
+    warc.normalise(spark, f"{folder}/raw", f"{folder}/warc", most=6000, piece=2000)
+    want = {r.page_id: (r.n, r.d) for r in pages.selectExpr("page_id", "octet_length(html) AS n", "sha2(html, 256) AS d").collect()}
+    rows = warc.read_pages(spark, f"{folder}/warc").collect()
+    assert {r.page_id: (r.payload_bytes, r.payload_digest) for r in rows} == want and all(r.digest_ok for r in rows) and len(rows) == 60
+    index = {(r.archive, r.offset): r.length for r in warc.read_index(spark, f"{folder}/warc").collect()}
+    assert {(r.archive, r.offset): r.length for r in rows} == index and len({a for a, _ in index}) > 4
+    files = spark.read.format("binaryFile").load(f"{folder}/warc").filter("kind = 'warc'").select("archive", "content").collect()
+    for f in files:
+        spots = sorted((o, n) for (a, o), n in index.items() if a == f.archive)
+        assert b"".join(gzip.decompress(bytes(f.content)[o : o + n]) for o, n in spots) == gzip.decompress(bytes(f.content))
+
+
 def test_no_pages(spark):
     folder = shared_dir(spark)
     warc.write_monolithic(spark.createDataFrame([], "page_id bigint, url string, html string"), f"{folder}/raw")
