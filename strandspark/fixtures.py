@@ -6,7 +6,7 @@ The registered queries run the operators on them; each SQL text below builds the
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import seq as S
@@ -38,6 +38,39 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("ord", "doc_id", "i", F.concat(F.lit("r"), F.col("ord").cast("string")).alias("id"), F.lit("").alias("desc"), "seq", F.translate("seq", "ACGT", "5?DI").alias("qual"), F.length("seq").alias("len"))
 
 
+def _edited(t: str) -> Column:
+    """100 letters with a change, a gap and an insertion."""
+    part = lambda a, n: F.substring(t, a, n)
+    return F.concat(part(1, 30), F.translate(part(31, 1), "ACGT", "CATG"), part(32, 20), part(54, 17), F.when(F.length(t) >= 71, "CA").otherwise(""), part(71, 100))
+
+
+def _item_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(``ord``, ``i``, ``at``, ``t``): 100 letters at steps of 50 over all items, and their place in the reference."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", S.dna(F.col("text")).alias("dna"))
+    before = F.sum(F.length("dna")).over(Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, -1))
+    items = items.withColumn("before", F.coalesce(before, F.lit(0))).filter("length(dna) > 0")
+    each = items.select("item_id", "dna", "before", F.explode(F.sequence(F.lit(0), F.floor((F.length("dna") - 1) / 50))).alias("i"))
+    t = F.substring("dna", (F.col("i") * 50 + 1).cast("int"), F.lit(100))
+    return each.select((F.col("item_id") * 1000 + F.col("i")).alias("ord"), "i", (F.col("before") + F.col("i") * 50).cast("int").alias("at"), t.alias("t"))
+
+
+def _as_reads(parts: DataFrame, *more: str) -> DataFrame:
+    none = F.lit(None)
+    return parts.select("ord", F.concat(F.lit("i"), F.col("ord").cast("string")).alias("id"), F.lit("").alias("desc"), "seq", none.cast("string").alias("qual"), none.cast("int").alias("qual_sum"), F.length("seq").alias("len"), *more)
+
+
+def item_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited reads over all items; every second one is reversed."""
+    seq = _edited("t")
+    return _as_reads(_item_parts(spark, sf_dir).withColumn("seq", F.when(F.col("i") % 2 == 1, S.reverse_complement(seq)).otherwise(seq)))
+
+
+def oriented_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reads as an earlier round leaves them: oriented, with a strand and a place."""
+    parts = _item_parts(spark, sf_dir).select("ord", _edited("t").alias("seq"), (F.col("i") % 2 == 1).alias("rc"), F.col("at").alias("as"), (F.col("at") + F.length("t") - 1).alias("ae"), F.lit(0).alias("score"), F.lit(False).alias("trimmed"), F.lit(True).alias("strand_known"))
+    return _as_reads(parts, "rc", "as", "ae", "score", "trimmed", "strand_known")
+
+
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads with a start, a strand, gaps, insertions and matrix classes."""
     r = reads(spark, sf_dir)

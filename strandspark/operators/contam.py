@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import seq as S
 from . import kernel
+from .pileup import bases
 
 LABELS = {"unknown": "unclassified", "clean": "clean", "dirt": "polluting", "conflict": "conflicting", "nonsense": "nonsensical"}
 WEAK, EFFECTIVE, STRONG = 1, 2, 3
@@ -44,15 +45,27 @@ def diagnostic(columns: DataFrame, transversions: bool = False, low: int | None
     return found.select("pos", "assembly", "contaminant", strength.alias("strength"))
 
 
-def observations(bases: DataFrame, sites: DataFrame, ancient: bool = False) -> DataFrame:
+def observations(bases: DataFrame, sites: DataFrame, ancient: bool = False, *more: str) -> DataFrame:
     """Reads' bases at diagnostic positions: (``id``, ``pos``, ``base``, ``strength``, ``clean``, ``dirt``).
 
-    ``bases`` has (``id``, ``pos``, ``base``). An equi-join on positions; Spark broadcasts the
-    sites when they are small.
+    ``bases`` has (``id``, ``pos``, ``base``) and the columns ``more``. An equi-join on
+    positions; Spark broadcasts the sites when they are small.
     """
     met = bases.join(sites, "pos")
     base = F.col("base")
-    return met.select("id", "pos", "base", "strength", S.consistent(F.col("assembly"), base, ancient).alias("clean"), S.consistent(F.col("contaminant"), base, ancient).alias("dirt"))
+    return met.select("id", "pos", "base", "strength", *more, S.consistent(F.col("assembly"), base, ancient).alias("clean"), S.consistent(F.col("contaminant"), base, ancient).alias("dirt"))
+
+
+def site_counts(alns: DataFrame, sites: DataFrame, ancient: bool = False) -> DataFrame:
+    """(``pos``, ``strength``, ``n``, ``clean``, ``dirt``): bases of placed reads at each site, and how many fit either sequence.
+
+    Bases are counted by position and letter before they meet the sites, so the symbols are
+    compared once for each letter of a site and not for each read.
+    """
+    seen = bases(alns).groupBy("pos", "base").agg(F.count("*").alias("times"))
+    met = observations(seen.withColumn("id", F.lit("")), sites, ancient, "times")
+    total = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("times"))), F.lit(0)).cast("bigint").alias(c)
+    return met.groupBy("pos", "strength").agg(F.sum("times").cast("bigint").alias("n"), total("clean"), total("dirt"))
 
 
 def effective(observed: DataFrame, sites: DataFrame) -> DataFrame:

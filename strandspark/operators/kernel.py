@@ -15,6 +15,8 @@ from ..config import Settings
 from ..functions.seq import HOMOPOLYMER_SHARES
 
 LOW = np.int64(-(2**30))
+#: Cells that reads of one length fill together when adapters are looked for.
+TRIM_CELLS = 1_000_000
 DIAGONAL, SKIP_REF, SKIP_READ, BEGIN = 0, 1, 2, 3
 _CODES = np.full(256, 4, dtype=np.int8)
 for _k, _b in enumerate(b"ACGT"):
@@ -191,17 +193,34 @@ def mirror(first: int, last: int, seq: str, inserts: dict[int, str], length: int
     return start, end, flip(seq), {start + last - p + 1: flip(x) for p, x in inserts.items()}
 
 
+def trim_points(reads: list[str], adapter: str, matrix: np.ndarray, settings: Settings = Settings()) -> list[int | None]:
+    """For each read the last base before the adapter, -1 if all is adapter, or None if there is no adapter.
+
+    Reads of one length share a call of :func:`fill`.
+    """
+    out: list[int | None] = [None] * len(reads)
+    if not adapter:
+        return out
+    groups: dict[int, list[int]] = {}
+    for k, read in enumerate(reads):
+        if read:
+            groups.setdefault(len(read), []).append(k)
+    rows = codes(adapter)
+    for size, all_ in groups.items():
+        step = max(1, TRIM_CELLS // (size * len(rows)))
+        for first in range(0, len(all_), step):
+            part = all_[first : first + step]
+            filled = fill(np.stack([codes(reads[k]) for k in part]), np.broadcast_to(rows, (len(part), len(rows))), matrix, settings, pay_5=True)
+            for b, k in enumerate(part):
+                row = int(np.argmax(filled.scores[:, b, -1]))
+                found = trace(filled, b, row, size - 1)
+                if found.score >= settings.trim_score or found.score >= (row - found.rows[0] + 1) * settings.flat_match:
+                    out[k] = int(found.cols[0]) - 1
+    return out
+
+
 def trim_point(read: str, adapter: str, matrix: np.ndarray, settings: Settings = Settings()) -> int | None:
-    """The last base before the adapter, -1 if all is adapter, or None if there is no adapter."""
-    if not read or not adapter:
-        return None
-    filled = fill(codes(read), codes(adapter)[None, :], matrix, settings, pay_5=True)
-    ends = filled.scores[:, 0, -1]
-    row = int(np.argmax(ends))
-    found = trace(filled, 0, row, len(read) - 1)
-    if found.score >= settings.trim_score or found.score >= (row - found.rows[0] + 1) * settings.flat_match:
-        return int(found.cols[0]) - 1
-    return None
+    return trim_points([read], adapter, matrix, settings)[0]
 
 
 def classes(seq: str, inserts: dict[int, str], start: int, before: int = 0, total: int | None = None, depth: int = 15) -> list[int]:

@@ -58,10 +58,18 @@ def positions(alns: DataFrame, scores: DataFrame) -> DataFrame:
     return count_bases(bases(alns), scores, "pos")
 
 
-def gap_coverage(alns: DataFrame) -> DataFrame:
-    """(``pos``, ``cov_ins``): reads with a say about the gap before a position."""
-    each = alns.filter("end > start").select(F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("pos"))
-    return each.groupBy("pos").agg(F.count("*").alias("cov_ins"))
+def gap_coverage(alns: DataFrame, asked: DataFrame) -> DataFrame:
+    """(``pos``, ``cov_ins``) for the positions ``asked``: reads with a say about the gap before each.
+
+    Depth is summed from change points, so no read is exploded; the asked positions are rows
+    without a change. The running sum has as many rows as the reference at most.
+    """
+    ends = F.array(F.struct((F.col("start") + 1).alias("pos"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).alias("d")))
+    change = alns.filter("end > start").select(F.explode(ends).alias("x")).select("x.pos", "x.d", F.lit(0).alias("wanted"))
+    both = change.unionByName(asked.select("pos", F.lit(0).alias("d"), F.lit(1).alias("wanted")))
+    each = both.groupBy("pos").agg(F.sum("d").alias("d"), F.max("wanted").alias("wanted"))
+    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return each.select("pos", "wanted", F.sum("d").over(w).cast("bigint").alias("cov_ins")).filter("wanted = 1").drop("wanted")
 
 
 def insertions(alns: DataFrame, scores: DataFrame) -> DataFrame:
@@ -70,7 +78,7 @@ def insertions(alns: DataFrame, scores: DataFrame) -> DataFrame:
     lengths = gap_lengths(alns).filter("gap > 0")
     full = lengths.select("pos", F.explode(F.sequence(F.lit(0), F.col("gap") - 1)).alias("ins_idx"))
     # Coverage is asked only where there is an insertion.
-    cov = gap_coverage(alns).join(lengths.select("pos"), "pos", "left_semi")
+    cov = gap_coverage(alns, lengths)
     joined = full.join(voiced, ["pos", "ins_idx"], "left").join(cov, "pos", "left")
     n = F.coalesce("cov", F.lit(0))
     out = joined.withColumn("__silent", F.greatest(F.coalesce("cov_ins", F.lit(0)) - n, F.lit(0)))

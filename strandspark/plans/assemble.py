@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -40,16 +42,29 @@ def reference_rows(spark: SparkSession, seq: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors share; one process that is driver and executor may use a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
         base = "file://" + tempfile.mkdtemp(prefix="strandspark-")
     return f"{base.rstrip('/')}/assembly-{uuid.uuid4().hex}"
 
 
+def clear_steps(spark: SparkSession) -> int:
+    """Delete all ``assembly-*`` folders of the shared folder; their number. Assemblies read them lazily."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return 0
+    jvm = spark.sparkContext._jvm
+    glob = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/assembly-*")
+    fs = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(glob) or []
+    for status in found:
+        fs.delete(status.getPath(), True)
+    return len(found)
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     """A written table ends the lineage of a round and survives lost executors."""
     df.write.parquet(path)

@@ -16,6 +16,10 @@ from ..operators import contam, diff, pileup
 LEAST_STRONG = 40
 
 
+class TooFewSites(ValueError):
+    """The estimate would rest on too few strong positions."""
+
+
 @dataclass
 class Check:
     """Sites, classes of reads, and the one-row reports for strong and for all sites."""
@@ -44,7 +48,7 @@ def check(
     columns = contam.aligned_columns(pair)
     sites = contam.diagnostic(columns, transversions, *(span or (None, None)))
     if not force and sites.filter(F.col("strength") == contam.STRONG).count() < LEAST_STRONG:
-        raise ValueError(f"fewer than {LEAST_STRONG} strong positions; force the estimate to have it anyway")
+        raise TooFewSites(f"fewer than {LEAST_STRONG} strong positions; force the estimate to have it anyway")
     named = alns.withColumn("name", S.plain_name(F.col("id")))
     # Positions of a reference: small, and needed by every alignment.
     lift = [r["dirt_pos"] for r in columns.filter("assembly <> '-'").orderBy("pos").select("dirt_pos").collect()]

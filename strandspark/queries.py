@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import cli
 from . import fixtures as X
 from .config import ADAPTERS, Settings
 from .functions import scoring
 from .functions import seq as S
 from .operators import align, contam, cutoff, dedup, diff, kernel, pileup, seeds
-from .plans import assemble, report
+from .plans import assemble, contamination, report
 from .sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,19 +40,32 @@ def _scratch(spark: SparkSession) -> str:
 # Sources and sinks ---------------------------------------------------------------------
 
 
+def _fasta_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return X.docs(spark, sf).select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" from text\n"), writers.wrapped(F.lower("dna"))).alias("value"))
+
+
+def _fastq_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return writers.fastq_lines(X.reads(spark, sf).select("ord", "id", "seq", "qual", F.lit(False).alias("rc"), F.lit(False).alias("trimmed")))
+
+
 @query("s1_input_kind")
 def s1(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.substring("text", 1, 1)
-    kind = F.when(first == "@", "fastq").otherwise("fasta")
-    return X.table(spark, sf, "documents").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    """Files of documents and of reads, told apart by their first byte and read by the reader that fits."""
+    path, out = _scratch(spark), None
+    _fasta_lines(spark, sf).write.text(f"{path}/one")
+    _fastq_lines(spark, sf).select("value").write.text(f"{path}/two")
+    for name in ("one", "two"):
+        kind = readers.sniff(spark, f"{path}/{name}")
+        row = readers.reads(spark, f"{path}/{name}").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum("seq_len").alias("bases"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("s3_fasta_scan")
 def s3(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as FASTA files, read back: ids, cut sequences."""
     path = _scratch(spark) + "/fasta"
-    rows = X.docs(spark, sf).select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" from text\n"), writers.wrapped(F.lower("dna"))).alias("value"))
-    rows.write.text(path)
+    _fasta_lines(spark, sf).write.text(path)
     return readers.fasta(spark, path).select("id", "desc", F.md5("seq").alias("seq_md5"), "seq_len")
 
 
@@ -58,8 +73,7 @@ def s3(spark: SparkSession, sf: str) -> DataFrame:
 def s4(spark: SparkSession, sf: str) -> DataFrame:
     """Reads as FASTQ files, read back: quality sums by document."""
     path = _scratch(spark) + "/fastq"
-    rows = X.reads(spark, sf).select("ord", "id", "seq", "qual", F.lit(False).alias("rc"), F.lit(False).alias("trimmed"))
-    writers.fastq_lines(rows).orderBy("ord").select("value").write.text(path)
+    _fastq_lines(spark, sf).orderBy("ord").select("value").write.text(path)
     got = readers.fastq(spark, path)
     return got.groupBy(F.substring("seq", 1, 4).alias("head")).agg(F.count("*").alias("n"), F.sum("qual_sum").alias("qual_sum"), F.sum("seq_len").alias("bases"))
 
@@ -78,11 +92,48 @@ def s6(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(name, rest, seq)], "id string, desc string, seq string").select("id", "desc", F.md5("seq").alias("seq_md5"), F.length("seq").alias("len"), F.md5(S.reverse_complement(F.col("seq"))).alias("rc_md5"))
 
 
+@query("s7_matrix_file")
+def s7(spark: SparkSession, sf: str) -> DataFrame:
+    """A matrix written as a file of 31 blocks, and read back for both strands."""
+    path = _scratch(spark) + "/matrix"
+    depth, m = Settings().pssm_depth, X.matrix()
+    names = [*range(1, depth + 1), "MIDDLE", *range(-depth, 0)]
+    blocks = [f"# position: {n}\n" + "\n".join(" ".join(map(str, row)) for row in m[k, :4, :4].tolist()) for k, n in enumerate(names)]
+    spark.createDataFrame([("\n".join(blocks),)], "value string").write.text(path)
+    text = spark.read.text(path, wholetext=True).first()["value"]
+    return scoring.table(spark, scoring.parse(text)).select("rc", "depth", "read_b", "sa", "sc", "sg", "st")
+
+
+@query("s15_options")
+def s15(spark: SparkSession, sf: str) -> DataFrame:
+    """Command lines, what they set, and those that are refused."""
+    lines = ["", "-k 12 -c -u", "-U -C 3 -T -a s", "-S 150 -D", "-N 40 -p 2 -n", "-H 700 -M -A -h", "-H 0", "-k 15"]
+    out = []
+    for line in lines:
+        try:
+            o = cli._settings(cli.parser().parse_args(["assemble", "-r", "x", "-f", "y", *line.split()]))
+            out.append((line, True, o.kmer, o.dedup, o.collapse, o.tolerance, o.circular, o.distant, o.iterate, o.cons_code, o.hard_cut, o.slope, o.intercept))
+        except ValueError:
+            out.append((line, False, *[None] * 11))
+    return spark.createDataFrame(out, "line string, fine boolean, kmer int, dedup string, collapse boolean, tolerance int, circular boolean, distant boolean, iterate boolean, cons_code int, hard_cut int, slope double, intercept double")
+
+
 @query("s9_flat_matrix")
 def s9(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.table(spark, scoring.flat()).groupBy("rc", "read_b").agg(F.sum("sa").alias("sa"), F.sum("sc").alias("sc"), F.sum("sg").alias("sg"), F.sum("st").alias("st"))
 
 
+@query("s12_newest_sibling")
+def s12(spark: SparkSession, sf: str) -> DataFrame:
+    """Of saved states numbered by regions, the one with the greatest number is found from any of them."""
+    path = _scratch(spark)
+    numbers = [r["n"] for r in X.table(spark, sf, "region").select((F.col("r_regionkey") * 3 + 1).alias("n")).collect()]
+    for n in numbers:
+        spark.range(1).select(F.lit("x").alias("value")).write.text(f"{path}/state.{n}")
+    found = [(n, readers.newest(spark, f"{path}/state.{n}").rsplit("/", 1)[-1]) for n in sorted(numbers)]
+    return spark.createDataFrame(found, "number bigint, newest string")
+
+
 @query("s10_id_list")
 def s10(spark: SparkSession, sf: str) -> DataFrame:
     path = _scratch(spark) + "/ids"
@@ -134,10 +185,17 @@ def f3(spark: SparkSession, sf: str) -> DataFrame:
     return seeds.index(masked, 8, True, 1 << 30).groupBy("code").agg(F.count("*").alias("n"))
 
 
+def _placed_items(spark: SparkSession, sf: str, settings: Settings) -> DataFrame:
+    """Reads of all items on the whole reference where seeds open it."""
+    ref = X.reference(spark, sf)
+    return align.first_pass(assemble.seeded_reads(spark, X.item_reads(spark, sf), ref, settings), ref, scoring.flat(), settings)
+
+
 @query("f4_f5_score_filters")
 def f4(spark: SparkSession, sf: str) -> DataFrame:
-    p = X.placed(spark, sf)
-    return p.filter((F.col("score") >= Settings().first_score) & (F.col("score") > 0)).groupBy("rc").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+    """The first pass drops reads below its first score."""
+    kept = _placed_items(spark, sf, Settings(kmer=12, first_score=12_000))
+    return kept.groupBy("rc").agg(F.count("*").alias("n"), F.min("score").alias("low"))
 
 
 @query("f7_alignable_length")
@@ -170,14 +228,17 @@ def f17(spark: SparkSession, sf: str) -> DataFrame:
     return contam.classify(_observed(spark, sf), 3, "user_id").groupBy("klass").agg(F.count("*").alias("n"))
 
 
-@query("f20_sequence_check")
-def f20(spark: SparkSession, sf: str) -> DataFrame:
-    return X.table(spark, sf, "documents").groupBy(S.is_sequence(F.substring_index("text", " ", 1)).alias("ok")).agg(F.count("*").alias("n"))
+@query("f18_span")
+def f18(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites of a span only, all of them and transversions only; the span is the feature."""
+    columns = _site_columns(spark, sf)
+    count = lambda only: contam.diagnostic(columns, only, 1001, 3000).groupBy("strength").agg(F.lit(only).alias("transversions_only"), F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return count(False).unionByName(count(True))
 
 
-@query("f20_sequence_check_words")
-def f20w(spark: SparkSession, sf: str) -> DataFrame:
-    """As f20_sequence_check, of every word of each text."""
+@query("f20_sequence_check")
+def f20(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of each text: is it a sequence?"""
     words = X.table(spark, sf, "documents").select(F.explode(F.split("text", "[ \\t\\n\\f\\r]+")).alias("word")).filter("word <> ''")
     return words.groupBy(S.is_sequence(F.col("word")).alias("ok")).agg(F.count("*").alias("n"))
 
@@ -215,8 +276,21 @@ def w8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j4_strand_choice")
 def j4(spark: SparkSession, sf: str) -> DataFrame:
-    fw, rv = F.col("l_quantity"), F.col("l_linenumber") * 7
-    return X.table(spark, sf, "lineitem").groupBy((~(fw > rv)).alias("rc")).agg(F.count("*").alias("n"))
+    """Strands that the first pass chose, of reads of which every second one is reversed."""
+    placed = _placed_items(spark, sf, Settings(kmer=12, distant=True))
+    return placed.groupBy("rc", (F.col("ord") % 2 == 1).alias("reversed")).agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+
+
+@query("j5_realign")
+def j5(spark: SparkSession, sf: str) -> DataFrame:
+    """Oriented reads placed anew near where they were, by position-specific matrices of their strand."""
+    reads = X.oriented_items(spark, sf)
+    placed = align.realign(reads, X.reference(spark, sf), X.matrix(), scoring.reverse(X.matrix()))
+    return placed.select("ord", "score", "rc", "start", "end", "seq", _insertions().alias("ins"), F.array_join("smp", ",").alias("smp"))
+
+
+def _insertions() -> Column:
+    return F.array_join(F.transform(F.sort_array(F.map_entries("ins")), lambda x: F.concat(x["key"].cast("string"), F.lit(":"), x["value"])), ",")
 
 
 @query("j6_interval_coverage")
@@ -226,34 +300,13 @@ def j6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j7_diagnostic_join")
 def j7(spark: SparkSession, sf: str) -> DataFrame:
-    sites = _sites(spark, sf)
-    bases = pileup.bases(X.placed(spark, sf).filter("segment = 'a'"))
-    seen = contam.observations(bases.select(F.lit("x").alias("id"), "pos", "base"), sites, True)
-    return seen.groupBy("pos", "strength").agg(F.count("*").alias("n"), F.count_if("clean").alias("clean"), F.count_if("dirt").alias("dirt"))
-
-
-@query("j7_diagnostic_join_whole")
-def j7w(spark: SparkSession, sf: str) -> DataFrame:
-    """As j7_diagnostic_join, over the whole reference and all segments."""
-    bases = pileup.bases(X.placed(spark, sf))
-    seen = contam.observations(bases.select(F.lit("x").alias("id"), "pos", "base"), _sites(spark, sf, whole=True), True)
-    return seen.groupBy("pos", "strength").agg(F.count("*").alias("n"), F.count_if("clean").alias("clean"), F.count_if("dirt").alias("dirt"))
+    """Bases of all placed reads at the sites of the whole reference."""
+    return contam.site_counts(X.placed(spark, sf), _sites(spark, sf), True)
 
 
 @query("j8_half_merge")
 def j8(spark: SparkSession, sf: str) -> DataFrame:
-    klass = F.element_at(F.array(*[F.lit(k) for k in contam.LABELS]), (F.col("l_partkey") % 5 + 1).cast("int"))
-    klass2 = F.element_at(F.array(*[F.lit(k) for k in contam.LABELS]), (F.col("l_suppkey") % 5 + 1).cast("int"))
-    rows = X.table(spark, sf, "lineitem").filter("l_linenumber <= 2").select(
-        F.col("l_orderkey").cast("string").alias("name"), F.when(F.col("l_linenumber") == 1, "f").otherwise("b").alias("segment"), klass.alias("klass"), klass2.alias("klass2"), F.col("l_quantity").cast("bigint").alias("sites")
-    )
-    rows = rows.groupBy("name", "segment").agg(F.min("klass").alias("klass"), F.max("klass2").alias("klass2"), F.min("sites").alias("sites"))
-    return contam.merge_halves(rows)
-
-
-@query("j8_half_merge_whole")
-def j8w(spark: SparkSession, sf: str) -> DataFrame:
-    """As j8_half_merge, over all line items: each pair of lines of an order is a read's halves."""
+    """All line items: each pair of lines of an order is a read's halves."""
     klass = F.element_at(F.array(*[F.lit(k) for k in contam.LABELS]), (F.col("l_partkey") % 5 + 1).cast("int"))
     klass2 = F.element_at(F.array(*[F.lit(k) for k in contam.LABELS]), (F.col("l_suppkey") % 5 + 1).cast("int"))
     name = F.concat_ws(".", F.col("l_orderkey").cast("string"), F.expr("(l_linenumber + 1) div 2").cast("string"))
@@ -271,9 +324,8 @@ def j10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j11_score_lookup")
 def j11(spark: SparkSession, sf: str) -> DataFrame:
-    each = pileup.bases(X.placed(spark, sf)).withColumn("read_b", S.base_index(F.col("base")))
-    joined = each.join(F.broadcast(_scores(spark)), ["rc", "depth", "read_b"])
-    return joined.groupBy("rc", "depth").agg(F.count("*").alias("n"), F.sum("sa").alias("sa"), F.sum("sc").alias("sc"), F.sum("sg").alias("sg"), F.sum("st").alias("st"))
+    counted = pileup.count_bases(pileup.bases(X.placed(spark, sf)), _scores(spark), "rc", "depth")
+    return counted.select("rc", "depth", "cov", "gaps", "sa", "sc", "sg", "st")
 
 
 # Aggregates ----------------------------------------------------------------------------
@@ -388,11 +440,15 @@ def a16(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("source", *[F.round(w[c], 9).alias(c) for c in ("estimate", "low", "high")])
 
 
-def _sites(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    ref = assemble.reference_rows(spark, X.reference(spark, sf)).filter(F.lit(whole) | (F.col("pos") < X.SPAN))
+def _site_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole reference beside a contaminant that has other letters at every third of nine positions."""
+    ref = assemble.reference_rows(spark, X.reference(spark, sf))
     other = F.when(F.col("pos") % 9 == 0, F.translate("ref_base", "ACGT", "GTAC")).when(F.col("pos") % 9 == 4, F.translate("ref_base", "ACGT", "RMKB")).when(F.col("pos") % 9 == 7, F.translate("ref_base", "ACGT", "CAAA")).otherwise(F.col("ref_base"))
-    pair = ref.select(F.col("pos").alias("col"), F.col("ref_base").alias("assembly"), other.alias("contaminant"))
-    return contam.diagnostic(contam.aligned_columns(pair))
+    return contam.aligned_columns(ref.select(F.col("pos").alias("col"), F.col("ref_base").alias("assembly"), other.alias("contaminant")))
+
+
+def _sites(spark: SparkSession, sf: str) -> DataFrame:
+    return contam.diagnostic(_site_columns(spark, sf))
 
 
 @query("a17_diagnostic_sites")
@@ -401,13 +457,6 @@ def a17(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("strength").agg(F.count("*").alias("n"), F.count_if(S.is_transversion(F.col("assembly"), F.col("contaminant"))).alias("transversions"))
 
 
-@query("a17_diagnostic_sites_whole")
-def a17w(spark: SparkSession, sf: str) -> DataFrame:
-    """As a17_diagnostic_sites, over the whole reference."""
-    s = _sites(spark, sf, whole=True)
-    return s.groupBy("strength").agg(F.count("*").alias("n"), F.count_if(S.is_transversion(F.col("assembly"), F.col("contaminant"))).alias("transversions"))
-
-
 @query("a18_majority")
 def a18(spark: SparkSession, sf: str) -> DataFrame:
     return _majority(spark, sf, 70, "gaps")
@@ -443,7 +492,7 @@ def _coordinates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w1_read_order")
 def w1(spark: SparkSession, sf: str) -> DataFrame:
-    return _coordinates(spark, sf).select("ord", F.row_number().over(Window.partitionBy("rc").orderBy(*dedup.order()[1:])).cast("bigint").alias("place"))
+    return dedup.numbered(_coordinates(spark, sf), _scratch(spark) + "/order", ["rc"], dedup.order()[1:]).select("ord", "place")
 
 
 @query("w2_dedup_exact")
@@ -464,15 +513,27 @@ def w2t(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w3_placed_order")
 def w3(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("segment").orderBy("start", "end", "ord")
-    return X.placed(spark, sf).select("ord", F.row_number().over(w).cast("bigint").alias("place"))
+    rows = X.placed(spark, sf).select("ord", "segment", "start", "end")
+    return dedup.numbered(rows, _scratch(spark) + "/order", ["segment"], dedup.PLACED_ORDER).select("ord", "place")
 
 
 @query("w4_homopolymers")
 def w4(spark: SparkSession, sf: str) -> DataFrame:
-    runs = F.regexp_extract_all("dna", F.lit("A+|C+|G+|T+"), F.lit(0))
-    each = X.docs(spark, sf).select(F.explode(runs).alias("run"))
-    return each.groupBy(F.substring("run", 1, 1).alias("base"), F.length("run").alias("len")).agg(F.count("*").alias("n"))
+    """Runs of equal bases as the kernel finds them, counted by base and length."""
+
+    def work(batches):
+        import pandas as pd
+
+        for b in batches:
+            found: Counter[tuple[str, int]] = Counter()
+            for dna in b["dna"]:
+                start, size = kernel.runs(dna)
+                heads = (start == range(len(dna))).nonzero()[0]
+                found.update((dna[k], int(size[k])) for k in heads)
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["base", "len", "n"])
+
+    each = X.docs(spark, sf).select("dna").mapInPandas(work, "base string, len int, n bigint")
+    return each.groupBy("base", "len").agg(F.sum("n").alias("n"))
 
 
 @query("w5_gap_prefix")
@@ -559,35 +620,46 @@ def x11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x12_adapter_trim")
 def x12(spark: SparkSession, sf: str) -> DataFrame:
-    """Adapters are joined to the reads of the benchmark's items and found again."""
+    """Adapters joined to all reads of whole texts, and to whole items with negative orders, are found again."""
     flat = scoring.flat()
 
     def work(batches):
         import pandas as pd
 
         for b in batches:
-            yield pd.DataFrame({"item_id": b["item_id"], "expected": b["cut"], "trim_point": [kernel.trim_point(s, ADAPTERS["n"], flat) for s in b["seq"]]}).astype({"trim_point": "Int64"})
+            points = kernel.trim_points(b["seq"].tolist(), ADAPTERS["n"], flat)
+            yield pd.DataFrame({"ord": b["ord"], "expected": b["cut"], "trim_point": points}).astype({"trim_point": "Int64"})
 
-    dna = S.dna(F.col("text"))
-    rows = X.table(spark, sf, "benchmark").select("item_id", F.least(F.length(dna), F.lit(60)).cast("bigint").alias("cut"), F.concat(F.substring(dna, 1, 60), F.lit(ADAPTERS["n"])).alias("seq"))
-    return rows.mapInPandas(work, "item_id bigint, expected bigint, trim_point bigint")
+    texts = X.reads(spark, sf).select("ord", "seq")
+    items = X.table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("ord"), S.dna(F.col("text")).alias("seq"))
+    rows = texts.unionByName(items).select("ord", F.length("seq").cast("bigint").alias("cut"), F.concat("seq", F.lit(ADAPTERS["n"])).alias("seq"))
+    return rows.mapInPandas(work, "ord bigint, expected bigint, trim_point bigint")
 
 
-@query("x12_adapter_trim_reads")
-def x12r(spark: SparkSession, sf: str) -> DataFrame:
-    """As x12_adapter_trim, over all reads of whole texts, and over whole items with negative orders."""
-    flat = scoring.flat()
+@query("x13_adapters")
+def x13(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes, a sequence of one's own, and one that is too long."""
+    asked = ["n", "N", "s", "x", "ACGTAC", "A" * 128]
+    return spark.createDataFrame([(a, Settings(adapter=a).adapter_sequence) for a in asked], "asked string, adapter string")
+
+
+@query("x14_split")
+def x14(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads dealt over a circle of positions, cut where they pass its end."""
 
     def work(batches):
         import pandas as pd
 
         for b in batches:
-            yield pd.DataFrame({"ord": b["ord"], "expected": b["cut"], "trim_point": [kernel.trim_point(s, ADAPTERS["n"], flat) for s in b["seq"]]}).astype({"trim_point": "Int64"})
+            out = []
+            for start, seq in zip(b["start"].tolist(), b["seq"].tolist(), strict=True):
+                ins = {start + 3: seq[:2]} if len(seq) > 5 else {}
+                out += [(g, s, e, t, *(next(iter(x.items())) if x else (-1, ""))) for g, s, e, t, x in kernel.split_at(start, start + len(seq) - 1, seq, ins, X.SPAN)]
+            yield pd.DataFrame(out, columns=["segment", "start", "end", "seq", "at", "ins"])
 
-    texts = X.reads(spark, sf).select("ord", "seq")
-    items = X.table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("ord"), S.dna(F.col("text")).alias("seq"))
-    rows = texts.unionByName(items).select("ord", F.length("seq").cast("bigint").alias("cut"), F.concat("seq", F.lit(ADAPTERS["n"])).alias("seq"))
-    return rows.mapInPandas(work, "ord bigint, expected bigint, trim_point bigint")
+    rows = X.reads(spark, sf).select(((F.col("doc_id") * 131 + F.col("i") * 50) % X.SPAN).cast("int").alias("start"), "seq")
+    each = rows.mapInPandas(work, "segment string, start int, end int, seq string, at int, ins string")
+    return each.groupBy("segment", F.substring("seq", 1, 2).alias("head"), "ins").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.sum(F.length("seq")).alias("bases"), F.sum("at").alias("at"))
 
 
 @query("x17_plain_name")
@@ -619,6 +691,12 @@ def k6(spark: SparkSession, sf: str) -> DataFrame:
     return report.details(_columns(spark, sf)).withColumn("frac_agree", F.round("frac_agree", 9))
 
 
+@query("k6_details_all")
+def k6a(spark: SparkSession, sf: str) -> DataFrame:
+    """Format 41: every column."""
+    return report.details(_columns(spark, sf), False).withColumn("frac_agree", F.round("frac_agree", 9))
+
+
 @query("k7_fasta")
 def k7(spark: SparkSession, sf: str) -> DataFrame:
     return report.fasta(_columns(spark, sf))
@@ -633,6 +711,32 @@ def k8(spark: SparkSession, sf: str) -> DataFrame:
     return report.region(_assembly(spark, sf), 900, 960).select("start", "end", "name", "text")
 
 
+@query("k8_region_fasta")
+def k8f(spark: SparkSession, sf: str) -> DataFrame:
+    """Format 61, with the ends of the region swapped."""
+    return report.region(_assembly(spark, sf), 960, 900, fasta_style=True).select("start", "end", "value")
+
+
+@query("k9_colour")
+def k9(spark: SparkSession, sf: str) -> DataFrame:
+    return report.region(_assembly(spark, sf), 900, 960, colour=True).select("start", "end", "value")
+
+
+@query("x18_region")
+def x18(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as text, from either end."""
+
+    def work(batches):
+        import pandas as pd
+
+        for b in batches:
+            found = [cli.region(t) for t in b["t"]]
+            yield pd.DataFrame({"c_custkey": b["c_custkey"], "low": [x[0] for x in found], "high": [x[1] for x in found]})
+
+    t = F.concat_ws(":", (F.col("c_custkey") % 97).cast("string"), (F.col("c_nationkey") * 4).cast("string"))
+    return X.table(spark, sf, "customer").select("c_custkey", t.alias("t")).mapInPandas(work, "c_custkey bigint, low bigint, high bigint")
+
+
 @query("k10_ace")
 def k10(spark: SparkSession, sf: str) -> DataFrame:
     return report.ace(_assembly(spark, sf))
@@ -657,6 +761,41 @@ def j3(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("ord", "score", "rc", "start", "end", F.length("seq").alias("len"))
 
 
+@query("i3_cull")
+def i3(spark: SparkSession, sf: str) -> DataFrame:
+    """Placed reads of all items: which are the best of their place, and which fall below the line of scores."""
+    settings = Settings(kmer=12, dedup="score")
+    culled = assemble._cull(_placed_items(spark, sf, settings), X.reference(spark, sf), settings)
+    return culled.select("ord", "unique_best", "cluster", "dropped")
+
+
+@query("j3_align_items")
+def j3i(spark: SparkSession, sf: str) -> DataFrame:
+    """Edited reads of all items, of either strand, on the whole reference: places, letters and insertions."""
+    placed = _placed_items(spark, sf, Settings(kmer=12, distant=True))
+    return placed.select("ord", "score", "rc", "start", "end", "seq", _insertions().alias("ins"))
+
+
+@query("j9_pair_items")
+def j9i(spark: SparkSession, sf: str) -> DataFrame:
+    """Each whole item against the next: distance, and what the two gapped rows say about it."""
+
+    def work(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for k, one, two in zip(b["item_id"], b["dna"], b["other"], strict=True):
+                d, x, y = diff.align_pair(one, two, len(one) + len(two) + 1)
+                out.append((k, d, sum(p != q for p, q in zip(x, y, strict=True)), x.replace("-", "") == one and y.replace("-", "") == two))
+            yield pd.DataFrame(out, columns=["item_id", "distance", "cost", "whole"])
+
+    # A window over the benchmark, which is a small table.
+    items = X.table(spark, sf, "benchmark").select("item_id", S.dna(F.col("text")).alias("dna"))
+    pairs = items.withColumn("other", F.lead("dna").over(Window.orderBy("item_id"))).filter("other IS NOT NULL")
+    return pairs.repartition(spark.sparkContext.defaultParallelism).mapInPandas(work, "item_id bigint, distance bigint, cost bigint, whole boolean")
+
+
 @query("j9_pair_distance")
 def j9(spark: SparkSession, sf: str) -> DataFrame:
     ref = X.reference(spark, sf)
@@ -678,3 +817,44 @@ def i2(spark: SparkSession, sf: str) -> DataFrame:
     own = one.select((-1 - F.col("at")).cast("bigint").alias("ord"), F.concat(F.lit("b"), F.col("at").cast("string")).alias("id"), F.lit("").alias("desc"), F.substring("t", F.col("at") + 1, F.lit(100)).alias("seq"), F.lit(None).cast("string").alias("qual"), F.lit(None).cast("int").alias("qual_sum"))
     done = assemble.assemble(spark, texts.unionByName(own), changed, settings=Settings(kmer=10))
     return spark.createDataFrame([(done.consensus, done.consensus == truth)], "consensus string, recovered boolean")
+
+
+def _mixture(spark: SparkSession, sf: str) -> tuple[str, str, DataFrame]:
+    """The whole reference, a contaminant, and placed reads of either, of both, and of neither."""
+    truth = X.reference(spark, sf)
+    strong, third, weak, other = (dict(zip("ACGT", x, strict=True)) for x in ("CATG", "GTAC", "RYRY", "GTAC"))
+    at = range(len(truth))
+    contaminant = "".join(strong[c] if k % 60 == 29 else weak[c] if k % 60 == 59 else c for k, c in zip(at, truth, strict=True))
+    dirty = "".join(strong[c] if k % 60 == 29 else other[c] if k % 60 == 59 else c for k, c in zip(at, truth, strict=True))
+    odd = "".join(third[c] if k % 60 == 29 else c for k, c in zip(at, truth, strict=True))
+    one = spark.createDataFrame([(truth, dirty, odd)], "t string, d string, o string")
+    each = one.select("t", "d", "o", F.explode(F.sequence(F.lit(0), F.lit((len(truth) - 100) // 50))).alias("k"))
+    part = lambda c, a, n: F.substring(c, F.col("k") * 50 + a, F.lit(n))
+    seq = F.when(F.col("k") % 4 == 0, part("t", 1, 100)).when(F.col("k") % 4 == 1, part("d", 1, 100)).when(F.col("k") % 4 == 2, F.concat(part("t", 1, 50), part("d", 51, 50))).otherwise(part("o", 1, 100))
+    half = F.when(F.col("k") % 10 == 8, "f").when(F.col("k") % 10 == 9, "b").otherwise("a")
+    name = F.concat(F.lit("q"), (F.col("k") - (half == "b").cast("int")).cast("string"), F.when(half == "f", "_f").when(half == "b", "_b").otherwise(""))
+    alns = each.select(name.alias("id"), half.alias("segment"), (F.col("k") * 50).alias("start"), (F.col("k") * 50 + 99).alias("end"), seq.alias("seq"), F.expr("cast(map() AS map<int,string>)").alias("ins"))
+    return truth, contaminant, alns
+
+
+@query("i4_check_classes")
+def i4(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole check: weak sites that a read upgrades, classes of reads, halves merged."""
+    truth, contaminant, alns = _mixture(spark, sf)
+    found = contamination.check(spark, alns, truth, contaminant)
+    return found.reads.groupBy("klass", "klass2").agg(F.count("*").alias("n"), F.sum("sites").cast("bigint").alias("sites"))
+
+
+@query("f19_safety_stop")
+def f19(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of the reference from its start: too few strong positions stop the estimate, unless it is forced."""
+    truth, contaminant, alns = _mixture(spark, sf)
+    out = []
+    for last in (600, 2369, 2370, len(truth)):
+        for force in (False, True):
+            try:
+                contamination.check(spark, alns, truth, contaminant, span=(1, last), force=force)
+                out.append((last, force, False))
+            except contamination.TooFewSites:
+                out.append((last, force, True))
+    return spark.createDataFrame(out, "last bigint, force boolean, stopped boolean")
