@@ -14,10 +14,10 @@ import numpy as np
 from ..config import Settings
 from ..functions.seq import HOMOPOLYMER_SHARES
 
-LOW = np.int64(-(2**30))
+LOW = np.int32(-(2**30))
 #: Cells that reads of one length fill together when adapters are looked for.
 TRIM_CELLS = 1_000_000
-DIAGONAL, SKIP_REF, SKIP_READ, BEGIN = 0, 1, 2, 3
+DIAGONAL, SKIP_REF, SKIP_READ, BEGIN, RUN_REF, RUN_READ = range(6)
 _CODES = np.full(256, 4, dtype=np.int8)
 for _k, _b in enumerate(b"ACGT"):
     _CODES[_b] = _k
@@ -47,11 +47,17 @@ def row_depth(row: int, length: int, depth: int = 15) -> int:
 
 @dataclass
 class Filled:
-    """Scores of all rows, with the kind and the argument of each cell's best step."""
+    """Scores of all rows and the kind of each cell's best step.
+
+    Where a gap began is not stored for each cell; a trace looks it up for the few it passes.
+    ``source`` has it for gaps within homopolymers.
+    """
 
     scores: np.ndarray
     step: np.ndarray
-    source: np.ndarray
+    allowed: np.ndarray
+    extend: int
+    source: np.ndarray | None = None
 
 
 def fill(ref: np.ndarray, reads: np.ndarray, matrix: np.ndarray, settings: Settings = Settings(), mask: np.ndarray | None = None, pay_5: bool = True, ref_seq: str | None = None, read_seqs: list[str] | None = None) -> Filled:
@@ -61,71 +67,64 @@ def fill(ref: np.ndarray, reads: np.ndarray, matrix: np.ndarray, settings: Setti
     gaps within homopolymers have their discount.
     """
     count, rows = reads.shape
-    ref = np.broadcast_to(ref, (count, ref.shape[-1])).astype(np.int64)
+    ref = np.ascontiguousarray(np.broadcast_to(ref, (count, ref.shape[-1])), dtype=np.int32)
     cols = ref.shape[1]
     gop, gep = settings.gap_open, settings.gap_extend
-    open_ = np.ones((count, cols), dtype=bool) if mask is None else mask
-    at = np.arange(cols)
-    scores = np.full((rows, count, cols), LOW, dtype=np.int64)
+    at = np.arange(cols, dtype=np.int32)
+    extend = gep * at
+    scores = np.full((rows, count, cols), LOW, dtype=np.int32)
     step = np.zeros((rows, count, cols), dtype=np.int8)
-    source = np.zeros((rows, count, cols), dtype=np.int32)
-    scores[0] = np.where(open_, matrix[0][ref, reads[:, :1]], LOW)
+    # A cell of a matrix lies at five times the reference base plus the read base.
+    cells, reads, flat = ref * 5, reads.astype(np.int32), matrix.astype(np.int32).reshape(len(matrix), 25)
+    first = flat[0].take(cells + reads[:, :1])
+    scores[0] = first if mask is None else np.where(mask, first, LOW)
     step[0] = BEGIN
-    best_row = np.full((count, cols), LOW)
-    best_row_at = np.zeros((count, cols), dtype=np.int32)
+    best_row = np.full((count, cols), LOW, dtype=np.int32)
     hp = ref_seq is not None and read_seqs is not None
+    source = np.zeros((rows, count, cols), dtype=np.int32) if hp else None
     if hp:
         col_run, _ = runs(ref_seq)
         read_runs = [runs(s) for s in read_seqs]
     allowed = np.zeros((count, cols), dtype=bool)
-    allowed[:, : max(cols - 2, 0)] = open_[:, 2:]
+    allowed[:, : max(cols - 2, 0)] = True if mask is None else mask[:, 2:]
     allowed[:, 0] = True
+    pick = np.empty((count, cols), dtype=np.int32)
     for r in range(1, rows):
-        above = scores[r - 1]
-        base = matrix[row_depth(r, rows, settings.pssm_depth)][ref, reads[:, r : r + 1]].astype(np.int64)
-        # The best gap along the reference: the least k of the greatest score + extension.
-        value = np.where(allowed, above + gep * at, 2 * LOW)
-        top = np.maximum.accumulate(value, axis=1)
-        fresh = np.concatenate([np.ones((count, 1), dtype=bool), top[:, 1:] > top[:, :-1]], axis=1)
-        top_at = np.maximum.accumulate(np.where(fresh, at, 0), axis=1)
-        skip_ref = np.full((count, cols), LOW)
-        skip_ref[:, 2:] = top[:, :-2] - gop - gep * (at[2:] - 1)
-        skip_ref_at = np.zeros((count, cols), dtype=np.int32)
-        skip_ref_at[:, 2:] = top_at[:, :-2]
+        above, kind = scores[r - 1], step[r]
+        base = flat[row_depth(r, rows, settings.pssm_depth)].take(cells + reads[:, r : r + 1])
+        pick[:, 0], pick[:, 1:] = LOW, above[:, :-1]
+        # The best gap along the reference: a running maximum of score + extension.
+        value = np.where(allowed, above + extend, LOW)
+        np.maximum.accumulate(value, axis=1, out=value)
+        along = value[:, :-2] - (gop + extend[1:-1])
+        np.copyto(kind[:, 2:], SKIP_REF, where=along > pick[:, 2:])
+        np.maximum(pick[:, 2:], along, out=pick[:, 2:])
         # The best gap along the read, per column.
-        skip_read = np.full((count, cols), LOW)
-        skip_read_at = np.zeros((count, cols), dtype=np.int32)
         if r >= 2:
-            value = scores[r - 2] + gep * (r - 2)
-            better = value > best_row
-            best_row = np.where(better, value, best_row)
-            best_row_at = np.where(better, r - 2, best_row_at)
-            skip_read[:, 1:] = best_row[:, :-1] - gop - gep * (r - 1)
-            skip_read_at[:, 1:] = best_row_at[:, :-1]
-        diagonal = np.full((count, cols), LOW)
-        diagonal[:, 1:] = above[:, :-1]
-        begin = -(gop + gep * (r + 1)) if pay_5 else 0
-        options = [(diagonal, DIAGONAL, np.broadcast_to(at - 1, (count, cols))), (skip_ref, SKIP_REF, skip_ref_at), (skip_read, SKIP_READ, skip_read_at)]
+            np.maximum(best_row, scores[r - 2] + gep * (r - 2), out=best_row)
+            along = best_row[:, :-1] - (gop + gep * (r - 1))
+            np.copyto(kind[:, 1:], SKIP_READ, where=along > pick[:, 1:])
+            np.maximum(pick[:, 1:], along, out=pick[:, 1:])
         if hp:
-            options += _homopolymer(r, scores, col_run, read_runs, reads, ref, at, settings)
-        pick, kind, arg = options[0][0], np.zeros((count, cols), dtype=np.int8), options[0][2]
-        for value, name, place in options[1:]:
-            more = value > pick
-            pick, kind, arg = np.where(more, value, pick), np.where(more, name, kind), np.where(more, place, arg)
-        fresh_start = begin > pick
-        total = np.where(fresh_start, begin, base + pick)
-        kind = np.where(fresh_start, BEGIN, kind)
-        first = base[:, 0] - (gop + gep * (r + 1) if pay_5 else 0)
-        total[:, 0], kind[:, 0] = first, BEGIN
-        scores[r] = np.where(open_, np.maximum(total, LOW), LOW)
-        step[r], source[r] = kind, arg
-    return Filled(scores, step, source)
+            for value, name, place in _homopolymer(r, scores, col_run, read_runs, reads, ref, at, settings):
+                more = value > pick
+                np.copyto(kind, name, where=more)
+                np.copyto(source[r], place, where=more, casting="same_kind")
+                np.maximum(pick, value, out=pick)
+        begin = -(gop + gep * (r + 1)) if pay_5 else 0
+        fresh = begin > pick
+        total = np.where(fresh, np.int32(begin), base + pick)
+        np.copyto(kind, BEGIN, where=fresh)
+        total[:, 0], kind[:, 0] = base[:, 0] - (gop + gep * (r + 1) if pay_5 else 0), BEGIN
+        np.maximum(total, LOW, out=total)
+        scores[r] = total if mask is None else np.where(mask, total, LOW)
+    return Filled(scores, step, allowed, gep, source)
 
 
 def _homopolymer(r: int, scores: np.ndarray, col_run: np.ndarray, read_runs: list, reads: np.ndarray, ref: np.ndarray, at: np.ndarray, settings: Settings) -> list:
     """Discounted gaps: over the start of a reference run, and over the start of a read run."""
     count, cols = ref.shape
-    over_ref, over_read = np.full((count, cols), LOW), np.full((count, cols), LOW)
+    over_ref, over_read = np.full((count, cols), LOW, dtype=np.int32), np.full((count, cols), LOW, dtype=np.int32)
     read_at = np.zeros((count, cols), dtype=np.int32)
     gap = at - col_run
     for b in range(count):
@@ -141,7 +140,7 @@ def _homopolymer(r: int, scores: np.ndarray, col_run: np.ndarray, read_runs: lis
             before = np.concatenate([[LOW], scores[start[r] - 1, b, :-1]])
             over_read[b, use] = (before - penalty)[use]
             read_at[b] = start[r] - 1
-    return [(over_ref, SKIP_REF, np.broadcast_to(np.maximum(col_run - 1, 0), (count, cols))), (over_read, SKIP_READ, read_at)]
+    return [(over_ref, RUN_REF, np.broadcast_to(np.maximum(col_run - 1, 0), (count, cols))), (over_read, RUN_READ, read_at)]
 
 
 @dataclass
@@ -154,11 +153,21 @@ class Placed:
 
 
 def trace(filled: Filled, read: int, row: int, col: int) -> Placed:
-    score = int(filled.scores[row, read, col])
+    scores, step, extend = filled.scores[:, read], filled.step[:, read], filled.extend
+    score = int(scores[row, col])
     rows, cols = [row], [col]
-    while row > 0 and filled.step[row, read, col] != BEGIN:
-        kind, arg = filled.step[row, read, col], int(filled.source[row, read, col])
-        row, col = (row - 1, col - 1) if kind == DIAGONAL else (row - 1, arg) if kind == SKIP_REF else (arg, col - 1)
+    while row > 0 and (kind := step[row, col]) != BEGIN:
+        if kind == DIAGONAL:
+            row, col = row - 1, col - 1
+        elif kind == SKIP_REF:
+            # The least column of the greatest score + extension, as the running maximum kept it.
+            value = np.where(filled.allowed[read, : col - 1], scores[row - 1, : col - 1] + extend * np.arange(col - 1), 2 * int(LOW))
+            row, col = row - 1, int(np.argmax(value))
+        elif kind == SKIP_READ:
+            row, col = int(np.argmax(scores[: row - 1, col - 1] + extend * np.arange(row - 1))), col - 1
+        else:
+            arg = int(filled.source[row, read, col])
+            row, col = (row - 1, arg) if kind == RUN_REF else (arg, col - 1)
         rows.append(row)
         cols.append(col)
     return Placed(score, np.asarray(rows[::-1]), np.asarray(cols[::-1]))
