@@ -75,8 +75,20 @@ def drop_table(spark: SparkSession, folder: str, tag: str = "") -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its source gives fewer tasks than there are cores.
+
+    A small table is one row group, hence one task, whatever its rows cost. A table of many
+    files is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table of the corpus, or ``columns`` of it, spread over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df.select(*columns) if columns else df)
 
 
 def words(text: Column) -> Column:

@@ -128,6 +128,20 @@ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM t LEFT JOIN a USING (doc_id)
 """
 
+OP8 = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w0 AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM h WHERE length(x) >= 800),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS k FROM w0),
+d AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM d),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM r),
+k AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM p JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256, length(x) // 2 - coalesce(n_removed, 0) AS kept_bytes,
+  n_removed IS NOT NULL AS has_repeats, coalesce(removed_spans, '') AS removed_spans
+FROM h LEFT JOIN k USING (doc_id)
+"""
+
 OP9 = r"""
 WITH l AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents),
@@ -173,6 +187,7 @@ ORACLES: dict[str, str] = {
     "op3_benchmark_decontamination": OP3,
     "op5_minhash_neardup": OP5,
     "op6_secret_scan": OP6,
+    "op8_run_length_dedup": OP8,
     "op9_line_dedup": OP9,
     "op10_chat_format": OP10,
 }

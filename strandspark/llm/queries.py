@@ -69,9 +69,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = TOKENI
 
 
 def op8_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the operator's result; beside them what is left of each text, and whether anything went."""
-    done = rldedup.remove_repeats(table(spark, sf_dir, "documents"))
+    """Digests of the operator's result; beside them what stays in bytes, and the removed runs as text."""
+    done = rldedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     size = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, r: a + r["end"] - r["start"])
+    runs = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string")))
     return done.select(
         "doc_id",
         "n_bytes",
@@ -80,8 +81,7 @@ def op8_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"),
         F.octet_length("kept").cast("bigint").alias("kept_bytes"),
         (F.size("removed") > 0).alias("has_repeats"),
-        # A cut may fall inside a character; such bytes are shown as replacement characters.
-        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
+        F.array_join(runs, ",").alias("removed_spans"),
     )
 
 
