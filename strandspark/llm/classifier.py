@@ -113,7 +113,8 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on ``labelled`` (``doc_id``, ``stats``, ``label`` 0 or 1, ``part``).
 
     Rows of ``part`` 1 calibrate, the others are fitted. Without rows, or with one class
-    only, the score is constant. Ids serve to choose the rows of the bounded sample only.
+    only, the score is constant. Ids serve to choose the rows of the bounded sample only. The
+    sample is persisted for three passes; blocks of a lost executor are computed again.
     """
     model = Model(settings)
     rows = labelled.filter("label IN (0, 1)")
@@ -181,7 +182,9 @@ def quality_scores(documents: DataFrame, labels: DataFrame, fold: Column, settin
 
     ``fold`` is a number made from the doc_id: rows of fold 0 are held out and their labels
     are not read, fold 1 calibrates, the rest is fitted. Labels that are null, doubled or
-    without a document change nothing else; null texts count as empty and have a score.
+    without a document change nothing else; null texts count as empty and have a score, very
+    long texts are read whole, repeated rows are scored alike, an empty table gives an empty
+    result, and other columns are not carried, so their names cannot clash.
     """
     known = labels.filter("doc_id IS NOT NULL").select(F.col("doc_id"), F.col("quality").alias("label"), fold.alias("part")).filter("part <> 0").dropDuplicates(["doc_id"])
     folder = shared_dir(documents.sparkSession)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,22 +23,22 @@ def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, with the item and the best window."""
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_windows")
+    return decontam.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("n_windows")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    scored = classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold)
+    scored = classifier.quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"), fold)
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, per_cent=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, per_cent=85)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,13 +58,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Where the tokenizer of op7 and the pipeline lies; the file is read on the driver.
-TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-
-
-def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = TOKENIZER) -> DataFrame:
-    model = Path(model_path).read_bytes()
-    return spm.encode_documents(table(spark, sf_dir, "documents"), model)
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), spm.model_of(spark))
 
 
 def op8_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +80,7 @@ def op8_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_counts(table(spark, sf_dir, "documents"))
+    return linededup.line_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

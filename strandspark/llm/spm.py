@@ -19,11 +19,12 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytehash import U, mix
@@ -123,6 +124,16 @@ class Pieces:
         return cls(texts, np.asarray(scores, dtype=np.float64), np.asarray(kinds), **out)
 
 
+#: Setting of a session that names the model file of the tokenizer, and where it lies unless set.
+TOKENIZER_SETTING = "spark.strandspark.tokenizer"
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def model_of(spark: SparkSession) -> bytes:
+    """The model that the session names; a file of fixed size that the driver reads."""
+    return Path(spark.conf.get(TOKENIZER_SETTING, TOKENIZER)).read_bytes()
+
+
 @lru_cache(maxsize=2)
 def load(data: bytes) -> Pieces:
     return Pieces.read(data)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from strandspark.llm import classifier, quality, spm, warc
 from strandspark.llm.common import shared_dir
-from strandspark.llm.queries import QUERIES, TOKENIZER
+from strandspark.llm.queries import QUERIES
+from strandspark.llm.spm import TOKENIZER
 
 SMALL = "/root/testdata/sf0.001"
 PAGES = [
