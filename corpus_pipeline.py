@@ -7,14 +7,11 @@ of documents.
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandspark.llm import decontam, linededup, neardup, quality, spm
 from strandspark.llm.common import cut, shared_dir, table
-from strandspark.llm.queries import TOKENIZER
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +36,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id with its token ids, their number, and whether decoding gives the text back."""
-    return spm.encode_documents(docs, Path(TOKENIZER).read_bytes())
+    return spm.encode_documents(docs, spm.model_of(spark))
 
 
 STAGES = [
