@@ -66,7 +66,7 @@ def parser() -> argparse.ArgumentParser:
 
     c = sub.add_parser("check", help="look for a contaminant in saved assemblies")
     c.add_argument("assemblies", nargs="+")
-    c.add_argument("-r", "--reference", required=True, help="the contaminant, a FASTA file")
+    c.add_argument("-r", "--reference", help="the contaminant, a FASTA file; by default the one that the session's spark.strandspark.contaminant names")
     c.add_argument("-a", "--ancient", action="store_true")
     c.add_argument("-t", "--transversions", action="store_true")
     c.add_argument("-s", "--span")
@@ -174,7 +174,10 @@ def run_report(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
 
 
 def run_check(spark: SparkSession, o: argparse.Namespace) -> list[contamination.Check]:
-    _, _, other = readers.reference(spark, o.reference)
+    path = o.reference or spark.conf.get("spark.strandspark.contaminant", None)
+    if not path:
+        raise ValueError("name a contaminant, or set spark.strandspark.contaminant")
+    _, _, other = readers.reference(spark, path)
     span = None
     if o.span:
         low, high = (int(x) for x in o.span.split("-"))

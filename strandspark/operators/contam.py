@@ -166,9 +166,11 @@ def agreed_bases(alns: DataFrame, contaminant: str, dirt_pos: list[int], sites:
     asked[sites] = True
     lifted = np.asarray([*dirt_pos, len(contaminant)])
 
+    other = kernel.codes(contaminant.upper())
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[str, int, str]] = []
+            groups: dict[tuple[int, int], list[tuple]] = {}
             for name, start, seq, ins in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 here = start + np.flatnonzero(asked[start : start + len(seq)])
                 if not len(here):
@@ -176,17 +178,24 @@ def agreed_bases(alns: DataFrame, contaminant: str, dirt_pos: list[int], sites:
                 inserts = dict(ins or [])
                 read = "".join(inserts.get(start + k, "") + c for k, c in enumerate(seq)).replace("-", "")
                 low, high = int(lifted[start]), int(lifted[min(start + len(seq), len(lifted) - 1)])
-                if not read or high <= low:
-                    continue
-                filled = kernel.fill(kernel.codes(contaminant[low:high].upper()), kernel.codes(read)[None], matrix, settings)
-                _, col = kernel.best_ends(filled)
-                path = kernel.trace(filled, 0, len(read) - 1, int(col[0]))
-                by_dirt = dict(zip((path.cols + low).tolist(), path.rows.tolist(), strict=True))
-                for p in here.tolist():
-                    row = by_dirt.get(int(lifted[p]))
-                    other = "-" if row is None else read[row]
-                    if other == seq[p - start]:
-                        out.append((name, p, other))
+                if read and high > low:
+                    groups.setdefault((len(read), high - low), []).append((name, start, seq, here, read, low))
+            out: list[tuple[str, int, str]] = []
+            for (size, width), all_ in groups.items():
+                # Reads of one length over parts of one width share a call of the kernel.
+                step = max(1, kernel.TRIM_CELLS // (size * width))
+                for k in range(0, len(all_), step):
+                    part = all_[k : k + step]
+                    filled = kernel.fill(np.stack([other[r[5] : r[5] + width] for r in part]), np.stack([kernel.codes(r[4]) for r in part]), matrix, settings)
+                    _, ends = kernel.best_ends(filled)
+                    for b, (name, start, seq, here, read, low) in enumerate(part):
+                        path = kernel.trace(filled, b, size - 1, int(ends[b]))
+                        by_dirt = dict(zip((path.cols + low).tolist(), path.rows.tolist(), strict=True))
+                        for p in here.tolist():
+                            row = by_dirt.get(int(lifted[p]))
+                            letter = "-" if row is None else read[row]
+                            if letter == seq[p - start]:
+                                out.append((name, p, letter))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["id", "pos", "base"])
 
     return alns.select("id", "start", "seq", "ins").mapInArrow(work, _SEEN)
