@@ -57,7 +57,9 @@ def write_monolithic(pages: DataFrame, folder: str, date: str = "2025-01-01T00:0
 
     Null html is an empty payload, a null url becomes a URN of the page, a null page id is an
     empty number and such a record is never a revisit. Pages that share an id and a payload
-    are all responses if theirs is the smallest id, else all revisits.
+    are all responses if theirs is the smallest id, else all revisits. Other columns are not
+    written, so their names cannot clash; no pages give no files. A payload of many megabytes
+    is one record of its stream.
     """
     df = plan_records(pages)
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
