@@ -80,7 +80,7 @@ def placed_items(least: int | None) -> str:
     return f"""WITH RECURSIVE {X.REF_SQL}, {item_index(12)}, {ITEM_READS_SQL}, {seed_columns(12)},
 job AS (SELECT ord, strand, seq AS rd, s, c FROM col JOIN rd USING (ord) JOIN ref2 USING (strand)),
 {recurrence(FLAT_SQL)}, {CHOSEN_SQL}
-SELECT ord, score, rc, start::INTEGER AS start, "end"::INTEGER AS "end", seq, {INS_TEXT_SQL} AS ins FROM seen{some}"""
+SELECT ord, score::INTEGER AS score, rc, start::INTEGER AS start, "end"::INTEGER AS "end", seq, {INS_TEXT_SQL} AS ins FROM seen{some}"""
 
 
 def _matrix_sql() -> str:
@@ -102,7 +102,7 @@ own AS (SELECT item_id * 1000 + i AS ord, CASE WHEN i % 2 = 1 THEN 'r' ELSE 'f'
 near AS (SELECT *, greatest(first - 50, 0) AS lo, CASE WHEN ae + 51 > n THEN n ELSE ae + 50 END AS hi FROM own),
 job AS (SELECT ord, strand, rd, s, unnest(range((CASE WHEN lo + length(rd) > hi THEN 0 ELSE lo END)::BIGINT, (CASE WHEN lo + length(rd) > hi THEN n ELSE hi END)::BIGINT)) AS c FROM near),
 {recurrence(_matrix_sql())}
-SELECT ord, score, strand = 'r' AS rc, st::INTEGER AS start, last::INTEGER AS "end", seq, {INS_TEXT_SQL} AS ins, {_CLASSES_SQL} AS smp FROM best JOIN (SELECT ord, length(rd)::INTEGER AS len FROM own) USING (ord)"""
+SELECT ord, score::INTEGER AS score, strand = 'r' AS rc, st::INTEGER AS start, last::INTEGER AS "end", seq, {INS_TEXT_SQL} AS ins, {_CLASSES_SQL} AS smp FROM best JOIN (SELECT ord, length(rd)::INTEGER AS len FROM own) USING (ord)"""
 
 
 def culled_items() -> str:

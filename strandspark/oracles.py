@@ -145,7 +145,7 @@ ORACLES: dict[str, str] = {
     "s15_options": """SELECT * FROM (VALUES ('', true, NULL::INTEGER, NULL, false, 0, false, false, true, 1, 0, NULL::DOUBLE, NULL::DOUBLE), ('-k 12 -c -u', true, 12, 'score', false, 0, true, false, true, 1, 0, NULL, NULL), ('-U -C 3 -T -a s', true, NULL, 'quality', true, 3, false, false, true, 1, 0, NULL, NULL),
   ('-S 150 -D', true, NULL, NULL, false, 0, false, true, true, 1, 0, 150.0, 0.0), ('-N 40 -p 2 -n', true, NULL, NULL, false, 0, false, false, false, 2, 0, 200.0, 40.0), ('-H 700 -M -A -h', true, NULL, NULL, false, 0, false, false, true, 1, 700, NULL, NULL), ('-H 0', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), ('-k 15', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL))
   t(line, fine, kmer, dedup, collapse, tolerance, circular, distant, iterate, cons_code, hard_cut, slope, intercept)""",
-    "s12_newest_sibling": "SELECT r_regionkey * 3 + 1 AS number, 'state.' || (SELECT max(r_regionkey * 3 + 1) FROM region) AS newest FROM region",
+    "s12_newest_sibling": "SELECT (r_regionkey * 3 + 1)::BIGINT AS number, 'state.' || (SELECT max(r_regionkey * 3 + 1) FROM region) AS newest FROM region",
     "s3_fasta_scan": f"WITH {X.DOCS_SQL} SELECT 'd' || doc_id AS id, 'from text' AS \"desc\", md5(substr(dna, 1, 256)) AS seq_md5, least(length(dna), 256)::INTEGER AS seq_len FROM docs",
     "s4_fastq_scan": f"WITH {X.READS_SQL} SELECT substr(seq, 1, 4) AS head, count(*) AS n, sum(list_sum(list_transform(range(1, len + 1), lambda j: ascii(substr(qual, j, 1)) - 33)))::BIGINT AS qual_sum, sum(len)::BIGINT AS bases FROM reads GROUP BY 1",
     "s5_qual_sum": f"WITH {X.READS_SQL} SELECT doc_id, sum(list_sum(list_transform(range(1, len + 1), lambda j: ascii(substr(qual, j, 1)) - 33)))::BIGINT AS qual_sum FROM reads GROUP BY 1",
@@ -183,7 +183,7 @@ SELECT name, CASE WHEN a1 = b1 THEN a1 WHEN a1 = 'unknown' THEN b1 WHEN b1 = 'un
   CASE WHEN a2 = b2 THEN a2 WHEN a2 = 'unknown' THEN b2 WHEN b2 = 'unknown' THEN a2 WHEN a2 = 'nonsense' OR b2 = 'nonsense' THEN 'nonsense' ELSE 'conflict' END AS klass2, sites FROM j""",
     "j10_lift_over": f"WITH {X.REF_SQL} SELECT pos AS col, coalesce(sum(CASE WHEN pos % 17 = 3 THEN 0 ELSE 1 END) OVER w, 0)::INTEGER AS pos, coalesce(sum(CASE WHEN pos % 23 = 5 THEN 0 ELSE 1 END) OVER w, 0)::INTEGER AS dirt_pos FROM ref WINDOW w AS (ORDER BY ref.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "j11_score_lookup": f"WITH {X.PLACED_SQL}, {X.BASES_SQL} SELECT rc, d::INTEGER AS depth, count(*) AS cov, count(*) FILTER (WHERE c = '-') AS gaps, " + ", ".join(f"sum(CASE WHEN c = '-' THEN 0 ELSE {X.score_sql(k)} END)::BIGINT AS s{c}" for k, c in enumerate("acgt")) + " FROM bases GROUP BY rc, d",
-    "j9_pair_distance": f"WITH {X.REF_SQL}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE pos % 211 = 7) AS d FROM ref) SELECT d AS distance, n AS columns, 0 AS gaps_a, d AS gaps_b FROM n",
+    "j9_pair_distance": f"WITH {X.REF_SQL}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE pos % 211 = 7) AS d FROM ref) SELECT d AS distance, n AS columns, 0::BIGINT AS gaps_a, d AS gaps_b FROM n",
     "j9_pair_items": f"WITH i AS (SELECT item_id, {_D} AS a, lead({_D}) OVER (ORDER BY item_id) AS b FROM benchmark) SELECT item_id, levenshtein(a, b) AS distance, levenshtein(a, b) AS cost, true AS whole FROM i WHERE b IS NOT NULL",
     "i2_iterate": f"WITH {X.REF_SQL} SELECT s AS consensus, true AS recovered FROM refseq",
     "i3_cull": A.culled_items(),
