@@ -104,7 +104,10 @@ def _inflate(blob: memoryview) -> Iterator[bytes]:
 
 
 def read_records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
-    """(raw record, header fields in lower case, block) of a stream of WARC bytes."""
+    """(raw record, header fields in lower case, block) of a stream of WARC bytes.
+
+    Blank lines before a record or at the end of the stream are no part of a record.
+    """
     data = bytearray()
     ended = False
 
@@ -117,6 +120,10 @@ def read_records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, dict[str, str
         return False
 
     while True:
+        # Blank lines before a record are skipped: some writers end a stream, or each record, with too many.
+        while data[:1] in (b"\r", b"\n") or (not data and more()):
+            if data[:1] in (b"\r", b"\n"):
+                del data[:1]
         while (cut := data.find(b"\r\n\r\n")) < 0 and more():
             pass
         if cut < 0:
@@ -150,8 +157,8 @@ def normalise(spark: SparkSession, source: str, target: str, level: int = 6, mos
 
     ``target/archive=NAME/kind=warc`` holds the members and ``kind=cdx`` the index: gzip over
     JSON lines with the offset, length, record id, type and payload digest of each record.
-    Any gzip stream of records will do, of one member or many, whose name ends in ``.gz``. An
-    archive of more than ``most`` bytes goes on in another. Between pieces stands an empty
+    Any gzip stream of records will do, of one member or many, whose name ends in ``.gz``,
+    with any number of blank lines after a record. An archive of more than ``most`` bytes goes on in another. Between pieces stands an empty
     member, which readers of gzip skip.
     """
     blank = CRLF * 2

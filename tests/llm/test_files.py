@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import re
+import tempfile
 import time
 import zlib
 
@@ -70,6 +71,36 @@ def test_archives_of_large_pages(spark):
         assert b"".join(gzip.decompress(bytes(f.content)[o : o + n]) for o, n in spots) == gzip.decompress(bytes(f.content))
 
 
+@pytest.mark.parametrize("last", ["hello\r\n", "\r\n", "\r\n\r\n\r\n", "a\r\n\r\n\r\n", "c\r", "\n", "\r", "", "\r\n\r", "\r\r\n\r\n\n"])
+def test_pages_that_end_in_blank_lines(spark, last):
+    """Such a page as the last record of its file, and in the midst of others."""
+    html = ["x\r\n", last, "\r\n\r\ny", last * 60, last + "z", last]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in enumerate(html)], "page_id bigint, url string, html string").coalesce(1).sortWithinPartitions("page_id")
+    for records in (100, 1):
+        folder = shared_dir(spark)
+        warc.write_monolithic(pages, f"{folder}/raw", records=records)
+        warc.normalise(spark, f"{folder}/raw", f"{folder}/warc")
+        rows = warc.read_pages(spark, f"{folder}/warc").collect()
+        assert {r.page_id: r.payload_digest for r in rows} == {k: hashlib.sha256(h.encode()).hexdigest() for k, h in enumerate(html)}
+        assert all(r.digest_ok for r in rows) and len(rows) == len(html) == warc.read_index(spark, f"{folder}/warc").count()
+
+
+def test_foreign_streams_with_blank_lines(spark):
+    """Streams of other writers: too many blank lines between records and at the end, bare line feeds, no blank at the end."""
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n\r\n"
+    streams = [record, record + b"\r\n" * 3, record + b"\r\n" + record + b"\n", record * 2 + b"\r\n\r\n", record[:-4], b"", b"\r\n\r\n\r\n"]
+    rows = [(f"s{k}", gzip.compress(s)) for k, s in enumerate(streams)]
+    for k, stream in enumerate(streams[:4]):
+        assert [x[2] for x in warc.read_records(iter([bytes([b]) for b in stream]))] == [b"abc\r\n"] * stream.count(b"WARC/"), k
+    folder = tempfile.mkdtemp(prefix="spark-")
+    for name, blob in rows:
+        with open(f"{folder}/{name}.gz", "wb") as f:
+            f.write(blob)
+    target = shared_dir(spark)
+    warc.normalise(spark, f"file://{folder}", f"{target}/warc")
+    assert warc.read_index(spark, f"{target}/warc").count() == sum(s.count(b"WARC/") for s in streams)
+
+
 def test_no_pages(spark):
     folder = shared_dir(spark)
     warc.write_monolithic(spark.createDataFrame([], "page_id bigint, url string, html string"), f"{folder}/raw")
