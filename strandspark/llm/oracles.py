@@ -181,6 +181,66 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM f GROUP BY conv_id
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * len(regexp_extract_all(body, '[A-Z]')) > 5 * length(body),
+          regexp_matches(body, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false)] AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS ord FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT ord, x.i AS step, ord[x.i] AS own, list_slice(ord, 1, x.i - 1) AS earlier FROM o, x),
+r AS (
+  SELECT part, ord, step, own,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails[own]), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND fails[own]), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE gone AND fails[own]), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails[own] AND len(list_filter(fails, lambda y: y)) = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE NOT gone AND fails[own]), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails[own]), 0)::BIGINT AS toxic_lost
+  FROM (SELECT *, len(list_filter(earlier, lambda y: fails[y])) > 0 AS gone FROM c, s) GROUP BY part, ord, step, own)
+SELECT part, array_to_string(list_transform(ord, lambda y: chr(64 + y)), '') AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM r
+"""
+
+#: CRC-32 of the decimal digits of c, a bit at a time: a byte enters at the first of its eight steps.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295)"""
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id AS c FROM t)),
+r AS (
+  SELECT c, k, role, text FROM h JOIN t ON conv_id = c AND k > h
+  UNION ALL SELECT c, k, role, text FROM h JOIN t ON conv_id = c - c % 100 AND k <= h),
+p AS (
+  SELECT c, 0 AS depth, '' AS node, 0 AS chars FROM h
+  UNION ALL
+  SELECT c, row_number() OVER o, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER o), length(text) FROM r WINDOW o AS (PARTITION BY c ORDER BY k)),
+e AS (SELECT *, depth = max(depth) OVER (PARTITION BY c) AS ends, lag(node) OVER (PARTITION BY c ORDER BY depth) AS parent FROM p),
+n AS (
+  SELECT depth, node, min(c) AS conv_id, count(*) AS n_convs, any_value(parent) AS parent, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM e GROUP BY depth, node),
+kids AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (depth, node)),
+up AS (
+  SELECT p.depth, p.node, sum((m.n_children = 0)::INT) AS n_leaves, sum((m.n_convs - 1) * m.chars) AS saved_tokens
+  FROM m JOIN p ON p.c = m.conv_id AND p.depth <= m.depth GROUP BY p.depth, p.node)
+SELECT m.conv_id, m.depth::BIGINT AS depth, b.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN up USING (depth, node) LEFT JOIN n b ON b.depth = m.depth - 1 AND b.node = m.parent
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc_archives": OP1,
     "op2_quality_rules": OP2,
@@ -190,4 +250,6 @@ ORACLES: dict[str, str] = {
     "op8_run_length_dedup": OP8,
     "op9_line_dedup": OP9,
     "op10_chat_format": OP10,
+    "op11_filter_audit": OP11,
+    "op12_prefix_trie": OP12,
 }

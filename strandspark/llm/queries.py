@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontam, linededup, neardup, quality, rldedup, secrets, spm, warc
+from . import chat, classifier, decontam, filteraudit, linededup, neardup, quality, rldedup, secrets, spm, trie, warc
 from .common import drop_table, shared_dir, table
 
 
@@ -99,6 +99,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part: the document's source."""
+    return filteraudit.audit_texts(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels"), F.col("source"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of conversations that open with turns of their block's first one."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return trie.prefix_trie(trie.share_openings(turns), turns.select("conv_id")).drop("digest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": op1_warc_archives,
     "op2_quality_rules": op2_quality_rules,
@@ -110,4 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_run_length_dedup": op8_run_length_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_prefix_trie": op12_prefix_trie,
 }
