@@ -46,12 +46,62 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return have[: n + 1]
 
 
-def prefix_sums(data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(table[data] * powers(len(data))[:-1], out=out[1:])
+def sums_of(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values) + 1, dtype=U)
+    np.cumsum(values * powers(len(values))[:-1], out=out[1:])
     return out
 
 
+def prefix_sums(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return sums_of(table[data])
+
+
+#: Low bits of a sort key that hold the place, the same for all texts, so that ties go to the first place everywhere.
+_POS = 30
+
+
+def anchor_spans(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Spans of a group of sequences of hashed symbols: row, first and last window, anchor's place, anchor hash, span hash.
+
+    A window's anchor is the least hash of the runs of ``gram`` symbols in it, so equal windows
+    have equal anchors at equal places; windows side by side with one anchor are a span.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    n = len(values)
+    if n < window:
+        return none, none, none, none, none.astype(U), none.astype(U)
+    sums = sums_of(values)
+    back = powers(n, True)
+    grams = mix((sums[gram:] - sums[:-gram]) * back[: n - gram + 1])
+    place = np.arange(len(grams), dtype=U)
+    key = (grams >> U(_POS) << U(_POS)) | place
+    need, have = window - gram + 1, 1
+    least = key
+    while have * 2 <= need:
+        least = np.minimum(least[:-have], least[have:])
+        have *= 2
+    if have < need:
+        step = need - have
+        least = np.minimum(least[:-step], least[step:])
+    at = (least & U((1 << _POS) - 1)).astype(np.int64)
+    starts = np.arange(len(at))
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    valid = starts + window <= offsets[row + 1]
+    starts, at, row = starts[valid], at[valid], row[valid]
+    if not len(starts):
+        return none, none, none, none, none.astype(U), none.astype(U)
+    new = np.empty(len(starts), dtype=bool)
+    new[0] = True
+    new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
+    head = np.flatnonzero(new)
+    tail = np.concatenate([head[1:], [len(starts)]]) - 1
+    first, last, anchor, row = starts[head], starts[tail], at[head], row[head]
+    end = last + window
+    whole = mix(mix((sums[end] - sums[first]) * back[first]) + (anchor - first).astype(U) * U(0x9E3779B97F4A7C15) + (end - first).astype(U))
+    base = offsets[row]
+    return row, first - base, last - base, anchor - base, grams[anchor], whole
+
+
 def groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of rows; null rows are empty."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
@@ -68,8 +118,8 @@ def groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a group of texts, lower-cased in A-Z, and the row of each word."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = LOWER_TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a group of texts, lower-cased in A-Z by the default table, and the row of each word."""
     n = len(data)
     if not n:
         return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
@@ -84,7 +134,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-    sums = prefix_sums(data, LOWER_TABLE)
+    sums = prefix_sums(data, table)
     hashes = mix((sums[ends] - sums[starts]) * powers(n, True)[starts] + (ends - starts).astype(U))
     return hashes, np.searchsorted(offsets, starts, side="right") - 1
 

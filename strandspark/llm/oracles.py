@@ -241,6 +241,21 @@ SELECT m.conv_id, m.depth::BIGINT AS depth, b.conv_id AS parent_conv_id, m.n_con
 FROM m JOIN up USING (depth, node) LEFT JOIN n b ON b.depth = m.depth - 1 AND b.node = m.parent
 """
 
+OP13 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35),
+win AS (SELECT doc_id, i, sha256(array_to_string(list_slice(words, i, i + 34), ' ')) AS k FROM s),
+d AS (SELECT doc_id, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM d),
+pos AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+edge AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM gone),
+runs AS (SELECT doc_id, min(p) - 1 AS a, max(p) AS b FROM edge GROUP BY doc_id, run),
+r AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(removed_spans, '') AS removed_spans
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc_archives": OP1,
     "op2_quality_rules": OP2,
@@ -252,4 +267,5 @@ ORACLES: dict[str, str] = {
     "op10_chat_format": OP10,
     "op11_filter_audit": OP11,
     "op12_prefix_trie": OP12,
+    "op13_substring_dedup": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontam, filteraudit, linededup, neardup, quality, rldedup, secrets, spm, trie, warc
+from . import chat, classifier, decontam, filteraudit, linededup, neardup, quality, rldedup, secrets, spm, substrings, trie, warc
 from .common import drop_table, shared_dir, table
 
 
@@ -110,6 +110,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.share_openings(turns), turns.select("conv_id")).drop("digest")
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the operator's result; beside them the removed runs of words as text."""
+    done = substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    size = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, r: a + r["end"] - r["start"])
+    runs = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string")))
+    return done.select("doc_id", "n_words", size.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.array_join(runs, ",").alias("removed_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": op1_warc_archives,
     "op2_quality_rules": op2_quality_rules,
@@ -123,4 +131,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op11_filter_audit": op11_filter_audit,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_substring_dedup": op13_substring_dedup,
 }

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytehash import TABLE, U, groups, mix, powers, prefix_sums
+from .bytehash import TABLE, anchor_spans, groups, mix, powers, prefix_sums
 from .common import cut, shared_dir
 
 WINDOW = 400
@@ -34,8 +34,6 @@ GRAM = 32
 GROUP_STRINGS = 2000
 #: Bytes of whole groups that share an index.
 INDEX_BYTES = 1 << 17
-#: Low bits of a sort key that hold the place, the same for all texts, so that ties go to the first place everywhere.
-_POS = 30
 #: Tasks of the index for each shuffle partition.
 INDEX_TASKS = 4
 #: Bytes of a long text that are taken at once; pieces overlap by a window less a byte.
@@ -45,41 +43,8 @@ _ROWS = 256
 
 
 def window_anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Spans of a group of texts: row, first and last window, anchor's place, anchor hash, span hash."""
-    none = np.zeros(0, dtype=np.int64)
-    n = len(data)
-    if n < window:
-        return none, none, none, none, none.astype(U), none.astype(U)
-    sums = prefix_sums(data, TABLE)
-    back = powers(n, True)
-    grams = mix((sums[gram:] - sums[:-gram]) * back[: n - gram + 1])
-    place = np.arange(len(grams), dtype=U)
-    key = (grams >> U(_POS) << U(_POS)) | place
-    need, have = window - gram + 1, 1
-    least = key
-    while have * 2 <= need:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if have < need:
-        step = need - have
-        least = np.minimum(least[:-step], least[step:])
-    at = (least & U((1 << _POS) - 1)).astype(np.int64)
-    starts = np.arange(len(at))
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    valid = starts + window <= offsets[row + 1]
-    starts, at, row = starts[valid], at[valid], row[valid]
-    if not len(starts):
-        return none, none, none, none, none.astype(U), none.astype(U)
-    new = np.empty(len(starts), dtype=bool)
-    new[0] = True
-    new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
-    head = np.flatnonzero(new)
-    tail = np.concatenate([head[1:], [len(starts)]]) - 1
-    first, last, anchor, row = starts[head], starts[tail], at[head], row[head]
-    end = last + window
-    whole = mix(mix((sums[end] - sums[first]) * back[first]) + (anchor - first).astype(U) * U(0x9E3779B97F4A7C15) + (end - first).astype(U))
-    base = offsets[row]
-    return row, first - base, last - base, anchor - base, grams[anchor], whole
+    """:func:`anchor_spans` of the bytes of a group of texts."""
+    return anchor_spans(TABLE[data], offsets, window, gram)
 
 
 _SPANS = "k1 bigint, k2 bigint, anchor bigint, span bigint, p0 int, p1 int"
