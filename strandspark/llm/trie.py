@@ -187,7 +187,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None) -> Dat
         F.sum(F.when(owned & (F.col("n_ends") == F.col("n_convs")), 1).otherwise(0)).over(here).alias("leaves"),
         F.sum(F.when(owned, (F.col("n_convs") - 1) * F.col("chars")).otherwise(0)).over(here).alias("saved"),
     )
-    path = path.filter("owned OR leaves > 0 OR saved > 0")
+    path = path.filter("owned OR child > 0 OR leaves > 0 OR saved > 0")
     sums = path.groupBy("depth", "digest").agg(
         F.max("owner").alias("conv_id"),
         F.max(F.when(F.col("owned"), F.col("above"))).alias("parent_conv_id"),
