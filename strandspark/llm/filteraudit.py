@@ -137,10 +137,9 @@ def text_flags(documents: DataFrame, part: Column) -> DataFrame:
 
     Null texts are empty. A copy is a row whose text a smaller ``doc_id`` has somewhere in the
     table; rows that share the smallest id are no copies of each other, and a null id is
-    neither smaller nor larger. Texts are known by two hashes of 64 bits, so a text that very
-    many rows share meets as partial minima, and its rows lie on the side of the join that
-    adaptive execution splits. Very long texts are handled whole; other columns are not
-    carried, so their names cannot clash.
+    neither smaller nor larger. Texts are known by two hashes of 64 bits; one that very many
+    rows share meets as partial minima. Very long texts are handled whole; other columns are
+    not carried, so their names cannot clash.
     """
     body = F.coalesce("text", F.lit(""))
     counts = let(words(body), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct")))
@@ -158,9 +157,10 @@ def text_flags(documents: DataFrame, part: Column) -> DataFrame:
     rows = rows.select("doc_id", "part", (n < LEAST_WORDS).alias("A"), (100 * distinct < DISTINCT_PER_CENT * n).alias("B"), "C", "D", "h1", "h2")
     # The flags are read twice; a row is some fifty bytes.
     rows = cut(rows, shared_dir(documents.sparkSession), "flags")
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
-    copies = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E")
-    return rows.join(first, ["h1", "h2"], "left").select("doc_id", "part", "A", "B", "C", "D", copies)
+    # Rows meet the first of their text by its id and not by the text alone, so copies do not gather.
+    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "h1", "h2", F.lit(True).alias("first"))
+    copies = (F.col("first").isNull() & F.col("doc_id").isNotNull()).alias("E")
+    return rows.join(first, ["doc_id", "h1", "h2"], "left").select("doc_id", "part", "A", "B", "C", "D", copies)
 
 
 def with_labels(flags: DataFrame, labels: DataFrame) -> DataFrame:
