@@ -169,9 +169,12 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None) -> Dat
     its chain has one order; its rows may be any number and its texts any length. Other
     columns are not carried, so their names cannot clash.
     """
-    found = cut(prefixes(turns, conversations), shared_dir(turns.sparkSession), "prefixes")
+    folder = shared_dir(turns.sparkSession)
+    found = cut(prefixes(turns, conversations), folder, "prefixes")
     nodes = found.groupBy("depth", "digest").agg(F.min("conv_id").alias("owner"), F.count("*").alias("n_convs"), F.count(F.when(F.col("ends"), 1)).alias("n_ends"))
-    # A node that very many conversations share has as many rows here, on the side that adaptive execution splits.
+    # A node that very many conversations share has as many rows here. Both sides are read from tables and dealt anew, so
+    # adaptive execution can split it.
+    nodes = cut(nodes, folder, "nodes")
     on = found.join(nodes, ["depth", "digest"])
     owned = F.col("conv_id") == F.col("owner")
     up = Window.partitionBy("conv_id").orderBy(F.col("depth").desc())
