@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,6 +13,7 @@ from ..config import Settings
 from ..functions import scoring
 from ..functions import seq as S
 from ..operators import align, cutoff, dedup, pileup, seeds
+from ..operators.steps import folder, tasks, written
 
 
 @dataclass
@@ -41,16 +39,6 @@ def reference_rows(spark: SparkSession, seq: str) -> DataFrame:
     return one.select(F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "ref_base"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder that all executors share; one process that is driver and executor may use a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="strandspark-")
-    return f"{base.rstrip('/')}/assembly-{uuid.uuid4().hex}"
-
-
 def clear_steps(spark: SparkSession) -> int:
     """Delete all ``assembly-*`` folders of the shared folder; their number. Assemblies read them lazily."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,21 +53,13 @@ def clear_steps(spark: SparkSession) -> int:
     return len(found)
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    """A written table ends the lineage of a round and survives lost executors."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def seeded_reads(spark: SparkSession, reads: DataFrame, reference: str, settings: Settings) -> DataFrame:
     """Reads with a seed, and the columns that their seeds open."""
     wrapped = reference + reference[: settings.max_read] if settings.circular else reference
     index = seeds.reference_index(spark, wrapped, settings.kmer, settings.soft_mask, settings.kmer_positions)
     open_ = seeds.windows(seeds.hits(reads, index, settings.kmer), len(wrapped), settings.mask_buffer, settings.kmer_saturate)
     per = open_.groupBy("ord").agg(*[F.first(F.when(F.col("strand") == s, F.col(c)), ignorenulls=True).alias(f"{c}_{s}") for s in ("f", "r") for c in ("spans", "whole")])
-    # Alignment costs far more a byte than a join does, so its tasks are not merged by size.
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return reads.join(per, "ord").withColumn("seeded", F.lit(True)).repartition(parts, "ord")
+    return reads.join(per, "ord").withColumn("seeded", F.lit(True)).repartition(tasks(spark), "ord")
 
 
 def _cull(placed: DataFrame, reference: str, settings: Settings) -> DataFrame:
@@ -121,18 +101,18 @@ def assemble(spark: SparkSession, reads: DataFrame, reference: str, name: str =
     """
     forward = scoring.flat(settings) if matrix is None else matrix
     backward = scoring.reverse(forward)
-    folder = _folder(spark)
+    path = folder(spark)
     scores = scoring.table(spark, forward, backward)
     source = seeded_reads(spark, reads, reference, settings) if settings.kmer is not None else reads
-    placed = _written(align.first_pass(source, reference, forward, settings), f"{folder}/first")
+    placed = written(align.first_pass(source, reference, forward, settings), f"{path}/first")
     culled = _cull(placed, reference, settings)
     current, last, rounds = reference.upper(), None, 0
     while True:
         again = _next_reads(culled, settings)
         if rounds == 0 and not settings.distant:
             again = again.filter("score > 0")
-        placed = _written(align.realign(again, current, forward, backward, settings), f"{folder}/round-{rounds}")
-        culled = _written(_cull(placed, current, settings), f"{folder}/culled-{rounds}")
+        placed = written(align.realign(again, current, forward, backward, settings), f"{path}/round-{rounds}")
+        culled = written(_cull(placed, current, settings), f"{path}/culled-{rounds}")
         alns = culled.filter("unique_best")
         called = pileup.assembly_string(alns, scores, reference_rows(spark, current), settings.cons_code, settings)
         rounds += 1

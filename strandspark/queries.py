@@ -13,7 +13,7 @@ from . import fixtures as X
 from .config import ADAPTERS, Settings
 from .functions import scoring
 from .functions import seq as S
-from .operators import align, contam, cutoff, dedup, diff, kernel, pileup, seeds
+from .operators import align, contam, cutoff, dedup, diff, kernel, pileup, seeds, steps
 from .plans import assemble, contamination, report
 from .sources import readers, writers
 
@@ -34,7 +34,7 @@ def _scores(spark: SparkSession) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    return assemble._folder(spark)
+    return steps.folder(spark)
 
 
 # Sources and sinks ---------------------------------------------------------------------

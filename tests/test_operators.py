@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandspark.config import Settings
 from strandspark.functions import scoring
 from strandspark.functions import seq as S
-from strandspark.operators import contam, cutoff, dedup, pileup, seeds
+from strandspark.operators import contam, cutoff, dedup, leaders, pileup, seeds
 from strandspark.plans import assemble
 from strandspark.sources import readers, writers
 
@@ -100,6 +100,44 @@ def test_leader_clusters_equal_a_fold(spark):
         assert got == want
 
 
+def test_ranges_of_a_leader_scan_compose():
+    """Ranges scanned for every leader that may come in, put together, equal one scan."""
+    import random
+
+    rng = random.Random(9)
+    for trial in range(300):
+        tolerance, outer, places = rng.choice([0, 1, 2, 5]), rng.random() < 0.5, rng.choice([3, 20, 60])
+        rows = [(rng.random() < 0.4, s, s + rng.randrange(20, 20 + rng.choice([1, 4, 12])), rng.random() < 0.3, k) for k in range(rng.randrange(1, 80)) for s in [rng.randrange(places)]]
+        rows.sort(key=lambda r: (not r[0], -r[2] if r[0] else r[1], r[1] if r[0] else -r[2], r[4]))
+        borders = sorted(rng.sample(range(len(rows) + 1), min(len(rows) + 1, rng.randrange(6))))
+        leader = None
+        for part in (rows[a:b] for a, b in zip([0, *borders], [*borders, len(rows)], strict=True)):
+            got = leaders.outcomes(iter(part), tolerance, outer)
+            want = leader
+            for row in part:
+                want, _ = leaders.advance(want, row, tolerance, outer)
+            leader = leaders.compose(leader, *got, tolerance) if got else leader
+            assert leader == want
+
+
+def test_leader_scan_deals_evenly(spark, tmp_path):
+    """Dense 5' ends leave no gap to part them; no task gets more than its share, and the flags equal one fold."""
+    n = 12000
+    df = spark.range(n).selectExpr("id AS ord", "id % 3 = 0 AS rc", "cast(pmod(xxhash64(id), 400) AS int) AS `as`", "cast(pmod(xxhash64(id), 400) + 30 + pmod(xxhash64(id, 1), 9) AS int) AS ae", "cast(id % 50 AS int) AS score", "0 AS qual_sum", "id % 5 = 0 AS trimmed", "'x' AS other")
+    # A third of all rows lie at one place.
+    df = df.selectExpr("ord", "rc", "IF(ord % 3 = 1, 7, `as`) AS `as`", "IF(ord % 3 = 1, 40, ae) AS ae", "score", "qual_sum", "trimmed", "other")
+    done = dedup.flag_unique(df, tolerance=2, outer_only=False, path=str(tmp_path / "ranges"))
+    assert done.columns == [*df.columns, "unique_best", "cluster"]
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "ranges")).groupBy("__range").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    rows = sorted(df.collect(), key=lambda r: (not r.rc, -r.ae if r.rc else r["as"], r["as"] if r.rc else -r.ae, -r.score, r.ord))
+    leader, want = None, {}
+    for r in rows:
+        leader, unique = leaders.advance(leader, (r.rc, r["as"], r.ae, r.trimmed, r.ord), 2, False)
+        want[r.ord] = (unique, leader[3])
+    assert {r.ord: (r.unique_best, r.cluster) for r in done.collect()} == want
+
+
 def test_cutoff_line_and_no_spread(spark):
     df = spark.createDataFrame([(10 * k, 2000 + 200 * k, True) for k in range(1, 9)], "len int, score int, unique_best boolean")
     line = cutoff.fitted_line(df).first()
