@@ -15,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sums
+from .common import let, running_sums
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 ANGLE = r"<(?=/?s>|\|)"
 SQUARE = r"\[(?=/?INST\])"
+#: Code points of the runs out of which spans are read.
+_RUN = 512
 
 
 def escape(text: Column) -> Column:
@@ -78,8 +80,27 @@ def format_chats(turns: DataFrame, train_role: str = "assistant") -> DataFrame:
     return df.select("conv_id", "formatted", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss_spans"))
 
 
+def spans_of(text: Column, spans: Column) -> Column:
+    """The parts of a text at an array of spans (``start``, ``end`` exclusive, in code points).
+
+    A substring is found by walking from the start of its text, so the text is cut into runs
+    of equal length once, and each part is taken out of the few runs that it touches.
+    """
+
+    def part(runs: Column, s: Column) -> Column:
+        first, last = F.floor(s["start"] / _RUN), F.floor((s["end"] - 1) / _RUN)
+        near = F.array_join(F.slice(runs, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return F.when(s["end"] <= s["start"], F.lit("")).otherwise(F.substring(near, (s["start"] - first * _RUN + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+    runs = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_RUN}}}"), F.lit(0))
+    return let(F.struct(runs.alias("runs"), spans.alias("spans")), lambda x: F.transform(x["spans"], lambda s: part(x["runs"], s)))
+
+
 def parse_chats(formatted: DataFrame) -> DataFrame:
-    """Read ``turns`` (role, text) and ``loss_text`` back out of the output of :func:`format_chats`."""
+    """Read ``turns`` (role, text) and ``loss_text`` back out of the output of :func:`format_chats`.
+
+    The cost grows with the length of a conversation and the number of its turns.
+    """
     blocks = F.filter(F.split("formatted", r"<\|im_start\|>", -1), lambda b: b != "")
 
     def read(b: Column) -> Column:
@@ -87,5 +108,5 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
         body = F.substring(b, F.length(role) + 2, F.length(b) - F.length(role) - 1 - len(END))
         return F.transform(F.split(body, r"<\|im_sep\|>", -1), lambda x: F.struct(unescape(role).alias("role"), unescape(x).alias("text")))
 
-    under = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    under = F.transform(spans_of(F.col("formatted"), F.col("loss_spans")), unescape)
     return formatted.withColumns({"turns": F.flatten(F.transform(blocks, read)), "loss_text": F.array_join(under, "")})

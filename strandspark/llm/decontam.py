@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash over item-sized windows, in Spark expressions only.
 
-A window that resembles an item holds shingles of it. So the shingles of all texts meet the
-vocabulary of all items first, which tells for each text and item where the item's shingles
-stand; only windows that begin at such a hit and have enough hits ahead are made. Each gets
+A window that resembles an item holds most of its shingles, hence one at least of its rarest.
+So the shingles of all texts meet those of the items first, which tells which items a text may
+hold; for these the vocabulary tells where in the text the item's shingles stand, and only
+windows that begin at such a hit and have enough hits ahead are made. Each gets
 a 64-bit SimHash of its shingles. Fingerprints are cut into one block more than the radius:
 two fingerprints within the radius agree on a whole block, so an equi-join on (item, block,
 value) finds all of them. Exact weighted similarity decides.
@@ -72,15 +73,19 @@ def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
-    """Sum of least counts over sum of greatest counts of the distinct shingles of two arrays."""
-    count = lambda x, v: F.size(F.filter(x, lambda y: y == v)).cast("bigint")
+    """Sum of least counts over sum of greatest counts of the distinct shingles of two arrays.
+
+    If shingles repeat, each is told apart by how many like it stand before it, and the two
+    arrays are compared as sets.
+    """
+
+    def apart(x: Column) -> Column:
+        return let(F.sort_array(x), lambda s: F.transform(s, lambda v, i: F.xxhash64(v, i + 1 - F.array_position(s, v))))
 
     def of(s: Column) -> Column:
         x, y = s["a"], s["b"]
         plain = (F.size(F.array_distinct(x)) == F.size(x)) & (F.size(F.array_distinct(y)) == F.size(y))
-        common = F.array_intersect(x, y)
-        least = F.aggregate(common, F.lit(0).cast("bigint"), lambda t, v: t + F.least(count(x, v), count(y, v)))
-        shared = F.when(plain, F.size(common).cast("bigint")).otherwise(least)
+        shared = F.when(plain, F.size(F.array_intersect(x, y))).otherwise(F.size(F.array_intersect(apart(x), apart(y)))).cast("bigint")
         return let(shared, lambda k: k / (F.size(x) + F.size(y) - k))
 
     return let(F.struct(a.alias("a"), b.alias("b")), of)
@@ -92,16 +97,36 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return whole.withColumn("some", F.explode_outer(F.array(F.col("size") > 0))).filter("some").drop("some")
 
 
-def _candidates(documents: DataFrame, vocabulary: DataFrame, per_cent: int) -> DataFrame:
+def _probes(items: DataFrame, per_cent: int) -> DataFrame:
+    """(``item_id``, ``hash``): for each item the shingles of which a window that reaches ``per_cent`` holds one at least.
+
+    Such a window holds ``per_cent`` of the item's shingles, counted as often as they occur, so
+    it cannot miss more than the rest. The rarest are taken, by the number of items that have
+    them; a phrase that many items share is then no reason to look at all of them.
+    """
+    known = items.select("item_id", "size", "item", F.xxhash64("item").alias("key")).distinct()
+    each = known.select("item_id", "key", "size", F.explode("item").alias("hash"))
+    shared = each.groupBy("hash").agg(F.countDistinct("item_id").alias("items"))
+    ranked = each.join(shared, "hash").groupBy("item_id", "key", "size").agg(F.sort_array(F.collect_list(F.struct("items", "hash"))).alias("ranked"))
+    spare = (F.col("size") - F.ceil(F.lit(per_cent) * F.col("size") / 100) + 1).cast("int")
+    return ranked.select("item_id", F.explode(F.slice("ranked", F.lit(1), spare)).alias("x")).select("item_id", "x.hash").distinct()
+
+
+def _candidates(documents: DataFrame, vocabulary: DataFrame, probes: DataFrame, per_cent: int, folder: str) -> DataFrame:
     """(``doc_id``, ``text_hash``, ``items``): for each text the items that it may hold, and where windows begin.
 
-    A window of as many shingles as the item (fewer at the end of a text) can reach
-    ``per_cent`` only if enough of its shingles are of the item.
+    A text meets the items of which it holds a probe. A window of as many shingles as the item
+    (fewer at the end of a text) can reach ``per_cent`` only if enough of its shingles are of
+    the item.
     """
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), shingles(F.coalesce("text", F.lit(""))).alias("h"))
-    rows = rows.select("doc_id", "text_hash", F.size("h").alias("n"), "h")
-    each = rows.select("doc_id", "text_hash", "n", F.posexplode("h").alias("at", "hash"))
-    met = each.join(vocabulary, "hash").groupBy("doc_id", "text_hash", "item_id", "size", "n").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    probed = rows.select("doc_id", "text_hash", F.explode("h").alias("hash")).join(probes, "hash")
+    opened = cut(probed.groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("open")), folder, "opened")
+    few = documents.withColumn("text_hash", F.xxhash64("text")).join(opened, ["doc_id", "text_hash"])
+    rows = few.select("doc_id", "text_hash", "open", shingles(F.coalesce("text", F.lit(""))).alias("h")).select("doc_id", "text_hash", "open", F.size("h").alias("n"), "h")
+    each = rows.select("doc_id", "text_hash", "open", "n", F.posexplode("h").alias("at", "hash"))
+    met = each.join(vocabulary, "hash").filter(F.array_contains("open", F.col("item_id")))
+    met = met.groupBy("doc_id", "text_hash", "item_id", "size", "n").agg(F.sort_array(F.collect_set("at")).alias("at"))
     size = F.col("size")
 
     def begins(p: Column, i: Column) -> Column:
@@ -130,7 +155,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, per_cent: int = PER
     vocabulary = items.select("item_id", "size", F.explode("item").alias("hash")).distinct()
     known = documents.filter("doc_id IS NOT NULL").select("doc_id", "text")
     # Few texts hold enough of an item; their number decides how the texts are joined.
-    chosen = cut(_candidates(known, fixed(vocabulary), per_cent), shared_dir(documents.sparkSession), "candidates")
+    folder = shared_dir(documents.sparkSession)
+    chosen = cut(_candidates(known, fixed(vocabulary), fixed(_probes(items, per_cent)), per_cent, folder), folder, "candidates")
     rows = known.withColumn("text_hash", F.xxhash64("text")).join(chosen, ["doc_id", "text_hash"])
     rows = rows.select("doc_id", "items", shingles(F.coalesce("text", F.lit(""))).alias("h"))
 
