@@ -21,6 +21,14 @@ DIAGONAL, SKIP_REF, SKIP_READ, BEGIN, RUN_REF, RUN_READ = range(6)
 _CODES = np.full(256, 4, dtype=np.int8)
 for _k, _b in enumerate(b"ACGT"):
     _CODES[_b] = _k
+_EITHER_CASE = _CODES.copy()
+for _k, _b in enumerate(b"acgt"):
+    _EITHER_CASE[_b] = _k
+
+
+def letter_codes(letters: np.ndarray) -> np.ndarray:
+    """Codes of letters in either case; 4 for all but A, C, G, T."""
+    return _EITHER_CASE[letters]
 
 
 def codes(seq: str) -> np.ndarray:

@@ -100,6 +100,31 @@ def test_leader_clusters_equal_a_fold(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("k", [1, 3, 8, 11])
+def test_seed_table_equals_the_join(spark, monkeypatch, k):
+    """The same hits by direct addresses, in pieces, and by the join; letters of either case, unknown ones, nulls and short reads."""
+    import random
+
+    rng = random.Random(k)
+    text = lambda n, of="ACGT": "".join(rng.choice(of) for _ in range(n))
+    ref = text(300) + "ACGT" * 20
+    parts = [ref[a : a + 40] for a in range(0, 340, 17)] + [text(60, "ACGTacgtN-") for _ in range(20)] + ["", "A", "acgtACGTnacgtacgtacgt", "N" * 30, None]
+    reads = spark.createDataFrame([(i, p, i % 3 == 0, 12, "x") for i, p in enumerate(parts)], "ord bigint, seq string, trimmed boolean, trim_point int, note string")
+    index = seeds.reference_index(spark, ref, k, most=5)
+    for source in (reads, reads.drop("trimmed", "trim_point")):
+        monkeypatch.setattr(seeds, "TABLE_ROWS", 0)
+        want, kept = sorted(tuple(r) for r in seeds.hits(source, index, k).collect()), sorted(r.ord for r in seeds.seeded(source, index, k).collect())
+        monkeypatch.setattr(seeds, "TABLE_ROWS", 10**6)
+        assert seeds.seed_table(index, k) is not None and seeds.seed_table(index, 15) is None
+        for letters, some in ((1 << 20, 1 << 18), (50, 3)):
+            monkeypatch.setattr(seeds, "_LETTERS", letters)
+            monkeypatch.setattr(seeds, "_HITS", some)
+            assert sorted(tuple(r) for r in seeds.hits(source, index, k).collect()) == want
+            got = seeds.seeded(source, index, k)
+            assert sorted(r.ord for r in got.collect()) == kept and got.schema == source.schema
+    assert len(want) > 20 and seeds.hits(reads, index.limit(0), k).count() == 0 == seeds.seeded(reads.limit(0), index, k).count()
+
+
 def test_ranges_of_a_leader_scan_compose():
     """Ranges scanned for every leader that may come in, put together, equal one scan."""
     import random
