@@ -258,11 +258,16 @@ def _marked(strings: DataFrame, window: int, parts: int, key: str) -> DataFrame:
 def repeated_windows(keyed: DataFrame, folder: str, window: int = WINDOW, gram: int = GRAM, group_strings: int = GROUP_STRINGS, piece: int = PIECE_WORDS) -> DataFrame:
     """(``k1``, ``k2``, ``p0``, ``p1``): ranges of first words of repeated windows, by content key of the text."""
     spans = cut(_spans(keyed, window, gram, piece), folder, "spans")
-    again = spans.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    # Counts are written, so that both sides of the joins are dealt anew and a crowded anchor can be split.
+    again = cut(spans.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), folder, "again")
     spans = cut(spans.join(again, "anchor", "left_semi").select(*spans.columns), folder, "repeated")
     # The string of an anchor and its weight, and one place where it stands.
-    kinds = spans.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p0", "p1")).alias("one")).select("anchor", "span", "n", "one.*")
-    crowd = kinds.groupBy("anchor").agg(F.count("*").alias("strings")).filter(F.col("strings") > group_strings).select("anchor", F.lit(True).alias("crowded"))
+    place = F.shiftleft(F.col("p0").cast("bigint"), 32).bitwiseOR(F.col("p1").cast("bigint"))
+    kinds = spans.select("anchor", "span", "k1", "k2", place.alias("place")).groupBy("anchor", "span")
+    kinds = kinds.agg(F.count("*").alias("n"), F.min("k1").alias("k1"), F.min_by("k2", "k1").alias("k2"), F.min_by("place", "k1").alias("place"))
+    kinds = cut(kinds, folder, "kinds")
+    kinds = kinds.withColumns({"p0": F.shiftright("place", 32).cast("int"), "p1": F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")})
+    crowd = cut(kinds.groupBy("anchor").agg(F.count("*").alias("strings")).filter(F.col("strings") > group_strings).select("anchor", F.lit(True).alias("crowded")), folder, "crowd")
     at = kinds.join(crowd, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     lists = at.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "span", "n", "crowded", "p0", "p1")).alias("spans"))
     # Copies of a text have one key; the least id of them brings the words.
@@ -275,7 +280,7 @@ def repeated_windows(keyed: DataFrame, folder: str, window: int = WINDOW, gram:
     # Windows of crowded anchors: those that occur again by hash are strings of a window each.
     crowded = strings.filter("crowded").dropDuplicates(["anchor", "span"])
     each = _each_window(crowded, window)
-    twice = each.groupBy("anchor", "hash").agg(F.sum("n").alias("n"), F.min(F.struct("span", "p")).alias("one")).filter("n > 1").select("anchor", "hash", "n", "one.*")
+    twice = each.groupBy("anchor", "hash").agg(F.sum("n").alias("n"), F.min("span").alias("span"), F.min_by("p", "span").alias("p")).filter("n > 1")
     chosen = twice.groupBy("anchor", "span").agg(F.collect_list(F.struct("hash", "n", "p")).alias("chosen"))
     alone = _cut_windows(crowded.join(chosen, ["anchor", "span"]), window)
     sure = _marked(alone, window, parts, "span").select("anchor", F.col("span").alias("hash"))
