@@ -6,11 +6,13 @@ into spans, one for each anchor occurrence, and each window belongs to one span.
 are one string with a weight. The strings of one anchor meet in a task, unless there is just
 one and it occurs once, and there an index is built over them.
 
-The index is the Burrows-Wheeler transform of the strings, kept as runs with the suffix
-array sampled at both ends of each run. Longest matches with the lexicographic neighbours
-are taken at run ends only; along the text a match that is not at a run end is one byte
-shorter than the one before, so matching statistics stream from the samples. A window is
-repeated when its statistic reaches WINDOW, or when its string has a weight above one.
+The index is built from the Burrows-Wheeler transform of the strings: where its runs begin and
+end, the suffix array is sampled, with the longest matches with the lexicographic neighbours.
+Along the text a match that is not at a run end is one byte shorter than the one before, so
+matching statistics stream from the samples, and nothing else of the transform is kept. The
+sort that finds the runs holds a block's suffixes in full. A string with a weight above one
+also stands elsewhere, so its own rest is a match at each of its places. A window is repeated
+when its statistic reaches WINDOW.
 
 An anchor with more than GROUP_STRINGS strings would make an index that outgrows a task. Its
 windows are hashed and counted instead, which is exact as well and can be dealt anyhow.
@@ -76,13 +78,13 @@ def _spans(keyed: DataFrame, window: int, gram: int, most: int) -> DataFrame:
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of several strings, with samples at run ends.
+    """Samples of several strings' suffix array at the run ends of their Burrows-Wheeler transform.
 
-    The suffixes of a block are sorted to find the runs; only the runs are kept.
+    The suffixes of a block are sorted to find the runs; only the samples are kept.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        """``data`` are bytes of strings one after the other, ``offsets`` their bounds."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, weights: list[int] | None = None) -> None:
+        """``data`` are bytes of strings one after the other, ``offsets`` their bounds, ``weights`` how often they occur."""
         count = len(offsets) - 1
         sizes = np.diff(offsets)
         # Each string gets a closing sign of its own, greater than any byte.
@@ -99,16 +101,16 @@ class RunLengthIndex:
         change = np.empty(len(order) + 1, dtype=bool)
         change[0] = change[-1] = True
         change[1:-1] = before[1:] != before[:-1]
-        #: Rank at which each run begins, its symbol, and the suffixes at both its ends.
-        self.run_start = np.flatnonzero(change[:-1])
-        self.run_symbol = before[self.run_start]
-        run_end = np.flatnonzero(change[1:])
-        self.head, self.tail = order[self.run_start], order[run_end]
-        above = order[np.maximum(self.run_start - 1, 0)]
+        #: The suffixes at both ends of each run.
+        run_start, run_end = np.flatnonzero(change[:-1]), np.flatnonzero(change[1:])
+        self.head, self.tail = order[run_start], order[run_end]
+        above = order[np.maximum(run_start - 1, 0)]
         below = order[np.minimum(run_end + 1, len(order) - 1)]
-        self.head_match = np.where(self.run_start > 0, self._common(self.head, above), 0)
+        self.head_match = np.where(run_start > 0, self._common(self.head, above), 0)
         self.tail_match = np.where(run_end + 1 < len(order), self._common(self.tail, below), 0)
-        del self.levels
+        self.size = len(text)
+        self.often = np.asarray(weights or [1] * count) > 1
+        del self.levels, self.text
 
     def _sort(self) -> np.ndarray:
         """The suffix array by prefix doubling; ranks of each power of two are kept for matches."""
@@ -153,14 +155,15 @@ class RunLengthIndex:
 
     def matching_statistics(self) -> np.ndarray:
         """For each position of the text the longest match that begins anywhere else."""
-        where = np.arange(len(self.text))
-        best = np.zeros(len(self.text), dtype=np.int64)
+        where = np.arange(self.size)
+        best = np.zeros(self.size, dtype=np.int64)
         for at, match in ((self.head, self.head_match), (self.tail, self.tail_match)):
-            value = np.full(len(self.text), -1, dtype=np.int64)
+            value = np.full(self.size, -1, dtype=np.int64)
             value[at] = match
             last = np.maximum.accumulate(np.where(value >= 0, where, 0))
             best = np.maximum(best, np.where(value[last] >= 0, value[last] - (where - last), 0))
-        return best
+        rest = np.repeat(self.ends, self.sizes + 1) - where
+        return np.where(np.repeat(self.often, self.sizes + 1), np.maximum(best, rest), best)
 
     def repeated(self, window: int) -> list[np.ndarray]:
         """Per string the places at which a window begins that also begins elsewhere."""
@@ -191,8 +194,7 @@ def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])
-        places = [np.arange(len(r[3]) - window + 1) if r[2] > 1 else p for r, p in zip(rows, RunLengthIndex(data, offsets).repeated(window), strict=True)]
-        return _found([r[0] for r in rows], [r[1] for r in rows], places)
+        return _found([r[0] for r in rows], [r[1] for r in rows], RunLengthIndex(data, offsets, [r[2] for r in rows]).repeated(window))
 
     # Rows that repeat id and text bring their strings once each.
     group, seen = [], set()

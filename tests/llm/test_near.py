@@ -180,6 +180,29 @@ def test_leaks_of_very_long_texts_and_items(spark):
     assert {(i, k) for i, k in got if k < 10} == {(1, 1), (1, 2), (4, 2)} and {i for i, k in got if k >= 10} == {1, 3}
 
 
+def test_leaks_behind_a_shared_stem(spark):
+    """Items and texts that share one phrase do not all meet; items that are nothing else, or repeat it, still do."""
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    stem = "which of the following is"
+    items = [(k, f"{stem} {words(14)}") for k in range(60)] + [(100, stem), (101, f"{stem} " * 6), (102, f"{stem} {words(2)}")]
+    texts = [(k, f"{words(10)} {stem} {words(10)}") for k in range(40)]
+    texts += [(200 + k, f"{words(9)} {items[k][1]} {words(5)}") for k in range(0, 60, 7)] + [(300, f"{stem} " * 9), (301, f"{words(20)} {items[62][1]}"), (302, stem)]
+    docs_, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(docs_, bench).collect()}
+    assert got == pytest.approx(brute_leaks(texts, items))
+    assert {(200 + k, k) for k in range(0, 60, 7)} <= set(got) and (300, 101) in got and (5, 100) in got
+
+
+def test_repeated_shingles_compare_as_counts(spark):
+    rng = random.Random(12)
+    rows = [([rng.randrange(4) for _ in range(rng.randrange(1, 12))], [rng.randrange(4) for _ in range(rng.randrange(1, 12))]) for _ in range(80)]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
+    for r in df.select("a", "b", decontam.weighted_similarity(F.col("a"), F.col("b")).alias("s")).collect():
+        a, b = collections.Counter(r.a), collections.Counter(r.b)
+        assert r.s == pytest.approx(sum((a & b).values()) / sum((a | b).values()))
+
+
 def test_simhash_and_blocks(spark):
     rng = np.random.default_rng(2)
     values = rng.integers(-(2**63), 2**63 - 1, 40).tolist() + [5, 5, 5]
@@ -269,11 +292,12 @@ def test_index_statistics_equal_brute_force():
     rng = random.Random(5)
     for _ in range(20):
         parts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 40))) for _ in range(5)]
-        index = rldedup.RunLengthIndex(np.frombuffer(b"".join(parts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
+        weights = [rng.choice([1, 1, 2, 7]) for _ in parts]
+        index = rldedup.RunLengthIndex(np.frombuffer(b"".join(parts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), weights)
         got = index.matching_statistics()
         at = [(k, i) for k, p in enumerate(parts) for i in range(len(p))]
         for k, i in at:
-            best = 0
+            best = len(parts[k]) - i if weights[k] > 1 else 0
             for k2, i2 in at:
                 if (k, i) != (k2, i2):
                     n = 0
