@@ -26,24 +26,36 @@ for _k, _b in enumerate(b"acgt"):
     _EITHER_CASE[_b] = _k
 
 
-def letter_codes(letters: np.ndarray) -> np.ndarray:
-    """Codes of letters in either case; 4 for all but A, C, G, T."""
-    return _EITHER_CASE[letters]
+def letter_codes(letters: np.ndarray, either_case: bool = True) -> np.ndarray:
+    """Codes of letters, 4 for all but A, C, G, T."""
+    return (_EITHER_CASE if either_case else _CODES)[letters]
 
 
 def codes(seq: str) -> np.ndarray:
     return _CODES[np.frombuffer(seq.encode("latin-1", "replace"), dtype=np.uint8)]
 
 
+def letters_of(seqs: list[str]) -> np.ndarray:
+    """The letters of sequences of one length, a row each."""
+    return np.stack([np.frombuffer(x.encode("latin-1", "replace"), dtype=np.uint8) for x in seqs])
+
+
+def runs_of(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the homopolymer run around each letter of each row."""
+    count, size = letters.shape
+    if not size:
+        return np.zeros((count, 0), dtype=int), np.zeros((count, 0), dtype=int)
+    new = np.ones((count, size), dtype=bool)
+    new[:, 1:] = letters[:, 1:] != letters[:, :-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(size), 0), axis=1)
+    number = start + np.arange(count)[:, None] * size
+    return start, np.bincount(number.reshape(-1), minlength=count * size)[number]
+
+
 def runs(seq: str) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of the homopolymer run around each base."""
-    x = np.frombuffer(seq.encode("latin-1", "replace"), dtype=np.uint8)
-    if not len(x):
-        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
-    new = np.concatenate([[True], x[1:] != x[:-1]])
-    start = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-    number = np.cumsum(new) - 1
-    return start, np.bincount(number)[number]
+    start, size = runs_of(letters_of([seq]))
+    return start[0], size[0]
 
 
 def row_depth(row: int, length: int, depth: int = 15) -> int:
@@ -68,11 +80,11 @@ class Filled:
     source: np.ndarray | None = None
 
 
-def fill(ref: np.ndarray, reads: np.ndarray, matrix: np.ndarray, settings: Settings = Settings(), mask: np.ndarray | None = None, pay_5: bool = True, ref_seq: str | None = None, read_seqs: list[str] | None = None) -> Filled:
+def fill(ref: np.ndarray, reads: np.ndarray, matrix: np.ndarray, settings: Settings = Settings(), mask: np.ndarray | None = None, pay_5: bool = True, ref_seq: str | np.ndarray | None = None, read_seqs: list[str] | None = None) -> Filled:
     """Align reads (B x L codes) to a reference (C codes, or B x C).
 
-    ``mask`` (B x C) tells which columns may be used. With ``ref_seq`` and ``read_seqs``
-    gaps within homopolymers have their discount.
+    ``mask`` (B x C) tells which columns may be used. With ``ref_seq`` (the letters of one
+    reference, or B x C of them) and ``read_seqs`` gaps within homopolymers have their discount.
     """
     count, rows = reads.shape
     ref = np.ascontiguousarray(np.broadcast_to(ref, (count, ref.shape[-1])), dtype=np.int32)
@@ -91,8 +103,8 @@ def fill(ref: np.ndarray, reads: np.ndarray, matrix: np.ndarray, settings: Setti
     hp = ref_seq is not None and read_seqs is not None
     source = np.zeros((rows, count, cols), dtype=np.int32) if hp else None
     if hp:
-        col_run, _ = runs(ref_seq)
-        read_runs = [runs(s) for s in read_seqs]
+        col_run = np.broadcast_to(runs_of(letters_of([ref_seq]) if isinstance(ref_seq, str) else ref_seq)[0], (count, cols))
+        read_runs = runs_of(letters_of(read_seqs))
     allowed = np.zeros((count, cols), dtype=bool)
     allowed[:, : max(cols - 2, 0)] = True if mask is None else mask[:, 2:]
     allowed[:, 0] = True
@@ -129,26 +141,25 @@ def fill(ref: np.ndarray, reads: np.ndarray, matrix: np.ndarray, settings: Setti
     return Filled(scores, step, allowed, gep, source)
 
 
-def _homopolymer(r: int, scores: np.ndarray, col_run: np.ndarray, read_runs: list, reads: np.ndarray, ref: np.ndarray, at: np.ndarray, settings: Settings) -> list:
-    """Discounted gaps: over the start of a reference run, and over the start of a read run."""
-    count, cols = ref.shape
-    over_ref, over_read = np.full((count, cols), LOW, dtype=np.int32), np.full((count, cols), LOW, dtype=np.int32)
-    read_at = np.zeros((count, cols), dtype=np.int32)
-    gap = at - col_run
-    for b in range(count):
-        start, length = read_runs[b]
-        share = HOMOPOLYMER_SHARES[min(int(length[r]), len(HOMOPOLYMER_SHARES)) - 1]
-        penalty = settings.gap_extend * gap + int(settings.gap_open * share)
-        same = ref[b] == reads[b, r]
-        if start[r] == r:
-            use = same & (col_run != at) & (col_run > 0)
-            over_ref[b, use] = (scores[r - 1, b, np.maximum(col_run - 1, 0)] - penalty)[use]
-        elif start[r] > 0:
-            use = same & (col_run == at) & (at > 0)
-            before = np.concatenate([[LOW], scores[start[r] - 1, b, :-1]])
-            over_read[b, use] = (before - penalty)[use]
-            read_at[b] = start[r] - 1
-    return [(over_ref, RUN_REF, np.broadcast_to(np.maximum(col_run - 1, 0), (count, cols))), (over_read, RUN_READ, read_at)]
+def _homopolymer(r: int, scores: np.ndarray, col_run: np.ndarray, read_runs: tuple[np.ndarray, np.ndarray], reads: np.ndarray, ref: np.ndarray, at: np.ndarray, settings: Settings) -> list:
+    """Discounted gaps: over the start of a reference run, and over the start of a read run.
+
+    Where a gap comes from is a column of its own for each cell, or a row for each read, so
+    the scores there are gathered by index.
+    """
+    start, length = read_runs[0][:, r], read_runs[1][:, r]
+    shares = np.asarray([int(settings.gap_open * s) for s in HOMOPOLYMER_SHARES])
+    penalty = settings.gap_extend * (at - col_run) + shares[np.minimum(length, len(shares)) - 1][:, None]
+    same = ref == reads[:, r : r + 1]
+    back = np.maximum(col_run - 1, 0)
+    use = same & (start == r)[:, None] & (col_run != at) & (col_run > 0)
+    over_ref = np.where(use, np.take_along_axis(scores[r - 1], back, axis=1) - penalty, LOW)
+    row = np.where((start > 0) & (start != r), start - 1, 0)
+    before = np.full(ref.shape, LOW, dtype=np.int64)
+    before[:, 1:] = scores[row, np.arange(len(row)), :-1]
+    use = same & ((start > 0) & (start != r))[:, None] & (col_run == at) & (at > 0)
+    over_read = np.where(use, before - penalty, LOW)
+    return [(over_ref.astype(np.int32), RUN_REF, back), (over_read.astype(np.int32), RUN_READ, np.broadcast_to(row[:, None], ref.shape))]
 
 
 @dataclass
