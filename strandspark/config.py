@@ -48,6 +48,7 @@ class Settings:
     distant: bool = False
     homopolymer: bool = False
     iterate: bool = True
+    delta: bool = True  # later rounds align only reads that may move
     cons_code: int = 1
     dedup: str | None = None  # None, "score" or "quality"
     adapter_aware: bool = False

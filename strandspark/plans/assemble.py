@@ -18,7 +18,7 @@ from ..operators.steps import folder, tasks, written
 
 @dataclass
 class Assembly:
-    """A finished or intermediate assembly."""
+    """A finished or intermediate assembly; ``aligned`` counts the reads that each round aligned anew."""
 
     name: str
     reference: str
@@ -27,6 +27,7 @@ class Assembly:
     backward: np.ndarray
     consensus: str = ""
     rounds: int = 0
+    aligned: list[int] = field(default_factory=list)
     settings: Settings = field(default_factory=Settings)
 
     def scores(self) -> DataFrame:
@@ -84,7 +85,7 @@ def _cull(placed: DataFrame, reference: str, settings: Settings) -> DataFrame:
 def _next_reads(culled: DataFrame, settings: Settings) -> DataFrame:
     """One row for each read of the next round, redundant ones merged if asked for."""
     reads = culled.filter("segment <> 'b'").withColumn("id", S.plain_name(F.col("id")))
-    reads = reads.select("ord", "id", "desc", F.col("read").alias("seq"), "qual", "qual_sum", "num_inputs", "score", "rc", "trimmed", "strand_known", "as", "ae", "unique_best", "cluster", "cut")
+    reads = reads.select("ord", "id", "desc", F.col("read").alias("seq"), "qual", "qual_sum", "num_inputs", "score", "rc", "trimmed", "strand_known", "as", "ae", "settled", "unique_best", "cluster", "cut")
     if settings.collapse:
         reads = dedup.collapse(reads, settings)
     return reads.withColumnRenamed("seq", "read")
@@ -96,8 +97,9 @@ def assemble(spark: SparkSession, reads: DataFrame, reference: str, name: str =
     The first pass places reads by the forward matrices and seeds. Then each round places the
     oriented reads on the last consensus with the matrices of their strand, flags redundant
     reads, drops low ones and calls the consensus anew, until it is the one before or
-    ``max_rounds`` are done. ``each`` is called with every round's state. Only the consensus
-    comes to the driver.
+    ``max_rounds`` are done. A read that stayed in its place, and around which the consensus
+    stayed the same, is not aligned again, unless reads are merged (``collapse``). ``each`` is
+    called with every round's state. Only the consensus comes to the driver.
     """
     forward = scoring.flat(settings) if matrix is None else matrix
     backward = scoring.reverse(forward)
@@ -106,19 +108,27 @@ def assemble(spark: SparkSession, reads: DataFrame, reference: str, name: str =
     source = seeded_reads(spark, reads, reference, settings) if settings.kmer is not None else reads
     placed = written(align.first_pass(source, reference, forward, settings), f"{path}/first")
     culled = _cull(placed, reference, settings)
-    current, last, rounds = reference.upper(), None, 0
+    current, last, rounds, aligned = reference.upper(), None, 0, []
     while True:
         again = _next_reads(culled, settings)
         if rounds == 0 and not settings.distant:
             again = again.filter("score > 0")
-        placed = written(align.realign(again, current, forward, backward, settings), f"{path}/round-{rounds}")
+        stay = None
+        if last is not None and settings.delta and not settings.collapse:
+            again = align.with_redo(again, before, current, settings)
+            stay = placed.join(again.filter("NOT redo").select("ord"), "ord", "left_semi").select(*placed.columns)
+            again = again.filter("redo")
+        again = written(again, f"{path}/again-{rounds}")
+        aligned = [*aligned, again.count()]
+        fresh = align.realign(again, current, forward, backward, settings)
+        placed = written(fresh if stay is None else fresh.unionByName(stay), f"{path}/round-{rounds}")
         culled = written(_cull(placed, current, settings), f"{path}/culled-{rounds}")
         alns = culled.filter("unique_best")
         called = pileup.assembly_string(alns, scores, reference_rows(spark, current), settings.cons_code, settings)
         rounds += 1
-        done = Assembly(name, current, alns, forward, backward, called, rounds, settings)
+        done = Assembly(name, current, alns, forward, backward, called, rounds, aligned, settings)
         if each is not None:
             each(done)
         if not settings.iterate or not called or called == last or called == current or rounds > settings.max_rounds:
             return done
-        last, current = called, called
+        before, last, current = current, called, called

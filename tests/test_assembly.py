@@ -51,6 +51,35 @@ def test_iteration_recovers_the_truth(spark, case):
     assert report.details(called, differing_only=False).count() == len(done.reference)
 
 
+@pytest.mark.parametrize("circular,distant,gaps", [(True, False, True), (False, False, False), (True, True, False)])
+def test_rounds_that_align_what_may_move_equal_full_rounds(spark, circular, distant, gaps):
+    """Same states in every round; fewer reads are aligned from round to round. Changes, gaps and insertions move the consensus."""
+    rng = random.Random(21)
+    truth = "".join(rng.choice("ACGT") for _ in range(1500))
+    ref = list(truth)
+    for p in rng.sample(range(100, 500), 12):
+        ref[p] = {"A": "C", "C": "A", "G": "T", "T": "G"}[ref[p]]
+    if gaps:
+        ref[1200:1202] = ref[300:302] = []
+        ref[700:724] = []
+    reads = []
+    for k, s in enumerate(range(0, 1440 if not circular else 1500, 4)):
+        piece = (truth + truth)[s : s + rng.choice([40, 60])]
+        piece = "".join(c if rng.random() < 0.97 else rng.choice("ACGTN") for c in piece)
+        reads.append((k, f"r{k}", "", flip(piece) if k % 2 else piece, None, None))
+    df = spark.createDataFrame(reads, READS)
+    states = {}
+    for delta in (True, False):
+        settings = Settings(circular=circular, distant=distant, dedup="score", tolerance=1, hard_cut=1000, delta=delta)
+        seen = []
+        done = assemble.assemble(spark, df, "".join(ref), settings=settings, each=lambda a: seen.append((a.consensus, sorted(map(str, a.alns.collect())))))
+        states[delta] = (done, seen)
+    (fast, one), (full, two) = states[True], states[False]
+    assert one == two and fast.rounds == full.rounds >= 2, (fast.aligned, full.aligned)
+    assert full.aligned == [full.aligned[0]] * full.rounds and fast.aligned[0] == full.aligned[0]
+    assert sorted(fast.aligned, reverse=True) == fast.aligned and fast.aligned[-1] < (1 if gaps else 0.6) * fast.aligned[0], fast.aligned
+
+
 def test_collapse_merges_inputs(spark, case):
     truth, ref, _ = case
     rows = [(k, f"c{k}", "", truth[20:90], "I" * 70, 2800 - k) for k in range(4)] + [(10, "other", "", truth[120:190], "I" * 70, 2800)]
