@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash over item-sized windows, in Spark expressions only.
 
 A window that resembles an item holds most of its shingles, hence one at least of its rarest.
-So the shingles of all texts meet those of the items first, which tells which items a text may
-hold; for these the vocabulary tells where in the text the item's shingles stand, and only
-windows that begin at such a hit and have enough hits ahead are made. Each gets
+So the shingles of all texts meet those of all items first; the rare ones among the hits tell
+which items a text may hold, the others where in the text the shingles of these items stand,
+and only windows that begin at such a hit and have enough hits ahead are made. Each gets
 a 64-bit SimHash of its shingles. Fingerprints are cut into one block more than the radius:
 two fingerprints within the radius agree on a whole block, so an equi-join on (item, block,
 value) finds all of them. Exact weighted similarity decides.
@@ -15,6 +15,8 @@ items that its hits are of loses nothing either, since others have no shingle in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,20 +114,21 @@ def _probes(items: DataFrame, per_cent: int) -> DataFrame:
     return ranked.select("item_id", F.explode(F.slice("ranked", F.lit(1), spare)).alias("x")).select("item_id", "x.hash").distinct()
 
 
-def _candidates(documents: DataFrame, vocabulary: DataFrame, probes: DataFrame, per_cent: int, folder: str) -> DataFrame:
+def _candidates(documents: DataFrame, vocabulary: DataFrame, probes: DataFrame, fixed: Callable[[DataFrame], DataFrame], per_cent: int, folder: str) -> DataFrame:
     """(``doc_id``, ``text_hash``, ``items``): for each text the items that it may hold, and where windows begin.
 
-    A text meets the items of which it holds a probe. A window of as many shingles as the item
+    ``fixed`` marks tables of the items. A text meets the items of which it holds a probe. A window of as many shingles as the item
     (fewer at the end of a text) can reach ``per_cent`` only if enough of its shingles are of
     the item.
     """
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), shingles(F.coalesce("text", F.lit(""))).alias("h"))
-    probed = rows.select("doc_id", "text_hash", F.explode("h").alias("hash")).join(probes, "hash")
-    opened = cut(probed.groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("open")), folder, "opened")
-    few = documents.withColumn("text_hash", F.xxhash64("text")).join(opened, ["doc_id", "text_hash"])
-    rows = few.select("doc_id", "text_hash", "open", shingles(F.coalesce("text", F.lit(""))).alias("h")).select("doc_id", "text_hash", "open", F.size("h").alias("n"), "h")
-    each = rows.select("doc_id", "text_hash", "open", "n", F.posexplode("h").alias("at", "hash"))
-    met = each.join(vocabulary, "hash").filter(F.array_contains("open", F.col("item_id")))
+    rows = rows.select("doc_id", "text_hash", F.size("h").alias("n"), "h")
+    each = rows.select("doc_id", "text_hash", "n", F.posexplode("h").alias("at", "hash"))
+    # A place of a text is one row here, of however many items its shingle is.
+    marks = vocabulary.select("hash").distinct().join(probes.select("hash", F.lit(True).alias("probe")).distinct(), "hash", "left")
+    hits = cut(each.join(fixed(marks), "hash"), folder, "hits")
+    opened = hits.filter("probe").join(fixed(probes), "hash").groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("open"))
+    met = hits.join(opened, ["doc_id", "text_hash"]).join(fixed(vocabulary), "hash").filter(F.array_contains("open", F.col("item_id")))
     met = met.groupBy("doc_id", "text_hash", "item_id", "size", "n").agg(F.sort_array(F.collect_set("at")).alias("at"))
     size = F.col("size")
 
@@ -156,7 +159,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, per_cent: int = PER
     known = documents.filter("doc_id IS NOT NULL").select("doc_id", "text")
     # Few texts hold enough of an item; their number decides how the texts are joined.
     folder = shared_dir(documents.sparkSession)
-    chosen = cut(_candidates(known, fixed(vocabulary), fixed(_probes(items, per_cent)), per_cent, folder), folder, "candidates")
+    chosen = cut(_candidates(known, vocabulary, _probes(items, per_cent), fixed, per_cent, folder), folder, "candidates")
     rows = known.withColumn("text_hash", F.xxhash64("text")).join(chosen, ["doc_id", "text_hash"])
     rows = rows.select("doc_id", "items", shingles(F.coalesce("text", F.lit(""))).alias("h"))
 
