@@ -8,6 +8,7 @@ read is carried by column. Each cell brings its start, its letters and its inser
 from __future__ import annotations
 
 from . import fixtures as X
+from .functions.seq import HOMOPOLYMER_SHARES
 
 GAP_OPEN, GAP_EXTEND = 1000, 200
 FLAT_SQL = "CASE WHEN {read} NOT IN ('A', 'C', 'G', 'T') THEN -100 WHEN {ref} = {read} THEN 200 ELSE -600 END"
@@ -30,29 +31,48 @@ col AS (SELECT DISTINCT ord, strand, unnest(range(lo, hi + 1)) AS c FROM span JO
   UNION SELECT ord, strand, unnest(range(0, n)) FROM per JOIN ref2 USING (strand) WHERE whole)"""
 
 
-def recurrence(score: str) -> str:
+def _share(length: str) -> str:
+    """Cost of opening a gap within a run of so many letters."""
+    costs = ", ".join(str(int(GAP_OPEN * x)) for x in HOMOPOLYMER_SHARES)
+    return f"([{costs}])[least({length}, {len(HOMOPOLYMER_SHARES)})]"
+
+
+def recurrence(score: str, discount: bool = False) -> str:
     """``best`` (ord, strand, score, last, st, seq, ins) from ``job`` (ord, strand, rd, s, c): reads, references, open columns.
 
-    ``score`` is SQL for a cell of ``read`` and ``ref`` letters at row ``r`` of ``len``.
+    ``score`` is SQL for a cell of ``read`` and ``ref`` letters at row ``r`` of ``len``. With
+    ``discount`` gaps within homopolymers cost less: over the start of a run of the reference,
+    from the column before it, and over the start of a run of the read, from the row before
+    it, which ``run`` brings along.
     """
+    way = "STRUCT(st INTEGER, seq VARCHAR, ins STRUCT(p INTEGER, x VARCHAR)[])"
+    cs = "(c + 1 - length(regexp_extract(substr(s, greatest(c - 63, 0) + 1, least(c + 1, 64)), '(A+|C+|G+|T+|N+)$')))::INTEGER AS cs" if discount else "0 AS cs"
+    run = "CASE WHEN substr(rd, r + 2, 1) <> substr(rd, r + 1, 1) THEN {v: now, i: r + 1, w: way} ELSE run END AS run" if discount else f"NULL::STRUCT(v BIGINT, i INTEGER, w {way}) AS run"
+    length = lambda start: f"length(regexp_extract(substr(rd, {start} + 1), '^(A+|C+|G+|T+|N+)'))"
+    back = "coalesce(CASE WHEN letter = ref AND substr(rd, r, 1) <> letter AND cs <> c AND cs > 0 THEN back_from.v - " + f"{GAP_EXTEND} * (c - cs) - {_share(length('r'))} END, -1000000000)" if discount else "-1000000000"
+    fore = f"coalesce(CASE WHEN letter = ref AND substr(rd, r, 1) = letter AND cs = c THEN run_from.v - {_share(length('run_from.i'))} END, -1000000000)" if discount else "-1000000000"
+    back_from = "max({v: was, w: was_way}) OVER (PARTITION BY ord, strand ORDER BY c RANGE BETWEEN (c - cs + 1) PRECEDING AND (c - cs + 1) PRECEDING)" if discount else f"NULL::STRUCT(v BIGINT, w {way})"
     gap, begin = f"- {GAP_OPEN} - {GAP_EXTEND} *", f"(-({GAP_OPEN} + {GAP_EXTEND} * (r + 1)))"
-    return f"""grid AS (SELECT ord, strand, rd, length(rd)::INTEGER AS len, c::INTEGER AS c, substr(s, c + 1, 1) AS ref, c = min(c) OVER p AS edge,
+    return f"""grid AS (SELECT ord, strand, rd, length(rd)::INTEGER AS len, c::INTEGER AS c, substr(s, c + 1, 1) AS ref, {cs}, c = min(c) OVER p AS edge,
     coalesce(max(c) OVER (PARTITION BY ord, strand ORDER BY c RANGE BETWEEN 2 FOLLOWING AND 2 FOLLOWING), -1) >= 0 OR c = min(c) OVER p AS allowed FROM job WINDOW p AS (PARTITION BY ord, strand)),
 cell AS (
-  SELECT ord, strand, rd, len, c, ref, edge, allowed, 0 AS r, ({score.format(ref='ref', read='substr(rd, 1, 1)', r='0')})::BIGINT AS now, NULL::BIGINT AS past, {{st: c, seq: substr(rd, 1, 1), ins: []::STRUCT(p INTEGER, x VARCHAR)[]}} AS way,
-    NULL::STRUCT(st INTEGER, seq VARCHAR, ins STRUCT(p INTEGER, x VARCHAR)[]) AS past_way, NULL::STRUCT(v BIGINT, i INTEGER, w STRUCT(st INTEGER, seq VARCHAR, ins STRUCT(p INTEGER, x VARCHAR)[])) AS held FROM grid
+  SELECT ord, strand, rd, len, c, ref, cs, edge, allowed, 0 AS r, ({score.format(ref='ref', read='substr(rd, 1, 1)', r='0')})::BIGINT AS now, NULL::BIGINT AS past, {{st: c, seq: substr(rd, 1, 1), ins: []::STRUCT(p INTEGER, x VARCHAR)[]}} AS way,
+    NULL::STRUCT(st INTEGER, seq VARCHAR, ins STRUCT(p INTEGER, x VARCHAR)[]) AS past_way, NULL::STRUCT(v BIGINT, i INTEGER, w STRUCT(st INTEGER, seq VARCHAR, ins STRUCT(p INTEGER, x VARCHAR)[])) AS held,
+    NULL::STRUCT(v BIGINT, i INTEGER, w {way}) AS run FROM grid
   UNION ALL
-  SELECT ord, strand, rd, len, c, ref, edge, allowed, r, CASE WHEN edge THEN base + {begin} WHEN {begin} > pick THEN {begin} ELSE base + pick END AS now, was, 
+  SELECT ord, strand, rd, len, c, ref, cs, edge, allowed, r, CASE WHEN edge THEN base + {begin} WHEN {begin} > pick THEN {begin} ELSE base + pick END AS now, was, 
     CASE WHEN edge OR {begin} > pick THEN {{st: c, seq: letter, ins: []}} WHEN pick = diag THEN {{st: diag_way.st, seq: diag_way.seq || letter, ins: diag_way.ins}}
       WHEN pick = over THEN {{st: over_from.w.st, seq: over_from.w.seq || repeat('-', c - 1 - over_from.k) || letter, ins: over_from.w.ins}}
-      ELSE {{st: read_from.w.st, seq: read_from.w.seq || letter, ins: list_append(read_from.w.ins, {{p: c, x: substr(rd, read_from.i + 2, r - 1 - read_from.i)}})}} END,
-    was_way, held
-  FROM (SELECT *, greatest(diag, over, along) AS pick FROM (
-    SELECT *, coalesce(diag0, -1000000000) AS diag, coalesce(over_from.v {gap} (c - 1), -1000000000) AS over, coalesce(read_from.v {gap} (r - 1), -1000000000) AS along FROM (
-      SELECT ord, strand, rd, len, c, ref, edge, allowed, r, was, was_way, held, substr(rd, r + 1, 1) AS letter, ({score.format(ref='ref', read='substr(rd, r + 1, 1)', r='r')})::BIGINT AS base,
-        max(was) OVER one AS diag0, max(was_way) OVER one AS diag_way, max(held) OVER one AS read_from,
+      WHEN pick = along THEN {{st: read_from.w.st, seq: read_from.w.seq || letter, ins: list_append(read_from.w.ins, {{p: c, x: substr(rd, read_from.i + 2, r - 1 - read_from.i)}})}}
+      WHEN pick = back THEN {{st: back_from.w.st, seq: back_from.w.seq || repeat('-', c - cs) || letter, ins: back_from.w.ins}}
+      ELSE {{st: run_from.w.st, seq: run_from.w.seq || letter, ins: list_append(run_from.w.ins, {{p: c, x: substr(rd, run_from.i + 1, r - run_from.i)}})}} END,
+    was_way, held, run
+  FROM (SELECT *, greatest(diag, over, along, back, fore) AS pick FROM (
+    SELECT *, {back} AS back, {fore} AS fore, coalesce(diag0, -1000000000) AS diag, coalesce(over_from.v {gap} (c - 1), -1000000000) AS over, coalesce(read_from.v {gap} (r - 1), -1000000000) AS along FROM (
+      SELECT ord, strand, rd, len, c, ref, cs, edge, allowed, r, was, was_way, held, run, substr(rd, r + 1, 1) AS letter, ({score.format(ref='ref', read='substr(rd, r + 1, 1)', r='r')})::BIGINT AS base,
+        max(was) OVER one AS diag0, max(was_way) OVER one AS diag_way, max(held) OVER one AS read_from, max(run) OVER one AS run_from, {back_from} AS back_from,
         max(CASE WHEN allowed THEN {{v: was + {GAP_EXTEND} * c, k1: -c, k: c, w: was_way}} END) OVER (PARTITION BY ord, strand ORDER BY c RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS over_from
-      FROM (SELECT ord, strand, rd, len, c, ref, edge, allowed, r + 1 AS r, now AS was, way AS was_way,
+      FROM (SELECT ord, strand, rd, len, c, ref, cs, edge, allowed, r + 1 AS r, now AS was, way AS was_way, {run},
           CASE WHEN r + 1 >= 2 AND (held IS NULL OR past + {GAP_EXTEND} * (r - 1) > held.v) THEN {{v: past + {GAP_EXTEND} * (r - 1), i: r - 1, w: past_way}} ELSE held END AS held FROM cell WHERE r + 1 < len)
       WINDOW one AS (PARTITION BY ord, strand ORDER BY c RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING))))),
 best AS (SELECT ord, strand, now AS score, c AS last, way.st AS st, way.seq AS seq, way.ins AS ins FROM cell WHERE r = len - 1 QUALIFY row_number() OVER (PARTITION BY ord, strand ORDER BY now DESC, c) = 1)"""
@@ -74,12 +94,13 @@ seen AS (SELECT ord, score, rc, CASE WHEN rc THEN n - last - 1 ELSE st END AS st
 INS_TEXT_SQL = "array_to_string(list_transform(ins, lambda x: x.p || ':' || x.x), ',')"
 
 
-def placed_items(least: int | None) -> str:
-    """Reads of all items on the whole reference where 12-letter seeds open it."""
+def placed_items(least: int | None, discount: bool = False) -> str:
+    """Reads of all items on the whole reference where 12-letter seeds open it; with ``discount`` a run of each read lacks a letter and one has a letter more."""
+    reads = ITEM_READS_SQL.replace("rd AS (SELECT", "rd0 AS (SELECT") + ", rd AS (SELECT ord, regexp_replace(regexp_replace(seq, 'AA', 'A'), 'CC', 'CCC') AS seq FROM rd0)" if discount else ITEM_READS_SQL
     some = "" if least is None else f" WHERE score >= {least}"
-    return f"""WITH RECURSIVE {X.REF_SQL}, {item_index(12)}, {ITEM_READS_SQL}, {seed_columns(12)},
+    return f"""WITH RECURSIVE {X.REF_SQL}, {item_index(12)}, {reads}, {seed_columns(12)},
 job AS (SELECT ord, strand, seq AS rd, s, c FROM col JOIN rd USING (ord) JOIN ref2 USING (strand)),
-{recurrence(FLAT_SQL)}, {CHOSEN_SQL}
+{recurrence(FLAT_SQL, discount)}, {CHOSEN_SQL}
 SELECT ord, score::INTEGER AS score, rc, start::INTEGER AS start, "end"::INTEGER AS "end", seq, {INS_TEXT_SQL} AS ins FROM seen{some}"""
 
 

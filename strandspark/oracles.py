@@ -172,6 +172,7 @@ g AS (SELECT ord, strand, lo, hi, count(*) AS n FROM h GROUP BY ALL)
 SELECT ord, strand, count(*)::INTEGER AS spans, sum(hi - lo + 1)::INTEGER AS width, sum(n) >= 128 AS whole FROM g GROUP BY ALL""",
     "w8_kmer_cap": f"WITH {_index(4)}, {_CAPPED.format('pos')} SELECT strand, {_CODE.format('kmer', k=4)} AS code, count(*) AS n, max(pos) AS last_pos FROM capped WHERE rn <= 128 GROUP BY ALL",
     "j3_align_items": A.placed_items(None),
+    "x9_homopolymer_align": A.placed_items(None, True),
     "j4_strand_choice": f"SELECT rc, ord % 2 = 1 AS reversed, count(*) AS n, sum(score)::BIGINT AS score FROM ({A.placed_items(None)}) GROUP BY ALL",
     "j5_realign": A.realigned_items(),
     "j6_interval_coverage": f"WITH {X.PLACED_SQL}, ch AS (SELECT rc, start AS pos, 1 AS d FROM placed UNION ALL SELECT rc, \"end\" + 1, -1 FROM placed) SELECT rc, pos::INTEGER AS pos, (sum(sum(d)) OVER (PARTITION BY rc ORDER BY pos))::BIGINT AS depth FROM ch GROUP BY rc, pos",

@@ -776,6 +776,16 @@ def j3i(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("ord", "score", "rc", "start", "end", "seq", _insertions().alias("ins"))
 
 
+@query("x9_homopolymer_align")
+def x9a(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a run of each read one letter short and one a letter long, under the discount for gaps within runs."""
+    ref, settings = X.reference(spark, sf), Settings(kmer=12, distant=True, homopolymer=True)
+    seq = F.regexp_replace(F.regexp_replace("seq", "^([ACGT]*?)AA", "$1A"), "^([ACGT]*?)CC", "$1CCC")
+    reads = X.item_reads(spark, sf).withColumn("seq", seq).withColumn("len", F.length("seq"))
+    placed = align.first_pass(assemble.seeded_reads(spark, reads, ref, settings), ref, scoring.flat(), settings)
+    return placed.select("ord", "score", "rc", "start", "end", "seq", _insertions().alias("ins"))
+
+
 @query("j9_pair_items")
 def j9i(spark: SparkSession, sf: str) -> DataFrame:
     """Each whole item against the next: distance, and what the two gapped rows say about it."""
