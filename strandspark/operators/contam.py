@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import seq as S
 from . import kernel
+from . import ordered
 from .pileup import bases
 
 LABELS = {"unknown": "unclassified", "clean": "clean", "dirt": "polluting", "conflict": "conflicting", "nonsense": "nonsensical"}
@@ -21,12 +22,11 @@ WEAK, EFFECTIVE, STRONG = 1, 2, 3
 def aligned_columns(pair: DataFrame) -> DataFrame:
     """(``col``, ``assembly``, ``contaminant``, ``pos``, ``dirt_pos``) of rows (``col``, ``assembly``, ``contaminant``).
 
-    Positions count the letters before a column in either sequence. The table has the length
-    of a reference, so one ordered window serves.
+    Positions count the letters before a column in either sequence.
     """
-    w = Window.orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
-    run = lambda c: F.coalesce(F.sum(F.when(F.col(c) != "-", F.lit(1)).otherwise(F.lit(0))).over(w), F.lit(0)).cast("int")
-    return pair.select("col", "assembly", "contaminant", run("assembly").alias("pos"), run("contaminant").alias("dirt_pos"))
+    letter = lambda c: F.when(F.col(c) != "-", F.lit(1)).otherwise(F.lit(0))
+    out = ordered.running_sums(pair, "col", {"pos": letter("assembly"), "dirt_pos": letter("contaminant")}, inclusive=False)
+    return out.select("col", "assembly", "contaminant", F.col("pos").cast("int").alias("pos"), F.col("dirt_pos").cast("int").alias("dirt_pos"))
 
 
 def diagnostic(columns: DataFrame, transversions: bool = False, low: int | None = None, high: int | None = None) -> DataFrame:

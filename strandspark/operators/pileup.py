@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import seq as S
+from . import ordered
 
 COUNTS = ["cov", "na", "nc", "ng", "nt", "gaps", "sa", "sc", "sg", "st"]
 
@@ -68,8 +69,7 @@ def gap_coverage(alns: DataFrame, asked: DataFrame) -> DataFrame:
     change = alns.filter("end > start").select(F.explode(ends).alias("x")).select("x.pos", "x.d", F.lit(0).alias("wanted"))
     both = change.unionByName(asked.select("pos", F.lit(0).alias("d"), F.lit(1).alias("wanted")))
     each = both.groupBy("pos").agg(F.sum("d").alias("d"), F.max("wanted").alias("wanted"))
-    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return each.select("pos", "wanted", F.sum("d").over(w).cast("bigint").alias("cov_ins")).filter("wanted = 1").drop("wanted")
+    return ordered.running_sums(each, "pos", {"cov_ins": F.col("d")}).filter("wanted = 1").select("pos", "cov_ins")
 
 
 def insertions(alns: DataFrame, scores: DataFrame) -> DataFrame:
@@ -95,8 +95,7 @@ def gap_lengths(alns: DataFrame) -> DataFrame:
 
 def gaps_before(gaps: DataFrame) -> DataFrame:
     """(``pos``, ``gap``, ``before``): prefix sums of gaps. One row for each insertion site of a reference."""
-    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return gaps.withColumn("before", F.coalesce(F.sum("gap").over(w), F.lit(0)).cast("bigint"))
+    return ordered.running_sums(gaps, "pos", {"before": F.col("gap")}, inclusive=False)
 
 
 def call(df: DataFrame, code: int = 1, settings: Settings = Settings()) -> DataFrame:
@@ -142,18 +141,16 @@ def columns(alns: DataFrame, scores: DataFrame, ref: DataFrame, code: int = 1, s
     return call(at.unionByName(ins), code, settings).withColumn("place", F.when(F.col("ins_idx") < 0, F.lit(1 << 30)).otherwise(F.col("ins_idx")))
 
 
-def consensus(called: DataFrame, gapped: bool = False) -> Column:
-    """An aggregate of the calls in order; gaps are left out unless ``gapped``."""
-    letters = F.transform(F.sort_array(F.collect_list(F.struct("pos", "place", "cons"))), lambda x: x["cons"])
-    text = F.array_join(letters, "")
-    return text if gapped else F.replace(text, F.lit("-"), F.lit(""))
+def consensus(called: DataFrame, gapped: bool = False) -> DataFrame:
+    """One row with ``consensus``: the calls in order; gaps are left out unless ``gapped``."""
+    text = ordered.texts(called, consensus="cons")
+    return text if gapped else text.select(F.replace("consensus", F.lit("-"), F.lit("")).alias("consensus"))
 
 
 def assembly_string(alns: DataFrame, scores: DataFrame, ref: DataFrame, code: int = 1, settings: Settings = Settings()) -> str:
     """The consensus that serves as the next reference. Insertions before position 0 are skipped."""
     called = columns(alns, scores, ref, code, settings, only_kept=True).filter("NOT (pos = 0 AND ins_idx >= 0)")
-    row = called.agg(consensus(called).alias("seq")).first()
-    return (row["seq"] if row else "") or ""
+    return consensus(called).first()["consensus"]
 
 
 def ends(alns: DataFrame) -> DataFrame:
@@ -182,8 +179,7 @@ def coverage(intervals: DataFrame, *keys: str) -> DataFrame:
     """Depth of intervals ``start`` to ``end`` by change points: (keys, ``pos``, ``depth``), no join and no explode."""
     change = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).alias("d"))))
     each = intervals.select(*keys, change.alias("x")).groupBy(*keys, F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return each.select(*keys, "pos", F.sum("d").over(w).cast("bigint").alias("depth"))
+    return ordered.running_sums(each, "pos", {"depth": F.col("d")}, keys).select(*keys, "pos", "depth")
 
 
 AMBIGUITY = {

@@ -367,13 +367,13 @@ def a4(spark: SparkSession, sf: str) -> DataFrame:
 def a5(spark: SparkSession, sf: str) -> DataFrame:
     ref = assemble.reference_rows(spark, X.reference(spark, sf))
     c = pileup.columns(X.placed(spark, sf), _scores(spark), ref, only_kept=True).filter("NOT (pos = 0 AND ins_idx >= 0)")
-    return c.agg(pileup.consensus(c).alias("consensus"))
+    return pileup.consensus(c)
 
 
 @query("a6_gapped_consensus")
 def a6(spark: SparkSession, sf: str) -> DataFrame:
     c = _columns(spark, sf)
-    return c.agg(pileup.consensus(c, gapped=True).alias("consensus"))
+    return pileup.consensus(c, gapped=True)
 
 
 def _columns(spark: SparkSession, sf: str) -> DataFrame:

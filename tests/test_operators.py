@@ -125,6 +125,26 @@ def test_seed_table_equals_the_join(spark, monkeypatch, k):
     assert len(want) > 20 and seeds.hits(reads, index.limit(0), k).count() == 0 == seeds.seeded(reads.limit(0), index, k).count()
 
 
+def test_sums_and_texts_over_blocks(spark, monkeypatch):
+    """Blocks of a few positions, keys with nulls, gaps between positions, empty tables."""
+    import random
+
+    from strandspark.operators import ordered
+
+    monkeypatch.setattr(ordered, "BLOCK", 7)
+    rng = random.Random(6)
+    rows = [(k, p, rng.choice([None, 1, -2, 5])) for k in (True, False, None) for p in rng.sample(range(-30, 200), 60)]
+    df = spark.createDataFrame(rows, "key boolean, pos int, d int")
+    for inclusive in (True, False):
+        got = {(r.key, r.pos): r.total for r in ordered.running_sums(df, "pos", {"total": F.col("d")}, ("key",), inclusive).collect()}
+        assert got == {(k, p): sum(d or 0 for q, o, d in rows if q == k and (o < p or (inclusive and o == p))) for k, p, _ in rows}
+    one = df.filter("key")
+    assert {r.pos: r.total for r in ordered.running_sums(one, "pos", {"total": F.lit(1)}, inclusive=False).collect()} == {p: n for n, p in enumerate(sorted(p for k, p, _ in rows if k))}
+    text = spark.createDataFrame([(p, q, chr(97 + (p * 3 + q) % 26), "x") for p in range(40) for q in range(3)], "pos int, place int, a string, b string").repartition(5)
+    assert ordered.texts(text, one="a", two="b").first()[:] == ("".join(chr(97 + (p * 3 + q) % 26) for p in range(40) for q in range(3)), "x" * 120)
+    assert ordered.texts(text.limit(0), one="a").first()["one"] == "" and ordered.running_sums(one.limit(0), "pos", {"t": F.col("d")}).count() == 0
+
+
 def test_ranges_of_a_leader_scan_compose():
     """Ranges scanned for every leader that may come in, put together, equal one scan."""
     import random
