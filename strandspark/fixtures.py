@@ -6,10 +6,11 @@ The registered queries run the operators on them; each SQL text below builds the
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
+from .operators import ordered
 
 #: Placements are dealt over so many positions.
 SPAN = 5000
@@ -47,8 +48,7 @@ def _edited(t: str) -> Column:
 def _item_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(``ord``, ``i``, ``at``, ``t``): 100 letters at steps of 50 over all items, and their place in the reference."""
     items = table(spark, sf_dir, "benchmark").select("item_id", S.dna(F.col("text")).alias("dna"))
-    before = F.sum(F.length("dna")).over(Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, -1))
-    items = items.withColumn("before", F.coalesce(before, F.lit(0))).filter("length(dna) > 0")
+    items = ordered.running_sums(items, "item_id", {"before": F.length("dna")}, inclusive=False).filter("length(dna) > 0")
     each = items.select("item_id", "dna", "before", F.explode(F.sequence(F.lit(0), F.floor((F.length("dna") - 1) / 50))).alias("i"))
     t = F.substring("dna", (F.col("i") * 50 + 1).cast("int"), F.lit(100))
     return each.select((F.col("item_id") * 1000 + F.col("i")).alias("ord"), "i", (F.col("before") + F.col("i") * 50).cast("int").alias("at"), t.alias("t"))

@@ -139,18 +139,22 @@ j AS (SELECT f.a AS a1, coalesce(b.a, 'unknown') AS b1, f.b AS a2, coalesce(b.b,
 SELECT CASE WHEN a1 = b1 THEN a1 WHEN a1 = 'unknown' THEN b1 WHEN b1 = 'unknown' THEN a1 WHEN 'nonsense' IN (a1, b1) THEN 'nonsense' ELSE 'conflict' END AS klass,
   CASE WHEN a2 = b2 THEN a2 WHEN a2 = 'unknown' THEN b2 WHEN b2 = 'unknown' THEN a2 WHEN 'nonsense' IN (a2, b2) THEN 'nonsense' ELSE 'conflict' END AS klass2, count(*) AS n, sum(sites)::BIGINT AS sites FROM j GROUP BY ALL"""
 
+#: Matrices of both strands at the classes and letters of placed reads.
+_SEEN_MATRIX = f"WITH {X.PLACED_SQL}, {X.BASES_SQL}, seen AS (SELECT rc, d::INTEGER AS depth, b::INTEGER AS read_b, count(*) AS n FROM bases GROUP BY ALL), t AS (" + _REVERSE_SUM + " FROM (SELECT unnest(range(0, 31)) AS d), (SELECT unnest(range(0, 5)) AS b), (SELECT unnest([true, false]) AS rc)" + ") SELECT t.*, n FROM t JOIN seen USING (rc, depth, read_b)"
+
 ORACLES: dict[str, str] = {
     "s1_input_kind": f"WITH {X.READS_SQL} SELECT 'fasta' AS kind, count(*) AS n, sum(least(length(dna), 256))::BIGINT AS bases FROM docs UNION ALL SELECT 'fastq', count(*), sum(len)::BIGINT FROM reads",
-    "s7_matrix_file": _REVERSE_SUM + " FROM (SELECT unnest(range(0, 31)) AS d), (SELECT unnest(range(0, 5)) AS b), (SELECT unnest([true, false]) AS rc)",
-    "s15_options": """SELECT * FROM (VALUES ('', true, NULL::INTEGER, NULL, false, 0, false, false, true, 1, 0, NULL::DOUBLE, NULL::DOUBLE), ('-k 12 -c -u', true, 12, 'score', false, 0, true, false, true, 1, 0, NULL, NULL), ('-U -C 3 -T -a s', true, NULL, 'quality', true, 3, false, false, true, 1, 0, NULL, NULL),
-  ('-S 150 -D', true, NULL, NULL, false, 0, false, true, true, 1, 0, 150.0, 0.0), ('-N 40 -p 2 -n', true, NULL, NULL, false, 0, false, false, false, 2, 0, 200.0, 40.0), ('-H 700 -M -A -h', true, NULL, NULL, false, 0, false, false, true, 1, 700, NULL, NULL), ('-H 0', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), ('-k 15', false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL))
-  t(line, fine, kmer, dedup, collapse, tolerance, circular, distant, iterate, cons_code, hard_cut, slope, intercept)""",
+    "s7_matrix_file": _SEEN_MATRIX,
+    "s15_options": """WITH o AS (SELECT c_custkey % 18 AS k, c_nationkey AS h, c_custkey % 2 = 0 AS circular, CASE c_custkey % 3 WHEN 0 THEN 'quality' WHEN 1 THEN 'score' END AS dedup, c_custkey % 5 = 0 AS collapse, c_nationkey % 4 AS tolerance, c_custkey % 7 = 0 AS distant FROM customer),
+f AS (SELECT *, k BETWEEN 1 AND 14 AND h > 0 AS fine, concat_ws(' ', '-k ' || k, '-H ' || h, CASE WHEN circular THEN '-c' END, CASE dedup WHEN 'quality' THEN '-U' WHEN 'score' THEN '-u' END, CASE WHEN collapse THEN '-C ' || tolerance END, CASE WHEN distant THEN '-D' END) AS line FROM o)
+SELECT line, fine, CASE WHEN fine THEN k END::INTEGER AS kmer, CASE WHEN fine THEN dedup END AS dedup, CASE WHEN fine THEN collapse END AS collapse, CASE WHEN fine THEN CASE WHEN collapse THEN tolerance ELSE 0 END END::INTEGER AS tolerance,
+  CASE WHEN fine THEN circular END AS circular, CASE WHEN fine THEN distant END AS distant, CASE WHEN fine THEN h END::INTEGER AS hard_cut FROM f""",
     "s12_newest_sibling": "SELECT (r_regionkey * 3 + 1)::BIGINT AS number, 'state.' || (SELECT max(r_regionkey * 3 + 1) FROM region) AS newest FROM region",
     "s3_fasta_scan": f"WITH {X.DOCS_SQL} SELECT 'd' || doc_id AS id, 'from text' AS \"desc\", md5(substr(dna, 1, 256)) AS seq_md5, least(length(dna), 256)::INTEGER AS seq_len FROM docs",
     "s4_fastq_scan": f"WITH {X.READS_SQL} SELECT substr(seq, 1, 4) AS head, count(*) AS n, sum(list_sum(list_transform(range(1, len + 1), lambda j: ascii(substr(qual, j, 1)) - 33)))::BIGINT AS qual_sum, sum(len)::BIGINT AS bases FROM reads GROUP BY 1",
     "s5_qual_sum": f"WITH {X.READS_SQL} SELECT doc_id, sum(list_sum(list_transform(range(1, len + 1), lambda j: ascii(substr(qual, j, 1)) - 33)))::BIGINT AS qual_sum FROM reads GROUP BY 1",
     "s6_reference_scan": f"WITH {X.REF_SQL}, m AS (SELECT lower(substr(s, 1, 41)) || substr(s, 42) AS s FROM refseq) SELECT 'ref' AS id, 'all items' AS \"desc\", md5(s) AS seq_md5, length(s)::INTEGER AS len, md5(reverse(translate(s, 'ACGTacgt', 'TGCAtgca'))) AS rc_md5 FROM m",
-    "s9_flat_matrix": "SELECT rc, b::INTEGER AS read_b, " + ", ".join(f"(31 * CASE WHEN b = 4 THEN -100 WHEN b = {k} THEN 200 ELSE -600 END)::BIGINT AS s{c}" for k, c in enumerate("acgt")) + " FROM (SELECT unnest(range(0, 5)) AS b), (SELECT unnest([true, false]) AS rc)",
+    "s9_flat_matrix": f"WITH {X.PLACED_SQL}, {X.BASES_SQL}, seen AS (SELECT rc, d::INTEGER AS depth, b::INTEGER AS read_b, count(*) AS n FROM bases GROUP BY ALL) SELECT rc, read_b, " + ", ".join(f"sum(n * CASE WHEN read_b = 4 THEN -100 WHEN read_b = {k} THEN 200 ELSE -600 END)::BIGINT AS s{c}" for k, c in enumerate("acgt")) + " FROM seen GROUP BY ALL",
     "s10_id_list": f"WITH {X.READS_SQL} SELECT id, seq FROM reads WHERE id IN (SELECT 'r' || (doc_id * 100000) FROM labels)",
     "s11_assembly_import": f"WITH {X.PLACED_SQL} SELECT rc, segment, dropped, count(*) AS n, sum(score)::BIGINT AS score, sum(start)::BIGINT AS starts, sum(\"end\")::BIGINT AS ends, sum(length(seq))::BIGINT AS bases, sum(list_sum(list_transform(range(0, len), lambda k: {X.CLASS_SQL.format(k='k', len='len')})))::BIGINT AS smp, sum(CASE WHEN ins IS NULL THEN -1 ELSE ins_pos END)::BIGINT AS ins_at, sum(coalesce(length(ins), 0))::BIGINT AS ins_bases FROM placed GROUP BY ALL",
     "k2_fastq_lines": f"WITH {X.READS_SQL}, n AS (SELECT ord, seq, qual, id || ' ' || CASE WHEN doc_id % 2 = 1 THEN 'R' ELSE 'F' END || '|' || CASE WHEN doc_id % 3 = 0 THEN 'T' ELSE 'U' END AS name FROM reads) SELECT ord, md5('@' || name || chr(10) || seq || chr(10) || '+' || name || chr(10) || qual) AS record_md5 FROM n",
@@ -160,7 +164,7 @@ ORACLES: dict[str, str] = {
     "f4_f5_score_filters": f"SELECT rc, count(*) AS n, min(score)::INTEGER AS low FROM ({A.placed_items(12_000)}) GROUP BY 1",
     "f7_alignable_length": f"WITH {X.READS_SQL} SELECT doc_id, sum(greatest(len - (length(replace(seq, 'ACC', 'NNN')) - length(replace(replace(seq, 'ACC', 'NNN'), 'N', ''))), 15))::BIGINT AS alignable FROM reads GROUP BY 1",
     "f9_f11_overlap": f"WITH {X.PLACED_SQL} SELECT rc, count(*) FILTER (WHERE start <= 1000 AND 1000 <= \"end\") AS covering, count(*) FILTER (WHERE start < 1000 AND 1000 <= \"end\") AS gap_covering, count(*) FILTER (WHERE start <= 1100 AND \"end\" >= 900) AS overlapping FROM placed GROUP BY 1",
-    "f12_f16_symbols": f"WITH s AS (SELECT unnest(string_split('A,C,G,T,R,Y,K,M,S,W,B,D,H,V,N,-', ',')) AS x), p AS (SELECT s.x AS a, t.x AS b FROM s, s t) SELECT a, b, a IN ('A','C','G','T') AS valid, ({_MASK.format('a')}) & ({_MASK.format('b')}) <> 0 AS compatible, {_TV.format('a', 'b')} AS transversion, {_FIT.format(x='a', x2='a', y='b')} AS consistent, {_FIT.format(x='a', x2=_AGED.format('a'), y='b')} AS consistent_ancient FROM p",
+    "f12_f16_symbols": f"WITH s AS (SELECT translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'EFIJLOPQUXZ', '-----------') AS t FROM documents), e AS (SELECT substr(t, k, 2) AS pair FROM (SELECT t, unnest(range(1, length(t))) AS k FROM s)), p AS (SELECT left(pair, 1) AS a, right(pair, 1) AS b, count(*) AS n FROM e GROUP BY ALL) SELECT a, b, n, a IN ('A','C','G','T') AS valid, ({_MASK.format('a')}) & ({_MASK.format('b')}) <> 0 AS compatible, {_TV.format('a', 'b')} AS transversion, {_FIT.format(x='a', x2='a', y='b')} AS consistent, {_FIT.format(x='a', x2=_AGED.format('a'), y='b')} AS consistent_ancient FROM p",
     "f17_least_sites": f"WITH {_classes(3)} SELECT klass, count(*) AS n FROM k GROUP BY 1",
     "f18_span": f"WITH {_SITES}, t AS (SELECT *, {_TV.format('a', 'c')} AS tv FROM sites WHERE pos BETWEEN 1000 AND 2999) SELECT strength, false AS transversions_only, count(*) AS n, min(pos) AS first, max(pos) AS last FROM t GROUP BY 1 UNION ALL SELECT strength, true, count(*), min(pos), max(pos) FROM t WHERE tv GROUP BY 1",
     "f20_sequence_check": r"SELECT regexp_matches(w, '^[ACGTBDHVMKYRSWUNacgtbdhvmkyrswun]+$') AS ok, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[ \t\n\f\r]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1",
@@ -211,7 +215,7 @@ SELECT cluster, string_agg(base, '' ORDER BY k) AS called, sum(w)::BIGINT AS wei
     "a17_diagnostic_sites": f"WITH {_SITES} SELECT strength, count(*) AS n, count(*) FILTER (WHERE {_TV.format('a', 'c')}) AS transversions FROM sites GROUP BY 1",
     "a18_majority": _majority(70, "gaps"),
     "a18_majority_strict": _majority(50, "strict"),
-    "a19_symbol_sets": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in AMBIGUITY.items()) + ") t(bases, symbol)",
+    "a19_symbol_sets": f"WITH {X.READS_SQL}, p AS (SELECT substr(seq, 1 + 12 * k, 12) AS part FROM (SELECT seq, unnest(range(0, (len + 11) // 12)) AS k FROM reads)), b AS (SELECT CASE WHEN contains(part, 'A') THEN 'A' ELSE '' END || CASE WHEN contains(part, 'C') THEN 'C' ELSE '' END || CASE WHEN contains(part, 'G') THEN 'G' ELSE '' END || CASE WHEN contains(part, 'T') THEN 'T' ELSE '' END AS bases FROM p) SELECT bases, symbol, count(*) AS n FROM b JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in AMBIGUITY.items()) + ") t(bases, symbol) USING (bases) GROUP BY ALL",
     "w1_read_order": f"WITH {_COORD} SELECT ord, row_number() OVER (PARTITION BY rc ORDER BY CASE WHEN rc THEN -e ELSE s END, CASE WHEN rc THEN s ELSE -e END, score DESC, ord) AS place FROM c",
     "w2_dedup_exact": f"WITH {_COORD} SELECT ord, row_number() OVER w = 1 AS unique_best, first_value(ord) OVER w AS cluster FROM c WINDOW w AS (PARTITION BY rc, s, e ORDER BY score DESC, ord)",
     "w2_dedup_tolerance": """WITH RECURSIVE c AS (SELECT (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey AS ord, l_returnflag = 'R' AS rc, l_quantity::INTEGER AS score, l_linestatus = 'F' AS trimmed FROM lineitem),
@@ -238,9 +242,9 @@ SELECT ord, unique_best FROM f""",
     "x8_iupac_bitmap": f"WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS c FROM benchmark) SELECT item_id, sum({_MASK.format('c')})::BIGINT AS bits FROM c GROUP BY 1",
     "x9_homopolymer_penalty": "SELECT DISTINCT l_linenumber AS gap, trunc(l_quantity % 13)::INTEGER AS run, (l_linenumber * 200 + [1000, 500, 330, 250, 200, 170, 140, 130, 110, 100][least(greatest(trunc(l_quantity % 13)::INTEGER, 1), 10)])::INTEGER AS penalty FROM lineitem",
     "x10_row_class": f"WITH {X.READS_SQL}, l AS (SELECT DISTINCT len FROM reads), r AS (SELECT len, unnest(range(0, len))::INTEGER AS row FROM l) SELECT len, row, (CASE WHEN row < 15 THEN row WHEN len - row - 1 < 15 THEN 30 - (len - row - 1) ELSE 15 END)::INTEGER AS depth FROM r",
-    "x11_reverse_matrix": _REVERSE_SUM + " FROM (SELECT unnest(range(0, 31)) AS d), (SELECT unnest(range(0, 5)) AS b), (SELECT unnest([true, false]) AS rc)",
+    "x11_reverse_matrix": _SEEN_MATRIX,
     "x12_adapter_trim": f"WITH {X.READS_SQL} SELECT ord, len::BIGINT AS expected, (len - 1)::BIGINT AS trim_point FROM reads UNION ALL SELECT -1 - item_id, length({_D}), length({_D}) - 1 FROM benchmark",
-    "x13_adapters": f"SELECT * FROM (VALUES ('n', '{ADAPTERS['n']}'), ('N', '{ADAPTERS['n']}'), ('s', '{ADAPTERS['s']}'), ('x', '{ADAPTERS['s']}'), ('ACGTAC', 'ACGTAC'), (repeat('A', 128), '{ADAPTERS['s']}')) t(asked, adapter)",
+    "x13_adapters": f"WITH a AS (SELECT doc_id, substr(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), 1, (doc_id % 140)::INTEGER) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) BETWEEN 2 AND 127 THEN t WHEN t IN ('n', 'N') THEN '{ADAPTERS['n']}' ELSE '{ADAPTERS['s']}' END AS adapter FROM a",
     "x14_split": f"""WITH {X.READS_SQL}, p AS (SELECT ((doc_id * 131 + i * 50) % {X.SPAN})::INTEGER AS s, seq, len, CASE WHEN len > 5 THEN substr(seq, 1, 2) ELSE '' END AS ins FROM reads),
 q AS (SELECT *, s + len - 1 AS e, s + 3 AS ip FROM p),
 w AS (SELECT 'a' AS segment, s AS start, e AS "end", seq, CASE WHEN ins = '' THEN -1 ELSE ip END AS ip, ins FROM q WHERE e < {X.SPAN}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cli
@@ -13,7 +13,7 @@ from . import fixtures as X
 from .config import ADAPTERS, Settings
 from .functions import scoring
 from .functions import seq as S
-from .operators import align, contam, cutoff, dedup, diff, kernel, pileup, seeds, steps
+from .operators import align, contam, cutoff, dedup, diff, kernel, ordered, pileup, seeds, steps
 from .plans import assemble, contamination, report
 from .sources import readers, writers
 
@@ -33,6 +33,12 @@ def _scores(spark: SparkSession) -> DataFrame:
     return scoring.table(spark, X.matrix())
 
 
+def _seen(spark: SparkSession, sf: str, scores: DataFrame) -> DataFrame:
+    """``scores`` of the classes and letters that placed reads have, with their number ``n``."""
+    cells = pileup.bases(X.placed(spark, sf)).groupBy("rc", "depth", S.base_index(F.col("base")).alias("read_b")).agg(F.count("*").alias("n"))
+    return cells.join(scores, ["rc", "depth", "read_b"])
+
+
 def _scratch(spark: SparkSession) -> str:
     return steps.folder(spark)
 
@@ -94,33 +100,52 @@ def s6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s7_matrix_file")
 def s7(spark: SparkSession, sf: str) -> DataFrame:
-    """A matrix written as a file of 31 blocks, and read back for both strands."""
+    """A matrix written as a file of 31 blocks, and read back for the letters of placed reads on both strands."""
     path = _scratch(spark) + "/matrix"
     depth, m = Settings().pssm_depth, X.matrix()
     names = [*range(1, depth + 1), "MIDDLE", *range(-depth, 0)]
     blocks = [f"# position: {n}\n" + "\n".join(" ".join(map(str, row)) for row in m[k, :4, :4].tolist()) for k, n in enumerate(names)]
     spark.createDataFrame([("\n".join(blocks),)], "value string").write.text(path)
     text = spark.read.text(path, wholetext=True).first()["value"]
-    return scoring.table(spark, scoring.parse(text)).select("rc", "depth", "read_b", "sa", "sc", "sg", "st")
+    return _seen(spark, sf, scoring.table(spark, scoring.parse(text))).select("rc", "depth", "read_b", "sa", "sc", "sg", "st", "n")
 
 
 @query("s15_options")
 def s15(spark: SparkSession, sf: str) -> DataFrame:
-    """Command lines, what they set, and those that are refused."""
-    lines = ["", "-k 12 -c -u", "-U -C 3 -T -a s", "-S 150 -D", "-N 40 -p 2 -n", "-H 700 -M -A -h", "-H 0", "-k 15"]
-    out = []
-    for line in lines:
-        try:
-            o = cli._settings(cli.parser().parse_args(["assemble", "-r", "x", "-f", "y", *line.split()]))
-            out.append((line, True, o.kmer, o.dedup, o.collapse, o.tolerance, o.circular, o.distant, o.iterate, o.cons_code, o.hard_cut, o.slope, o.intercept))
-        except ValueError:
-            out.append((line, False, *[None] * 11))
-    return spark.createDataFrame(out, "line string, fine boolean, kmer int, dedup string, collapse boolean, tolerance int, circular boolean, distant boolean, iterate boolean, cons_code int, hard_cut int, slope double, intercept double")
+    """A command line for each customer, what it sets, and whether it is refused."""
+    lines = F.concat_ws(
+        " ",
+        F.concat(F.lit("-k "), (F.col("c_custkey") % 18).cast("string")),
+        F.concat(F.lit("-H "), F.col("c_nationkey").cast("string")),
+        F.when(F.col("c_custkey") % 2 == 0, "-c"),
+        F.when(F.col("c_custkey") % 3 == 0, "-U").when(F.col("c_custkey") % 3 == 1, "-u"),
+        F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("-C "), (F.col("c_nationkey") % 4).cast("string"))),
+        F.when(F.col("c_custkey") % 7 == 0, "-D"),
+    )
+    kinds = "line string, fine boolean, kmer int, dedup string, collapse boolean, tolerance int, circular boolean, distant boolean, hard_cut int"
+
+    def work(batches):
+        import pandas as pd
+
+        parser = cli.parser()
+        for b in batches:
+            out = []
+            for line in b["line"]:
+                try:
+                    o = cli._settings(parser.parse_args(["assemble", "-r", "x", "-f", "y", *line.split()]))
+                    out.append((line, True, o.kmer, o.dedup, o.collapse, o.tolerance, o.circular, o.distant, o.hard_cut))
+                except ValueError:
+                    out.append((line, False, *[None] * 7))
+            yield pd.DataFrame(out, columns=[k.split(" ")[0] for k in kinds.split(", ")]).astype(dict.fromkeys(("kmer", "tolerance", "hard_cut"), "Int32") | dict.fromkeys(("collapse", "circular", "distant"), "boolean"))
+
+    return X.table(spark, sf, "customer").select(lines.alias("line")).mapInPandas(work, kinds)
 
 
 @query("s9_flat_matrix")
 def s9(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.table(spark, scoring.flat()).groupBy("rc", "read_b").agg(F.sum("sa").alias("sa"), F.sum("sc").alias("sc"), F.sum("sg").alias("sg"), F.sum("st").alias("st"))
+    """Scores of the letters of all placed reads, for each reference letter."""
+    seen = _seen(spark, sf, scoring.table(spark, scoring.flat()))
+    return seen.groupBy("rc", "read_b").agg(*[F.sum(F.col(c) * F.col("n")).cast("bigint").alias(c) for c in ("sa", "sc", "sg", "st")])
 
 
 @query("s12_newest_sibling")
@@ -216,11 +241,13 @@ def f9(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f12_f16_symbols")
 def f12(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of fifteen symbols and a gap: a fixed table of 256 rows."""
-    one = spark.createDataFrame([(c,) for c in "ACGTRYKMSWBDHVN-"], "a string")
-    pair = one.join(one.withColumnRenamed("a", "b"), F.col("a").isNotNull())
+    """Pairs of symbols that stand side by side in texts, and what they have in common."""
+    plain = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "EFIJLOPQUXZ", "-----------")
+    text = X.table(spark, sf, "documents").select(plain.alias("t")).filter("length(t) > 1")
+    each = text.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda k: F.substring("t", k, F.lit(2)))).alias("pair"))
+    pair = each.groupBy("pair").agg(F.count("*").alias("n")).select(F.substring("pair", 1, 1).alias("a"), F.substring("pair", 2, 1).alias("b"), "n")
     a, b = F.col("a"), F.col("b")
-    return pair.select("a", "b", a.isin(*"ACGT").alias("valid"), S.compatible(a, b).alias("compatible"), S.is_transversion(a, b).alias("transversion"), S.consistent(a, b).alias("consistent"), S.consistent(a, b, True).alias("consistent_ancient"))
+    return pair.select("a", "b", "n", a.isin(*"ACGT").alias("valid"), S.compatible(a, b).alias("compatible"), S.is_transversion(a, b).alias("transversion"), S.consistent(a, b).alias("consistent"), S.consistent(a, b, True).alias("consistent_ancient"))
 
 
 @query("f17_least_sites")
@@ -475,7 +502,12 @@ def _majority(spark: SparkSession, sf: str, per_cent: int, style: str) -> DataFr
 
 @query("a19_symbol_sets")
 def a19(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(sorted(pileup.AMBIGUITY.items()), "bases string, symbol string")
+    """The sets of letters of reads, twelve at a time, and their symbols."""
+    k = F.explode(F.sequence(F.lit(0), F.floor((F.col("len") - 1) / 12)))
+    part = X.reads(spark, sf).select("seq", k.alias("k")).select(F.substring("seq", (F.col("k") * 12 + 1).cast("int"), F.lit(12)).alias("part"))
+    bases = F.concat(*[F.when(F.contains("part", F.lit(b)), b).otherwise("") for b in "ACGT"])
+    table = F.create_map(*[F.lit(x) for item in pileup.AMBIGUITY.items() for x in item])
+    return part.groupBy(bases.alias("bases")).agg(F.count("*").alias("n")).select("bases", F.element_at(table, F.col("bases")).alias("symbol"), "n")
 
 
 # Order, windows, cutoff ----------------------------------------------------------------
@@ -525,12 +557,12 @@ def w4(spark: SparkSession, sf: str) -> DataFrame:
         import pandas as pd
 
         for b in batches:
-            found: Counter[tuple[str, int]] = Counter()
-            for dna in b["dna"]:
-                start, size = kernel.runs(dna)
-                heads = (start == range(len(dna))).nonzero()[0]
-                found.update((dna[k], int(size[k])) for k in heads)
-            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["base", "len", "n"])
+            # A sign between texts ends their runs.
+            letters = kernel.letters_of(["\n".join(b["dna"].fillna(""))])
+            start, size = kernel.runs_of(letters)
+            heads = (start[0] == np.arange(letters.shape[1])) & (letters[0] != ord("\n"))
+            pairs, n = np.unique(np.stack([letters[0][heads], size[0][heads]]), axis=1, return_counts=True)
+            yield pd.DataFrame({"base": [chr(x) for x in pairs[0]], "len": pairs[1].astype("int32"), "n": n})
 
     each = X.docs(spark, sf).select("dna").mapInPandas(work, "base string, len int, n bigint")
     return each.groupBy("base", "len").agg(F.sum("n").alias("n"))
@@ -615,7 +647,8 @@ def x10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x11_reverse_matrix")
 def x11(spark: SparkSession, sf: str) -> DataFrame:
-    return _scores(spark).select("rc", "depth", "read_b", "sa", "sc", "sg", "st")
+    """Matrices of both strands at the classes and letters of placed reads."""
+    return _seen(spark, sf, _scores(spark)).select("rc", "depth", "read_b", "sa", "sc", "sg", "st", "n")
 
 
 @query("x12_adapter_trim")
@@ -638,9 +671,17 @@ def x12(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x13_adapters")
 def x13(spark: SparkSession, sf: str) -> DataFrame:
-    """Codes, a sequence of one's own, and one that is too long."""
-    asked = ["n", "N", "s", "x", "ACGTAC", "A" * 128]
-    return spark.createDataFrame([(a, Settings(adapter=a).adapter_sequence) for a in asked], "asked string, adapter string")
+    """What the first letters of texts stand for, from none to more than an adapter may have."""
+
+    def work(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "adapter": [Settings(adapter=a).adapter_sequence for a in b["asked"]]})
+
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    asked = X.table(spark, sf, "documents").select("doc_id", F.substring(letters, F.lit(1), (F.col("doc_id") % 140).cast("int")).alias("asked"))
+    return asked.mapInPandas(work, "doc_id bigint, adapter string")
 
 
 @query("x14_split")
@@ -800,9 +841,10 @@ def j9i(spark: SparkSession, sf: str) -> DataFrame:
                 out.append((k, d, sum(p != q for p, q in zip(x, y, strict=True)), x.replace("-", "") == one and y.replace("-", "") == two))
             yield pd.DataFrame(out, columns=["item_id", "distance", "cost", "whole"])
 
-    # A window over the benchmark, which is a small table.
     items = X.table(spark, sf, "benchmark").select("item_id", S.dna(F.col("text")).alias("dna"))
-    pairs = items.withColumn("other", F.lead("dna").over(Window.orderBy("item_id"))).filter("other IS NOT NULL")
+    numbered = ordered.running_sums(items, "item_id", {"number": F.lit(1)})
+    following = numbered.select((F.col("number") - 1).alias("number"), F.col("dna").alias("other"))
+    pairs = numbered.join(following, "number").filter("other IS NOT NULL")
     return pairs.repartition(spark.sparkContext.defaultParallelism).mapInPandas(work, "item_id bigint, distance bigint, cost bigint, whole boolean")
 
 

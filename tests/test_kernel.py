@@ -130,6 +130,17 @@ def test_matrix_file_is_parsed_and_checked():
         scoring.parse(text.replace("MIDDLE", "16"))
 
 
+def test_matrix_file_is_found(tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "old.txt").write_text("x")
+    folders = [str(tmp_path / "a"), str(tmp_path / "missing"), str(tmp_path / "b")]
+    assert scoring.find("old.txt", folders) == str(tmp_path / "b" / "old.txt")
+    assert scoring.find("some/where.txt", folders) == "some/where.txt"
+    with pytest.raises(FileNotFoundError, match="old.txt"):
+        scoring.find("new.txt", folders)
+
+
 def test_pair_alignment_is_minimal():
     rng = random.Random(11)
     for _ in range(20):
