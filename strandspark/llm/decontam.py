@@ -186,6 +186,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, per_cent: int = PER
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that meet no item, with their own columns."""
+    """The rows of ``documents`` that meet no item, with their own columns, whatever their names.
+
+    Rows without an id stay; rows that share an id go together. All other cases are as in
+    :func:`contaminated`.
+    """
     met = contaminated(documents, benchmark).select(F.col("doc_id").alias("__met")).distinct()
     return documents.join(met, documents["doc_id"] == met["__met"], "left_anti")

@@ -162,7 +162,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, per_cent: int = 80) ->
     ``component_id`` is the smallest ``doc_id`` that links reach, ``kept`` is true for that
     document. Documents without words (null, empty or blank) have an empty set and no link.
     Rows that share a ``doc_id`` are one node with the links of each; a row whose ``doc_id``
-    is null has no link, a null component, and is kept. Other columns are not carried.
+    is null has no link, a null component, and is kept. A very long text is one row, whose
+    shingles are sketched and compared whole. An empty table gives an empty result. Other
+    columns are not carried, so their names cannot clash.
     """
     folder = shared_dir(documents.sparkSession)
     all_rows = cut(sketches(documents, width), folder, "sketches")
@@ -242,6 +244,10 @@ def _left_over(shared: DataFrame, found: DataFrame, sets: DataFrame, per_cent: i
 
 
 def keep_one(documents: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
-    """The rows of ``documents`` whose document is the smallest of its component, with their own columns."""
+    """The rows of ``documents`` whose document is the smallest of its component, with their own columns, whatever their names.
+
+    Rows without an id stay; rows that share an id stay or go together. All other cases are as
+    in :func:`near_duplicates`.
+    """
     gone = near_duplicates(documents, width, per_cent).filter("NOT kept").select(F.col("doc_id").alias("__gone"))
     return documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")

@@ -108,14 +108,16 @@ def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def judge(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per input row: ``doc_id``, the counts, the ratios, ``base_failed``, ``failed_rules``, ``kept``.
 
-    Null texts have no words and so fail the base rule; repeated rows are judged alike; an
-    empty table gives an empty result; other columns of the input are not carried.
+    Null texts have no words and so fail the base rule, as do empty ones; a null id is judged
+    like any other; repeated rows are judged alike; very long texts are judged whole, at a
+    cost in proportion to their words; an empty table gives an empty result; other columns of
+    the input are not carried, so their names cannot clash.
     """
     return apply_rules(with_metrics(documents.select("doc_id", "text")), rules).drop("text")
 
 
 def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``documents`` that pass, with their own columns, whatever their names."""
+    """The rows of ``documents`` that pass, with their own columns, whatever their names. All other cases are as in :func:`judge`."""
     own = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row")
     judged = apply_rules(with_metrics(documents.select(own, F.col("text").alias("text"))), rules)
     return keep_where(judged, "kept").select("__row.*")

@@ -137,6 +137,13 @@ def test_classifier_edges(spark):
     assert classifier.quality_scores(docs.limit(0), one, fold).count() == 0
 
 
+def test_scores_of_very_long_texts(spark):
+    docs = spark.range(12).selectExpr("id AS doc_id", "repeat(concat('word', id, ' and more. '), CASE WHEN id < 3 THEN 200000 ELSE 5 END) AS text")
+    labels = spark.range(12).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "0 AS toxic")
+    rows = classifier.quality_scores(docs, labels, F.pmod("doc_id", F.lit(5))).collect()
+    assert len(rows) == 12 and all(0 <= r.score <= 1 for r in rows)
+
+
 def test_scores_equal_brute_force(spark):
     """Statistics, normal equations, isotonic step and scores again in plain numpy."""
     sf = "/root/testdata/sf0.001"

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,16 @@ def brute_lines(rows):
     return out
 
 
+def test_very_long_texts_are_judged_whole(spark):
+    """Three megabytes of one phrase, of different words, and of one word."""
+    df = spark.range(3).selectExpr("id AS doc_id", "CASE id WHEN 0 THEN repeat('the same few words again ', 120000) WHEN 1 THEN array_join(transform(sequence(1, 300000), x -> concat('w', x)), ' ') ELSE repeat('x', 3000000) END AS text")
+    began = time.time()
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert time.time() - began < 60
+    assert [(got[k].n_words, got[k].n_repeat_words, got[k].base_failed) for k in range(3)] == [(600000, 600000, True), (300000, 0, False), (1, 0, True)]
+    assert quality.judge(df.limit(0)).count() == 0 and quality.keep_good(df.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text")).count() == quality.keep_good(df).count()
+
+
 def test_line_windows_equal_brute_force(spark):
     texts = [
         "a\nb\nc\nd\ne", "x\na\nb\nc\nd", "a\nb\nc\na\nb\nc", None, "", "\n\n\n\n", "q\n\n\n\nz", "a\nb", "a\nb\nc\nd\ne", "u\nv\nw\nu\nv\nw\nu\nv\nw\nt",
@@ -196,9 +207,22 @@ def test_chats_read_back(spark):
 
 
 def test_a_very_long_conversation(spark):
-    turns = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    """Writing and reading forty thousand turns costs in proportion to them."""
+    turns = spark.range(40_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    began = time.time()
     r = chat.parse_chats(chat.format_chats(turns)).first()
-    assert len(r.turns) == 20_000 and r.loss_text == "".join(f"t{k}" for k in range(20_000) if k % 3)
+    assert time.time() - began < 20
+    assert len(r.turns) == 40_000 and r.loss_text == "".join(f"t{k}" for k in range(40_000) if k % 3)
+
+
+def test_spans_are_read_out_of_runs(spark, monkeypatch):
+    """Spans within a run, over several, at borders, empty, and with characters of two code units."""
+    monkeypatch.setattr(chat, "_RUN", 4)
+    text = "ab\nc\U0001f600defg\r\nh\u00e9ijk" * 3
+    spans = [(a, b) for a in range(0, len(text), 3) for b in (a, a + 1, a + 4, a + 9, len(text)) if a <= b <= len(text)]
+    df = spark.createDataFrame([(text, [{"start": a, "end": b} for a, b in spans]), ("", [])], "t string, s array<struct<start:bigint,end:bigint>>")
+    got = [r[0] for r in df.select(chat.spans_of(F.col("t"), F.col("s"))).collect()]
+    assert got == [[text[a:b] for a, b in spans], []]
 
 
 def test_probe_conversation_digest(spark):

@@ -86,6 +86,18 @@ def test_null_ids_repeated_ids_and_no_rows(spark):
     assert neardup.near_duplicates(d.limit(0), 3, 85).count() == 0
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    """Texts of half a million words, one of them changed in places, one of one word only."""
+    words = [f"w{k * 7919 % 1000003}" for k in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:200_000] + ["x", "y"] + words[200_003:])), (3, "same " * 400_000), (4, "same same same"), (5, "z" * 3_000_000)]
+    names = ["n_shingles", "kept", "component_id", "f1", "bands"]
+    df = spark.createDataFrame([(i, t, *names) for i, t in rows], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect()}
+    assert got[1] == (399_998, 1) and got[2][1] == 1 and got[3] == (1, 3) and got[4] == (1, 3) and got[5] == (1, 5)
+    kept = neardup.keep_one(df, 3, 85)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {1, 3, 5}
+
+
 def test_estimate_is_close(spark):
     rng = random.Random(1)
     a = {rng.getrandbits(64) for _ in range(4000)}
