@@ -835,9 +835,9 @@ def j9i(spark: SparkSession, sf: str) -> DataFrame:
         import pandas as pd
 
         for b in batches:
-            out = []
-            for k, one, two in zip(b["item_id"], b["dna"], b["other"], strict=True):
-                d, x, y = diff.align_pair(one, two, len(one) + len(two) + 1)
+            out, both = [], list(zip(b["dna"], b["other"], strict=True))
+            found = diff.align_pairs(both, [len(one) + len(two) + 1 for one, two in both])
+            for k, (one, two), (d, x, y) in zip(b["item_id"], both, found, strict=True):
                 out.append((k, d, sum(p != q for p, q in zip(x, y, strict=True)), x.replace("-", "") == one and y.replace("-", "") == two))
             yield pd.DataFrame(out, columns=["item_id", "distance", "cost", "whole"])
 

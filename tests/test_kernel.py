@@ -130,6 +130,32 @@ def test_matrix_file_is_parsed_and_checked():
         scoring.parse(text.replace("MIDDLE", "16"))
 
 
+def test_pairs_go_through_the_wavefront_together(monkeypatch):
+    """Pairs of very different sizes and distances, each as if alone and as the plain table of distances says."""
+    rng = random.Random(12)
+    pairs, limits = [], []
+    for _ in range(40):
+        a = "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 1, 8, 90, 300])))
+        b = "".join(rng.choice(["", c, c, c, c, c, "T", c + "A"]) for c in a)
+        pairs.append((a, b))
+        limits.append(rng.choice([None, 3, 20, len(a) + len(b) + 1]))
+    monkeypatch.setattr(diff, "PAIRS", 7)
+    monkeypatch.setattr(diff, "_CELLS", 5)
+    got = diff.align_pairs(pairs, limits)
+    for (a, b), limit, found in zip(pairs, limits, got, strict=True):
+        assert found == diff.align_pair(a, b, limit)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y and "N" not in x + y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        limit = max(len(a), len(b)) // 10 if limit is None else limit
+        assert (found[0] if found else None) == (row[-1] if row[-1] < limit else None)
+        if found:
+            assert found[1].replace("-", "") == a and found[2].replace("-", "") == b and len(found[1]) == len(found[2])
+
+
 def test_matrix_file_is_found(tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "b").mkdir()
@@ -161,4 +187,5 @@ def test_pair_alignment_is_minimal():
         assert left.replace("-", "") == a and right.replace("-", "") == b and len(left) == len(right)
         assert sum(p != q for p, q in zip(left, right, strict=True)) == d
     assert diff.align_pair("RRRR", "AGAG", 3)[0] == 0
+    assert diff.align_pairs([]) == [] and diff.align_pairs([("", ""), ("A", ""), ("", "CG")], [1, 2, 2]) == [(0, "", ""), (1, "A", "-"), None]
     assert diff.align_pair("AAAAAAAA", "TTTTTTTT", 3) is None
