@@ -1,8 +1,11 @@
 """Work that grows with the input: long texts and many reads in bounded time, rows, memory and disk."""
 
+import random
 import time
 from collections import Counter
 
+from strandspark.functions import scoring
+from strandspark.plans import assemble, report
 from strandspark.queries import QUERIES
 
 
@@ -16,3 +19,27 @@ def test_pairs_of_symbols_in_a_long_text(spark, tmp_path):
     assert time.time() - began < 20
     plain = "".join("-" if c in "EFIJLOPQUXZ" else c for c in text.upper() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     assert got == Counter(zip(plain, plain[1:])) + Counter([("C", "T")])
+
+
+def test_ace_pads_reads_after_they_are_in_order(spark):
+    """No letter becomes a row; reads over the end of the reference, without letters or with gaps are as before."""
+    rng = random.Random(5)
+    ref = "".join(rng.choice("ACGT") for _ in range(60))
+    rows = []
+    for k in range(40):
+        start, seq = rng.randrange(0, 62), "".join(rng.choice("ACGT-N") for _ in range(rng.randrange(0, 12)))
+        ins = {p: "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 4))) for p in range(start, start + len(seq)) if rng.random() < 0.2}
+        rows.append((k, f"r{k}", 100, 1, start, start + len(seq) - 1, k % 3 == 0, False, False, "a", seq, [15] * len(seq), ins))
+    kinds = "ord bigint, id string, score int, num_inputs int, start int, end int, rc boolean, trimmed boolean, dropped boolean, segment string, seq string, smp array<int>, ins map<int,string>"
+    df = report.ace(assemble.Assembly("x", ref, spark.createDataFrame(rows, kinds).repartition(3), scoring.flat(), scoring.reverse(scoring.flat())))
+    gap = [max((len(r[-1].get(p, "")) for r in rows), default=0) for p in range(60)]
+    want = {}
+    for r in sorted((r for r in rows if r[10] and r[4] < 60), key=lambda r: (r[4], r[5], r[0])):
+        room = lambda p: gap[p] if p < 60 else 0
+        text = "".join(r[-1].get(r[4] + j, "")[: room(r[4] + j)].ljust(room(r[4] + j), "*") + c.replace("-", "*") for j, c in enumerate(r[10]))
+        want[r[1]] = (f"AF {r[1]} {'C' if r[6] else 'U'} {r[4] + sum(gap[: r[4]]) + 1}", f"RD {r[1]} {len(text)} 0 0\n" + "\n".join(text[k : k + 50] for k in range(0, len(text), 50)) + "\n")
+    got = [r.value for r in df.collect()]
+    assert got[1 : 1 + len(want)] == [a for a, _ in want.values()]
+    assert [v.split("\n\nQA")[0] + "\n" for v in got[2 + len(want) : -1]] == [b for _, b in want.values()]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "piece" not in plan and "padded" not in plan[plan.index("Sort [") :]
