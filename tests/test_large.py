@@ -54,6 +54,21 @@ def test_ace_pads_reads_after_they_are_in_order(spark):
     assert "piece" not in plan and "padded" not in plan[plan.index("Sort [") :]
 
 
+KINDS = "ord bigint, id string, score int, num_inputs int, start int, end int, rc boolean, trimmed boolean, dropped boolean, segment string, seq string, smp array<int>, ins map<int,string>"
+
+
+def _reads(spark, starts):
+    return spark.createDataFrame([(k, f"r{k}", 100, 1, s, s + 3, k % 2 == 1, False, False, "a", "AC-T", [0, 1, 2, 3], {s + 1: "G"}) for k, s in enumerate(starts)], KINDS)
+
+
+@pytest.mark.parametrize("style", [{"fasta_style": True}])
+def test_a_region_reads_no_letter_of_reads_beyond_it(spark, style):
+    far = F.when(F.col("start") > 40, F.raise_error(F.lit("a read beyond the region"))).otherwise(F.col("seq"))
+    run = lambda alns: [tuple(r) for r in report.region(assemble.Assembly("x", "ACGT" * 20, alns, scoring.flat(), scoring.reverse(scoring.flat())), 5, 12, **style).collect()]
+    alns = _reads(spark, [0, 1, 4, 9, 11, 50, 70])
+    assert run(alns.withColumn("seq", far)) == run(_reads(spark, [0, 1, 4, 9, 11])) and len(run(alns)) == 2 + 4
+
+
 @pytest.mark.parametrize("matrix", [scoring.flat(), X.matrix()])
 def test_whole_adapters_at_the_end_need_no_fill(monkeypatch, matrix):
     rng = random.Random(3)
