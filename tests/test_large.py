@@ -61,7 +61,7 @@ def _reads(spark, starts):
     return spark.createDataFrame([(k, f"r{k}", 100, 1, s, s + 3, k % 2 == 1, False, False, "a", "AC-T", [0, 1, 2, 3], {s + 1: "G"}) for k, s in enumerate(starts)], KINDS)
 
 
-@pytest.mark.parametrize("style", [{"fasta_style": True}])
+@pytest.mark.parametrize("style", [{"fasta_style": True}, {"colour": True}])
 def test_a_region_reads_no_letter_of_reads_beyond_it(spark, style):
     far = F.when(F.col("start") > 40, F.raise_error(F.lit("a read beyond the region"))).otherwise(F.col("seq"))
     run = lambda alns: [tuple(r) for r in report.region(assemble.Assembly("x", "ACGT" * 20, alns, scoring.flat(), scoring.reverse(scoring.flat())), 5, 12, **style).collect()]
