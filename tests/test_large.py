@@ -69,6 +69,16 @@ def test_a_region_reads_no_letter_of_reads_beyond_it(spark, style):
     assert run(alns.withColumn("seq", far)) == run(_reads(spark, [0, 1, 4, 9, 11])) and len(run(alns)) == 2 + 4
 
 
+def test_a_pileup_makes_no_row_of_a_letter(spark):
+    """Reads of an unknown class, far apart or without letters are counted as by rows."""
+    far = _reads(spark, [0, 2, 3, 2_000_000, 2_000_001]).unionByName(spark.createDataFrame([(9, "x", 1, 1, 7, 6, False, False, False, "a", "", [], {}), (10, "y", 1, 1, 2, 5, True, False, False, "a", "aNÄG", [0, 99], {})], KINDS))
+    table = scoring.table(spark, X.matrix())
+    got = pileup.positions(far, table)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = pileup.count_bases(pileup.bases(far), table, "pos").fillna(0)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
 @pytest.mark.parametrize("matrix", [scoring.flat(), X.matrix()])
 def test_whole_adapters_at_the_end_need_no_fill(monkeypatch, matrix):
     rng = random.Random(3)
