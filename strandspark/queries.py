@@ -80,7 +80,7 @@ def s3(spark: SparkSession, sf: str) -> DataFrame:
 def s4(spark: SparkSession, sf: str) -> DataFrame:
     """Reads as FASTQ files, read back: quality sums by document."""
     path = _scratch(spark) + "/fastq"
-    _fastq_lines(spark, sf).orderBy("ord").select("value").write.text(path)
+    _fastq_lines(spark, sf).select("value").write.option("maxRecordsPerFile", 1_000_000).text(path, compression="gzip")
     got = readers.fastq(spark, path)
     return got.groupBy(F.substring("seq", 1, 4).alias("head")).agg(F.count("*").alias("n"), F.sum("qual_sum").alias("qual_sum"), F.sum("seq_len").alias("bases"))
 

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +47,33 @@ def fasta(spark: SparkSession, path: str, settings: Settings = Settings(), keep_
     return df.select("ord", "id", "desc", "seq", F.lit(None).cast("string").alias("qual"), F.lit(None).cast("int").alias("qual_sum"), F.length("seq").alias("seq_len"))
 
 
+_LINES = ["head", "seq", "plus", "qual"]
+
+
+def _four_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of which four lines (``ord``, ``k``, ``value``) follow each other as rows; the lines of others as rows of their own."""
+    held = [pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.string())]
+    for batch in chain(batches, [None]):
+        cols = held if batch is None else [pa.concat_arrays([h, c]) for h, c in zip(held, batch.columns, strict=True)]
+        of = cols[0].to_numpy()
+        first = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1]).astype(np.int64)
+        # The last record may go on in the next batch.
+        end = len(of) if batch is None else int(first[-1])
+        if batch is not None:
+            held, first = [c.slice(end) for c in cols], first[:-1]
+        if not end:
+            continue
+        at = first[np.diff(np.append(first, end)) == 4]
+        whole = [cols[0].take(pa.array(at)), pa.array(np.ones(len(at), dtype=bool)), *[cols[2].take(pa.array(at + k)) for k in range(4)]]
+        yield pa.RecordBatch.from_arrays(whole, ["ord", "whole", *_LINES])
+        alone = np.ones(end, dtype=bool)
+        alone[(at[:, None] + np.arange(4)).reshape(-1)] = False
+        if alone.any():
+            left = [c.slice(0, end).filter(pa.array(alone)) for c in cols]
+            lines = [pc.if_else(pc.equal(left[1], k), left[2], pa.scalar(None, pa.string())) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([left[0], pa.array(np.zeros(len(left[0]), dtype=bool)), *lines], ["ord", "whole", *_LINES])
+
+
 def fastq(spark: SparkSession, path: str, settings: Settings = Settings(), mode: str = "FAILFAST") -> DataFrame:
     """Four-line records. ``mode``: FAILFAST raises on a bad record, DROPMALFORMED skips it.
 
@@ -56,11 +88,14 @@ def fastq(spark: SparkSession, path: str, settings: Settings = Settings(), mode:
     before = F.sum("size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     number = F.dense_rank().over(Window.orderBy("file"))
     base = sizes.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("base"), number.cast("bigint").alias("number"))
-    numbered = lines.join(base, ["file", "block"])
+    # A row for each block of a file, so the lines stay where they are read.
+    numbered = lines.join(F.broadcast(base), ["file", "block"])
     n = F.col("base") + F.col("line") - F.col("first")
     each = numbered.select((F.shiftleft("number", 40) + F.floor(n / 4)).alias("ord"), (n % 4).cast("int").alias("k"), "value").filter("value <> '' OR k <> 0")
-    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
-    rec = each.groupBy("ord").agg(pick(0).alias("head"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("qual"))
+    # Only the records that lie in two blocks, or that lack a line, meet in a shuffle.
+    parts = each.mapInArrow(_four_lines, "ord bigint, whole boolean, head string, seq string, plus string, qual string")
+    rest = parts.filter("NOT whole").groupBy("ord").agg(*[F.max(c).alias(c) for c in _LINES])
+    rec = parts.filter("whole").select("ord", *_LINES).unionByName(rest)
     good = F.coalesce(F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual")), F.lit(False))
     if mode == "FAILFAST":
         rec = rec.withColumn("head", F.when(good, F.col("head")).otherwise(F.raise_error(F.concat(F.lit("bad record "), F.col("ord").cast("string")))))

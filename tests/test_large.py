@@ -79,6 +79,27 @@ def test_a_pileup_makes_no_row_of_a_letter(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
 
 
+def test_fastq_records_lie_in_blocks_and_batches_of_any_size(spark, tmp_path):
+    """Records that two blocks share come together; all others leave their task whole."""
+    rng = random.Random(2)
+    want = []
+    for f in range(3):
+        rows = [(f"r{f}.{k}", "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 30)))) for k in range(40)]
+        want += rows
+        (tmp_path / f"{f}.fq").write_text("".join(f"@{n} x\n{s}\n+\n{'@' * len(s)}\n" for n, s in rows) + "\n" * (f % 2))
+    for size, batch in ((64, 3), (1 << 20, 7), (1 << 20, 10_000)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = sorted((r.id, r.seq) for r in readers.fastq(spark, str(tmp_path)).collect())
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == sorted(want)
+    lines = pa.record_batch([pa.array([1, 1, 1, 1, 2, 2, 2], pa.int64()), pa.array([0, 1, 2, 3, 1, 2, 3], pa.int32()), pa.array(list("abcdefg"))], ["ord", "k", "value"])
+    for cut in range(8):
+        rows = [tuple(r.values()) for b in readers._four_lines(iter([lines.slice(0, cut), lines.slice(cut)])) for r in b.to_pylist()]
+        assert rows == [(1, True, "a", "b", "c", "d"), (2, False, None, "e", None, None), (2, False, None, None, "f", None), (2, False, None, None, None, "g")]
+
+
 @pytest.mark.parametrize("matrix", [scoring.flat(), X.matrix()])
 def test_whole_adapters_at_the_end_need_no_fill(monkeypatch, matrix):
     rng = random.Random(3)
