@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandspark import fixtures as X
-from strandspark.config import ADAPTERS
+from strandspark.config import ADAPTERS, Settings
 from strandspark.functions import scoring
-from strandspark.operators import kernel, pileup
+from strandspark.operators import align, kernel, pileup
 from strandspark.plans import assemble, report
 from strandspark.queries import QUERIES
 from strandspark.sources import readers
@@ -120,3 +120,33 @@ def test_whole_adapters_at_the_end_need_no_fill(monkeypatch, matrix):
         found = kernel.trace(done, 0, row, len(r) - 1)
         want.append(int(found.cols[0]) - 1 if found.score >= 1000 or found.score >= (row - found.rows[0] + 1) * 200 else None)
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches_without_hope_change_no_place_above_the_threshold(seed, monkeypatch):
+    """With and without them, reads at or above the first threshold come out alike; most of what chance opens is not filled."""
+    rng = random.Random(seed)
+    settings = Settings(first_score=[8000, 4000, 12_000][seed % 3])
+    matrix = scoring.flat() if seed < 3 else X.matrix()
+    ref = "".join(rng.choice("ACGT") for _ in range(4000))
+    texts, spans = [], []
+    for _ in range(80):
+        at, size = rng.randrange(0, 3900), rng.choice([30, 70, 100])
+        rate = rng.choice([0.0, 0.05, 0.1, 0.15])
+        text = [c if rng.random() >= rate else rng.choice(["A", "C", "G", "T", "", c + c, c + "ACG"]) for c in ref[at : at + size]]
+        text = "".join(text[: size // 2] + text[size // 2 + rng.choice([0, 0, 9]) :])
+        texts.append(rng.choice([text, "".join(rng.choice("ACGT") for _ in range(size)), text + "N"]))
+        lows = [at - 10, at + 30] * (rng.random() < 0.8) + [rng.randrange(0, 3900) for _ in range(10)]
+        spans.append({"f": align._open_spans({"seeded": True, "spans_f": [{"lo": max(lo, 0), "hi": lo + size + 10} for lo in lows]}, "f", len(ref)), "r": []})
+    refs = {"f": kernel.letters_of([ref])[0], "r": kernel.letters_of([align.flip(ref)])[0]}
+    kept = align._hopeful(texts, spans, refs, matrix, settings)
+    plain, fast = (align._best(texts, x, refs, matrix, settings) for x in (spans, kept))
+    for a, b in zip(plain, fast, strict=True):
+        a, b = a["f"], b["f"]
+        if a and a[0] >= settings.first_score:
+            assert b and (a[0], (a[1].cols + a[2]).tolist(), a[1].rows.tolist()) == (b[0], (b[1].cols + b[2]).tolist(), b[1].rows.tolist())
+        else:
+            assert b is None or b[0] < settings.first_score
+    assert any(a["f"] and a["f"][0] >= settings.first_score for a in plain)
+    if seed == 0:
+        assert sum(len(x["f"]) for x in kept) < 0.3 * sum(len(x["f"]) for x in spans)
